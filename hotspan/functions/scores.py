@@ -20,14 +20,14 @@ def llr_norm(llr: Column | str, kb: Column | str) -> Column:
     return _col(llr) / F.greatest(F.sqrt(_col(kb)), F.lit(1e-8))
 
 
-def interval_weight(
+def weight_of(
     llr: Column | str,
     neglog10_p: Column | str,
     kb: Column | str,
     beta: float = 1.0,
     gamma: float = 0.0,
 ) -> Column:
-    """Selection weight: score x significance^beta x length^gamma."""
+    """Score x significance^beta x length^gamma, not yet checked for infinities."""
     score = _col(llr)
     strength = F.when(score > 0, _col(neglog10_p)).otherwise(0.0)
     weight = score
@@ -35,7 +35,18 @@ def interval_weight(
         weight = weight * (strength if beta == 1 else F.pow(strength, F.lit(float(beta))))
     if gamma != 0:
         weight = weight * F.pow(_col(kb), F.lit(float(gamma)))
-    return sanitize(weight)
+    return weight
+
+
+def interval_weight(
+    llr: Column | str,
+    neglog10_p: Column | str,
+    kb: Column | str,
+    beta: float = 1.0,
+    gamma: float = 0.0,
+) -> Column:
+    """Selection weight of an interval; 0 where it is not finite."""
+    return sanitize(weight_of(llr, neglog10_p, kb, beta, gamma))
 
 
 def bin_loglike(y: Column | str, lam: Column | str, kb: Column | str) -> Column:

@@ -1,14 +1,14 @@
-"""Tail probability of a Gaussian mixture, as a column expression."""
+"""Tail probability of a Gaussian mixture."""
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hotspan.functions.numeric import _col, sanitize
+from hotspan.functions.numeric import sanitize
 
 # Coefficients of the published Chebyshev fit of erfc
 # (fractional error below 1.2e-7), from t^0 upwards.
@@ -31,41 +31,51 @@ class Mixture:
         return len(self.w)
 
 
-def log_normal_sf(z: Column) -> Column:
-    """Natural log of P(Z >= z); it does not underflow far in the tail."""
-    u = F.abs(z) / F.lit(math.sqrt(2.0))
-    t = 1.0 / (1.0 + 0.5 * u)
+def _log_normal_sf(z: Column, t: Column) -> Column:
+    """Natural log of P(Z >= z), with t = 1 / (1 + |z| / sqrt(8)); it does not
+    underflow far in the tail."""
     poly = F.lit(ERFC_COEFFICIENTS[-1])
     for c in reversed(ERFC_COEFFICIENTS[:-1]):
         poly = poly * t + F.lit(c)
-    log_erfc = F.log(t) - u * u + poly
+    log_erfc = F.log(t) - 0.5 * z * z + poly
     return F.when(z >= 0, log_erfc - F.lit(math.log(2.0))).otherwise(F.log1p(-0.5 * F.exp(log_erfc)))
 
 
-def mixture_log_p(score: Column | str, mixture: Mixture, min_p: float = 1e-300) -> Column:
-    """Natural log of P(score or more) under the mixture, floored at ``min_p``."""
-    z = F.log1p(F.greatest(_col(score), F.lit(0.0)))
-    parts = [
-        F.lit(math.log(w)) + log_normal_sf((z - F.lit(float(mu))) / F.lit(float(sig)))
-        for w, mu, sig in zip(mixture.w, mixture.mu, mixture.sig)
-        if w > 0
-    ]
+def mixture_tail(
+    df: DataFrame,
+    score: str,
+    mixture: Mixture,
+    neglog10: str = "neglog10_p",
+    p: str = "p_val",
+    min_p: float = 1e-300,
+) -> DataFrame:
+    """Add -log10 p and p of a normalised score, where p is the chance of that
+    score or more under the mixture, floored at ``min_p``.
+
+    Each intermediate value is a column of its own: it is used many times, and
+    as one nested expression it would be written out again at every use.
+    """
+    parts = [(w, mu, sig) for w, mu, sig in zip(mixture.w, mixture.mu, mixture.sig) if w > 0]
+    ks = range(len(parts))
+    out = df.withColumn("_l", F.log1p(F.greatest(F.col(score), F.lit(0.0))))
+    out = out.withColumns({
+        f"_z{k}": (F.col("_l") - F.lit(float(mu))) / F.lit(float(sig)) for k, (_, mu, sig) in enumerate(parts)
+    })
+    out = out.withColumns({f"_t{k}": 1.0 / (1.0 + F.abs(f"_z{k}") / F.lit(math.sqrt(8.0))) for k in ks})
+    out = out.withColumns({
+        f"_c{k}": F.lit(math.log(w)) + _log_normal_sf(F.col(f"_z{k}"), F.col(f"_t{k}"))
+        for k, (w, _, _) in enumerate(parts)
+    })
     if len(parts) == 1:
-        total = parts[0]
+        out = out.withColumn("_s", F.col("_c0"))
     else:
-        top = F.greatest(*parts)
-        scaled = F.exp(parts[0] - top)
-        for part in parts[1:]:
-            scaled = scaled + F.exp(part - top)
-        total = top + F.log(scaled)
-    return F.greatest(total, F.lit(math.log(min_p)))
-
-
-def mixture_tail(
-    score: Column | str, mixture: Mixture, min_p: float = 1e-300
-) -> tuple[Column, Column]:
-    """Columns (-log10 p, p) of a normalised score."""
-    log_p = mixture_log_p(score, mixture, min_p)
-    neglog10 = sanitize(-log_p / F.lit(math.log(10.0)))
-    p = sanitize(F.exp(log_p), nan=1.0, pos_inf=1.0, neg_inf=1.0, low=min_p, high=1.0)
-    return neglog10, p
+        out = out.withColumn("_m", F.greatest(*[F.col(f"_c{k}") for k in ks]))
+        total = sum((F.exp(F.col(f"_c{k}") - F.col("_m")) for k in ks[1:]), F.exp(F.col("_c0") - F.col("_m")))
+        out = out.withColumn("_s", F.col("_m") + F.log(total))
+    out = out.withColumn("_lp", F.greatest("_s", F.lit(math.log(min_p))))
+    out = out.withColumns({"_n": -F.col("_lp") / F.lit(math.log(10.0)), "_p": F.exp("_lp")})
+    return out.select(
+        *df.columns,
+        sanitize("_n").alias(neglog10),
+        sanitize("_p", nan=1.0, pos_inf=1.0, neg_inf=1.0, low=min_p, high=1.0).alias(p),
+    )

@@ -164,7 +164,7 @@ def per_sample_spread(groups: DataFrame) -> DataFrame:
     """Maximum and exact median of events per sample."""
     return _count_histogram(groups).groupBy(*INTERVAL).agg(
         F.max("x").alias("max_junc_per_sample"),
-        F.percentile("x", 0.5, "m").alias("median_junc_per_sample"),
+        F.percentile("x", 0.5, F.col("m")).alias("median_junc_per_sample"),
     )
 
 

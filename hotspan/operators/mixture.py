@@ -56,6 +56,14 @@ def _points(values: list[tuple[float, float]]) -> Mixture:
 
 
 def _fit(data: DataFrame, k: int, seed: int, max_iter: int, tol: float) -> tuple[Mixture, float]:
+    """A mixture and the log-likelihood of the sample."""
+    if k == 1:  # known without iteration
+        n, z = F.col("n"), F.col("z")
+        row = data.agg(F.sum(n).alias("n"), F.sum(n * z).alias("s"), F.sum(n * z * z).alias("q")).first()
+        mean = row["s"] / row["n"]
+        var = max(row["q"] / row["n"] - mean * mean, MIN_SIGMA**2)
+        log_likelihood = -0.5 * row["n"] * (math.log(2.0 * math.pi * var) + 1.0)
+        return Mixture((1.0,), (mean,), (math.sqrt(var),)), log_likelihood
     model = GaussianMixture(
         k=k, featuresCol="vec", weightCol="n", seed=seed, maxIter=max_iter, tol=tol
     ).fit(data)

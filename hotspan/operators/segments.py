@@ -110,7 +110,7 @@ def pack_segments(
         .select(
             "seg_id",
             "chrom",
-            *[F.transform("_rows", lambda r, n=n: r[n]).alias(n) for n in names],
+            *[F.col("_rows").getField(n).alias(n) for n in names],
             F.size("_rows").alias("n_bins"),
         )
     )

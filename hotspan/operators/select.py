@@ -238,25 +238,31 @@ def select_intervals(
     ``max_span`` bounds end_bp - start_bp; it is read from the data if not
     given. ``bucket`` = (column, width) names an existing cut of start_bp to
     reuse when it is wide enough, which saves a shuffle of the intervals.
-    Numeric columns in ``carry`` come along.
+    Numeric columns in ``carry`` come along. Rows without a positive weight
+    are never chosen.
     """
     carry = carry or []
-    positive = intervals.where(F.col(weight) > 0)
     if max_span is None:
-        max_span = positive.agg(F.max(F.col("end_bp") - F.col("start_bp"))).first()[0] or 0
+        max_span = intervals.agg(F.max(F.col("end_bp") - F.col("start_bp"))).first()[0] or 0
     need = max_span + max(gap_bp, 0)
     if bucket and bucket[1] >= need and block_bp is None:
         column, width = bucket
-        blocked = positive.withColumnRenamed(column, "blk")
+        blocked = intervals.withColumnRenamed(column, "blk")
     else:
         width = max(need, block_bp or 1, 1)
-        blocked = positive.withColumn("blk", F.floor(F.col("start_bp") / width))
-    rounded = F.greatest(F.round(F.col(weight) * GRAIN), F.lit(1.0)) / GRAIN
+        blocked = intervals.withColumn("blk", F.floor(F.col("start_bp") / width))
     blocked = blocked.select(
-        "chrom", "blk", "start_bp", "end_bp", rounded.alias("w"), *[F.col(c).cast("double") for c in carry]
+        "chrom", "blk", "start_bp", "end_bp", F.col(weight).cast("double").alias("w"),
+        *[F.col(c).cast("double") for c in carry],
     )
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        # here and not as a Spark filter: pushed down, it would repeat the
+        # whole expression of the weight
+        pdf = pdf.loc[pdf["w"] > 0].reset_index(drop=True)
+        if pdf.empty:
+            return pd.DataFrame(columns=fields_of_block)
+        pdf["w"] = np.maximum(np.floor(pdf["w"] * GRAIN + 0.5), 1.0) / GRAIN
         kept = _undominated(*(pdf[c].to_numpy() for c in ("start_bp", "end_bp", "w")))
         pdf = pdf.loc[kept].sort_values(["end_bp", "start_bp"], kind="stable")
         s, e, w = (pdf[c].to_numpy() for c in ("start_bp", "end_bp", "w"))
@@ -267,6 +273,7 @@ def select_intervals(
                **{f"c{i}": pdf[c].to_numpy() for i, c in enumerate(carry)}}
         return pd.DataFrame({k: [v] for k, v in row.items()})
 
+    fields_of_block = ["chrom", "blk", "s", "e", "w", "ins", "outs", "gain", *[f"c{i}" for i in range(len(carry))]]
     carried = "".join(f", c{i} array<double>" for i in range(len(carry)))
     packed = stage_table(
         blocked.groupBy("chrom", "blk").applyInPandas(

@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hotspan.functions.numeric import length_kb
-from hotspan.functions.scores import interval_weight, llr_norm
+from hotspan.functions.numeric import length_kb, sanitize
+from hotspan.functions.scores import llr_norm, weight_of
 from hotspan.functions.tail import Mixture, mixture_tail
 from hotspan.operators.annotate import attach_event_stats, event_groups, interval_obs_exp
 from hotspan.operators.fdr import fdr, lambda_grid
@@ -59,12 +59,17 @@ def presmooth_width(explicit: int | None, label_roll: bool = False, label_roll_w
 def with_scores(candidates: DataFrame, mixture: Mixture, cfg: HotspotConfig) -> DataFrame:
     """Add p_val, neglog10_p and LLR_weighted to candidate intervals."""
     kb = length_kb("len_bp", cfg.unit)
-    neglog10, p = mixture_tail(llr_norm("LLR_raw", kb), mixture)
     positive = F.col("LLR_raw") > 0
-    return candidates.withColumns({
-        "p_val": F.when(positive, p).otherwise(1.0),
-        "neglog10_p": F.when(positive, neglog10).otherwise(0.0),
-    }).withColumn("LLR_weighted", interval_weight("LLR_raw", "neglog10_p", kb, cfg.beta, cfg.gamma))
+    scored = mixture_tail(candidates.withColumn("_norm", llr_norm("LLR_raw", kb)), "_norm", mixture)
+    return (
+        scored.withColumns({
+            "p_val": F.when(positive, F.col("p_val")).otherwise(1.0),
+            "neglog10_p": F.when(positive, F.col("neglog10_p")).otherwise(0.0),
+        })
+        .withColumn("_w", weight_of("LLR_raw", "neglog10_p", kb, cfg.beta, cfg.gamma))
+        .withColumn("LLR_weighted", sanitize("_w"))
+        .drop("_norm", "_w")
+    )
 
 
 def candidates_of(bins: DataFrame, cfg: HotspotConfig) -> DataFrame:
