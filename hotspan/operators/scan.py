@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,6 +93,19 @@ def chunk_windows(bins: DataFrame, width: int, overlap: int) -> DataFrame:
     )
 
 
+def scan_partitions(bins: DataFrame, max_bp: int, per_task: int = 1_000_000) -> int:
+    """How many tasks the scan of ``bins`` should have.
+
+    The scan turns each bin into about max_bp / bin length intervals, so the
+    size of its input says little about its work. Runs one small aggregate.
+    """
+    row = bins.agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.col("end") - F.col("start") + 1).alias("size")
+    ).first()
+    pairs = row["n"] * max(1.0, max_bp / max(row["size"] or 1.0, 1.0))
+    return max(bins.sparkSession.sparkContext.defaultParallelism, math.ceil(pairs / per_task))
+
+
 def scan_pairs(
     bins: DataFrame,
     max_bp: int = 100_000,
@@ -98,6 +113,7 @@ def scan_pairs(
     tiles: tuple[int, int] | None = None,
     repeat: bool = False,
     keep_all: bool = False,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Every interval from bin i to bin j of a sequence with end_j - start_i
     <= ``max_bp``, scored against its expectation; needs scan_input columns.
@@ -115,6 +131,8 @@ def scan_pairs(
 
     ``tiles`` = (width, overlap) keeps only pairs that share a tile, as a
     tiled scan finds them; ``repeat`` gives a pair once per shared tile.
+    ``partitions`` (see scan_partitions) fixes the number of tasks, which the
+    adaptive planner would otherwise choose by the size of the bins.
     """
     width = max_bp + 1
     source = bins.select("chrom", "start", "end", "obs", (F.col("lam") * F.col("kb")).alias("mu"))
@@ -126,7 +144,10 @@ def scan_pairs(
     run = Window.partitionBy("chrom", "bucket").orderBy("start", "end")
     upto = run.rowsBetween(Window.unboundedPreceding, 0)
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    summed = source.withColumn("bucket", F.floor(F.col("start") / width)).withColumns({
+    def spread(df: DataFrame) -> DataFrame:
+        return df.repartition(partitions, "chrom", "bucket") if partitions else df
+
+    summed = spread(source.withColumn("bucket", F.floor(F.col("start") / width))).withColumns({
         "c_obs": F.sum("obs").over(upto),
         "c_mu": F.sum("mu").over(upto),
         "t_obs": F.sum("obs").over(whole),
@@ -161,7 +182,7 @@ def scan_pairs(
     in_span = (F.col("end_bp") - F.col("start_bp") <= max_bp) & (
         F.col("end_bp") - F.col("start_bp") + 1 >= min_bp
     )
-    pairs = left.join(right, ["chrom", "bucket"]).where(ordered & in_span)
+    pairs = left.join(spread(right), ["chrom", "bucket"]).where(ordered & in_span)
     if tiles:
         shared = F.least("k1", "i_k1") - F.greatest("k0", "i_k0") + 1
         pairs = pairs.where(shared >= 1)

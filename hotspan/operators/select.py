@@ -21,10 +21,12 @@ of the plain walk: smallest end first, then smallest start.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +39,7 @@ GRAIN = float(1 << 30)
 BIG = 1 << 62
 DENSE_CELLS = 4_000_000
 COLUMNS = 256
+BLOCKS_PER_TASK = 5_000
 
 
 # --- one block -------------------------------------------------------------
@@ -256,42 +259,57 @@ def select_intervals(
         *[F.col(c).cast("double") for c in carry],
     )
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        # here and not as a Spark filter: pushed down, it would repeat the
-        # whole expression of the weight
-        pdf = pdf.loc[pdf["w"] > 0].reset_index(drop=True)
-        if pdf.empty:
-            return pd.DataFrame(columns=fields_of_block)
-        pdf["w"] = np.maximum(np.floor(pdf["w"] * GRAIN + 0.5), 1.0) / GRAIN
-        kept = _undominated(*(pdf[c].to_numpy() for c in ("start_bp", "end_bp", "w")))
-        pdf = pdf.loc[kept].sort_values(["end_bp", "start_bp"], kind="stable")
-        s, e, w = (pdf[c].to_numpy() for c in ("start_bp", "end_bp", "w"))
-        blk = int(pdf["blk"].iloc[0])
+    longs, doubles = pa.list_(pa.int64()), pa.list_(pa.float64())
+    packed_schema = pa.schema([
+        ("chrom", pa.string()), ("blk", pa.int64()), ("s", longs), ("e", longs), ("w", doubles),
+        ("ins", longs), ("outs", longs), ("gain", doubles), *[(f"c{i}", doubles) for i in range(len(carry))],
+    ])
+
+    def pack(rows: pa.Table) -> pa.Table:
+        # weights are tested here and not in a Spark filter: pushed down, the
+        # filter would repeat the whole expression of the weight
+        s, e, w = (rows.column(c).to_numpy() for c in ("start_bp", "end_bp", "w"))
+        use = np.flatnonzero(w > 0)
+        if not len(use):
+            return packed_schema.empty_table()
+        w = np.maximum(np.floor(w * GRAIN + 0.5), 1.0) / GRAIN
+        use = use[_undominated(s[use], e[use], w[use])]
+        use = use[np.lexsort((s[use], e[use]))]
+        s, e, w = s[use], e[use], w[use]
+        blk = rows.column("blk")[0].as_py()
         ins, outs, gain = _gain(s, e + gap_bp + 1, w, (blk + 1) * width)
-        row = {"chrom": pdf["chrom"].iloc[0], "blk": blk, "s": s, "e": e, "w": w,
-               "ins": ins, "outs": outs, "gain": gain.ravel(),
-               **{f"c{i}": pdf[c].to_numpy() for i, c in enumerate(carry)}}
-        return pd.DataFrame({k: [v] for k, v in row.items()})
+        extra = [rows.column(c).to_numpy()[use] for c in carry]
+        return pa.Table.from_arrays(
+            [pa.array([rows.column("chrom")[0].as_py()]), pa.array([blk], pa.int64()),
+             *[pa.array([v], f.type) for v, f in
+               zip([s, e, w, ins, outs, gain.ravel(), *extra], list(packed_schema)[2:])]],
+            schema=packed_schema,
+        )
 
-    fields_of_block = ["chrom", "blk", "s", "e", "w", "ins", "outs", "gain", *[f"c{i}" for i in range(len(carry))]]
     carried = "".join(f", c{i} array<double>" for i in range(len(carry)))
     packed = stage_table(
-        blocked.groupBy("chrom", "blk").applyInPandas(
+        blocked.groupBy("chrom", "blk").applyInArrow(
             pack,
             "chrom string, blk bigint, s array<bigint>, e array<bigint>, w array<double>, "
             f"ins array<bigint>, outs array<bigint>, gain array<double>{carried}",
         ),
         "blocks",
     )
-    span = (
-        packed.groupBy("chrom").agg((F.max("blk") - F.min("blk") + 1).alias("n")).agg(F.max("n")).first()[0] or 0
-    )
+    extent = packed.groupBy("chrom").agg(
+        (F.max("blk") - F.min("blk") + 1).alias("span"), F.count(F.lit(1)).alias("n")
+    ).agg(F.max("span").alias("span"), F.sum("n").alias("n")).first()
+    span = extent["span"] or 0
+    cores = intervals.sparkSession.sparkContext.defaultParallelism
+    tasks = max(cores, math.ceil((extent["n"] or 0) / BLOCKS_PER_TASK))
     entries = _sweep(
         packed.select("chrom", "blk", "ins", "outs", "gain"), span, fan,
         "ins array<bigint>, outs array<bigint>, gain array<double>", _combine_gains,
         ["at", "val"], "at array<bigint>, val array<double>", _entry_values,
     )
-    ready = stage_table(packed.drop("ins", "gain").join(entries, ["chrom", "blk"]), "ready")
+    # a block is few bytes but much work, so the number of tasks is set here
+    ready = stage_table(
+        packed.drop("ins", "gain").join(entries, ["chrom", "blk"]).repartition(tasks, "chrom", "blk"), "ready"
+    )
 
     def walk(row) -> _Walk:
         s, e = np.asarray(row.s), np.asarray(row.e)
@@ -317,16 +335,16 @@ def select_intervals(
     )
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source = {"start_bp": "s", "end_bp": "e", "weight": "w", **{c: f"c{i}" for i, c in enumerate(carry)}}
         for pdf in batches:
-            for row in pdf.itertuples():
-                picked = walk(row).chosen(int(row.limit))
-                yield pd.DataFrame({
-                    "chrom": row.chrom,
-                    "start_bp": np.asarray(row.s)[picked],
-                    "end_bp": np.asarray(row.e)[picked],
-                    "weight": np.asarray(row.w)[picked],
-                    **{c: np.asarray(getattr(row, f"c{i}"))[picked] for i, c in enumerate(carry)},
-                })
+            picks = [(row, walk(row).chosen(int(row.limit))) for row in pdf.itertuples()]
+            if not picks:
+                continue
+            yield pd.DataFrame({
+                "chrom": np.repeat(pdf["chrom"].to_numpy(), [len(p) for _, p in picks]),
+                **{name: np.concatenate([np.asarray(getattr(row, c))[p] for row, p in picks])
+                   for name, c in source.items()},
+            })
 
     out = "chrom string, start_bp bigint, end_bp bigint, weight double" + "".join(
         f", `{c}` double" for c in carry

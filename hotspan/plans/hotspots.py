@@ -13,7 +13,7 @@ from hotspan.functions.tail import Mixture, mixture_tail
 from hotspan.operators.annotate import attach_event_stats, event_groups, interval_obs_exp
 from hotspan.operators.fdr import fdr, lambda_grid
 from hotspan.operators.mixture import mixture_policy
-from hotspan.operators.scan import per_bin, sample_scores, scan_input, scan_pairs
+from hotspan.operators.scan import per_bin, sample_scores, scan_input, scan_pairs, scan_partitions
 from hotspan.operators.select import select_intervals
 from hotspan.operators.smooth import presmooth
 from hotspan.session import stage_table
@@ -75,7 +75,8 @@ def with_scores(candidates: DataFrame, mixture: Mixture, cfg: HotspotConfig) ->
 def candidates_of(bins: DataFrame, cfg: HotspotConfig) -> DataFrame:
     """Scored excess intervals of clean per-bin rows, smoothed if asked."""
     smooth = presmooth(bins, cfg.presmooth_bins)
-    return scan_pairs(smooth, cfg.max_bp, cfg.min_bp, cfg.tiles)
+    tasks = scan_partitions(bins, cfg.max_bp)
+    return scan_pairs(smooth, cfg.max_bp, cfg.min_bp, cfg.tiles, partitions=tasks)
 
 
 def run_hotspots(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hotspan import functions as fn
@@ -29,12 +29,15 @@ from hotspan.sources import readers, writers
 from hotspan.workload.registry import query
 from hotspan.workload.tables import DAY, cte, rated, table, typed_events
 
-# Three spellings of each sequence name, by event.
-_SPELL = (
-    F.when(F.col("event_id") % 3 == 0, F.substring("chrom", 4, 9))
-    .when(F.col("event_id") % 3 == 1, F.upper("chrom"))
-    .otherwise(F.concat(F.lit(" "), "chrom", F.lit(" ")))
-)
+def _spelled() -> Column:
+    """Three spellings of each sequence name, by event."""
+    kind = F.col("event_id") % 3
+    return (
+        F.when(kind == 0, F.substring("chrom", 4, 9)).when(kind == 1, F.upper("chrom"))
+        .otherwise(F.concat(F.lit(" "), "chrom", F.lit(" ")))
+    )
+
+
 _CANON_SQL = (
     "chrom IN (" + ", ".join(f"'{c}'" for c in fn.CANONICAL) + ")"
 )
@@ -44,7 +47,7 @@ _CANON_SQL = (
 def _(spark: SparkSession, sf: str) -> DataFrame:
     path = stage_path(spark, "points_csv")
     typed_events(spark, sf).select(
-        _SPELL.alias("Chromosome"), F.col("pos").alias("Start"), (F.col("pos") + 11).alias("End"),
+        _spelled().alias("Chromosome"), F.col("pos").alias("Start"), (F.col("pos") + 11).alias("End"),
         F.col("sample").alias("Donor"), F.col("filter").alias("FILTER"),
     ).write.csv(path, header=True)
     return readers.read_points(spark, path)

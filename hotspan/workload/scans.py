@@ -13,6 +13,7 @@ from hotspan.operators.scan import (
     prefix_sums,
     sample_scores,
     scan_pairs,
+    scan_partitions,
     scan_summary,
     selection_summary,
 )
@@ -32,7 +33,9 @@ def bins(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return scan_pairs(bins(spark, sf), DAY).where(F.col("LLR_raw") > POSITIVE)
+    base = bins(spark, sf)
+    pairs = scan_pairs(base, DAY, partitions=scan_partitions(base, DAY))
+    return pairs.where(F.col("LLR_raw") > POSITIVE)
 
 
 @query(
