@@ -59,32 +59,40 @@ def assign_points_to_grid(
     return placed.join(grid.select(*BIN), ["chrom", "start"])
 
 
-def bin_labels(
+def sample_counts(
     points: DataFrame, grid: DataFrame, bin_size: int | None = None, anchor: int | None = None
 ) -> DataFrame:
-    """Distinct samples per bin, for bins with at least one.
+    """Distinct samples per (chrom, bin start), on or off the grid.
 
-    Points are reduced to one row per bin before they meet the grid, so a bin
-    that holds a large share of the points does not skew the join.
+    Both steps merge before their shuffle, so a bin that holds a large share
+    of the points reaches the join with the grid as one row.
     """
     size, first = _size_and_anchor(grid, bin_size, anchor)
-    counts = (
+    return (
         points.select("chrom", _bin_start(size, first).alias("start"), "sample")
         .distinct()
         .groupBy("chrom", "start")
         .agg(F.count(F.lit(1)).alias("y"))
     )
+
+
+def bin_labels(
+    points: DataFrame, grid: DataFrame, bin_size: int | None = None, anchor: int | None = None
+) -> DataFrame:
+    """Distinct samples per bin of the grid, for bins with at least one."""
+    counts = sample_counts(points, grid, bin_size, anchor)
     return grid.select(*BIN).join(counts, ["chrom", "start"]).select(*BIN, "y")
 
 
 def attach_labels(bins: DataFrame, labels: DataFrame) -> DataFrame:
-    """Give each bin its label, 0 where there is none."""
-    known = labels.select(*BIN, F.col("y").alias("_y"))
+    """Give each bin its label, 0 where there is none.
+
+    ``labels`` is keyed by (chrom, start, end), or by (chrom, start) alone.
+    """
+    keys = [c for c in ("start", "end") if c in labels.columns]
+    known = labels.select(F.col("chrom").alias("_chrom"), *keys, F.col("y").alias("_y"))
     cols = [c for c in bins.columns if c != "y"]
-    keyed = bins.withColumn("_chrom", norm_chrom("chrom"))
-    joined = keyed.join(
-        known.withColumnRenamed("chrom", "_chrom"), ["_chrom", "start", "end"], "left"
-    )
+    joined = bins.withColumn("_chrom", norm_chrom("chrom")).join(known, ["_chrom", *keys], "left")
     return joined.select(*cols, F.coalesce("_y", F.lit(0)).cast("double").alias("y"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hotspan.functions.tail import Mixture
+from hotspan.session import stage_table
 
 # Stand-in scores for an empty sample, and the stand-in mixture.
 EMPTY_SAMPLE = (0.05, 0.10, 0.20)
@@ -28,12 +29,13 @@ def _prepare(sample: DataFrame, resolution: float) -> DataFrame:
     good = F.col("score").isNotNull() & ~F.isnan("score") & (F.col("score") >= 0) & (
         F.col("score") != float("inf")
     )
-    return (
+    counts = (
         sample.where(good)
         .groupBy((F.round(z / resolution) * resolution).alias("z"))
         .agg(F.count(F.lit(1)).cast("double").alias("n"))
-        .select("z", "n", array_to_vector(F.array("z")).alias("vec"))
     )
+    # every step of the fit reads it again
+    return stage_table(counts, "scores").select("z", "n", array_to_vector(F.array("z")).alias("vec"))
 
 
 def drop_spikes(mixture: Mixture) -> Mixture:
@@ -93,14 +95,11 @@ def fit_mixture(
     resolution: float = 1e-4,
 ) -> Mixture:
     """Mixture of ``k`` components on log1p(score), without spikes at zero."""
-    data = _prepare(sample, resolution).persist()
-    try:
-        few = _few(data, k)
-        if few is not None:
-            return drop_spikes(_points(few)) if few else EMPTY_MIXTURE
-        return drop_spikes(_fit(data, k, seed, max_iter, tol)[0])
-    finally:
-        data.unpersist()
+    data = _prepare(sample, resolution)
+    few = _few(data, k)
+    if few is not None:
+        return drop_spikes(_points(few)) if few else EMPTY_MIXTURE
+    return drop_spikes(_fit(data, k, seed, max_iter, tol)[0])
 
 
 def fit_mixture_auto(
@@ -114,24 +113,21 @@ def fit_mixture_auto(
     resolution: float = 1e-4,
 ) -> Mixture:
     """The number of components with the least BIC, best of ``n_init`` starts."""
-    data = _prepare(sample, resolution).persist()
-    try:
-        n = data.agg(F.sum("n")).first()[0]
-        if not n:
-            return EMPTY_MIXTURE
-        few = _few(data, 1)
-        if few is not None:
-            return drop_spikes(_points(few))
-        best, best_bic = None, math.inf
-        for k in range(max(1, k_min), max(k_min, min(k_max, max(1, int(n // 10)))) + 1):
-            fits = [_fit(data, k, seed + i, max_iter, tol) for i in range(n_init if k > 1 else 1)]
-            mixture, log_likelihood = max(fits, key=lambda pair: pair[1])
-            bic = -2.0 * log_likelihood + (3 * k - 1) * math.log(n)
-            if bic < best_bic:
-                best, best_bic = mixture, bic
-        return drop_spikes(best)
-    finally:
-        data.unpersist()
+    data = _prepare(sample, resolution)
+    n = data.agg(F.sum("n")).first()[0]
+    if not n:
+        return EMPTY_MIXTURE
+    few = _few(data, 1)
+    if few is not None:
+        return drop_spikes(_points(few))
+    best, best_bic = None, math.inf
+    for k in range(max(1, k_min), max(k_min, min(k_max, max(1, int(n // 10)))) + 1):
+        fits = [_fit(data, k, seed + i, max_iter, tol) for i in range(n_init if k > 1 else 1)]
+        mixture, log_likelihood = max(fits, key=lambda pair: pair[1])
+        bic = -2.0 * log_likelihood + (3 * k - 1) * math.log(n)
+        if bic < best_bic:
+            best, best_bic = mixture, bic
+    return drop_spikes(best)
 
 
 def mixture_policy(

@@ -98,3 +98,15 @@ def hash_unit(*cols: Column | str, seed: int = 0) -> Column:
     """A number in [0, 1) that depends only on the values and the seed."""
     h = F.xxhash64(F.lit(seed), *[F.col(c) if isinstance(c, str) else c for c in cols])
     return F.pmod(h, F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53))
+
+
+def join_per_key(df: DataFrame, per_key: DataFrame, keys: list[str], salt: Column, salts: int = 32) -> DataFrame:
+    """Inner join with a table of one row per key, such as totals per sequence.
+
+    One sequence may hold a large share of ``df``: its rows are spread over
+    ``salts`` join keys by ``salt`` (a hash), and the small table is copied to
+    each. If the small table turns out small enough, Spark broadcasts it.
+    """
+    copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    keyed = df.withColumn("_salt", F.pmod(salt, F.lit(salts)).cast("int"))
+    return keyed.join(copies, [*keys, "_salt"]).drop("_salt")

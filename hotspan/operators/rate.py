@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from hotspan.functions.numeric import interval_length, length_kb
 from hotspan.functions.scores import bin_loglike
+from hotspan.operators.ordered import join_per_key
 from hotspan.operators.smooth import rolling_rate
 
 MAX_FEATURES = 4096
@@ -25,7 +26,7 @@ def rate_baseline(bins: DataFrame, unit: float = 1000.0) -> DataFrame:
     """
     kb = length_kb(interval_length("start", "end"), unit)
     rates = bins.groupBy("chrom").agg((F.sum("y") / F.sum(kb)).alias("lam_pred"))
-    return bins.join(rates, "chrom")
+    return join_per_key(bins, rates, ["chrom"], F.xxhash64("start"))
 
 
 @dataclass(frozen=True)

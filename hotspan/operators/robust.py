@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from hotspan.functions.numeric import sanitize
 from hotspan.functions.scores import huber_weight
 from hotspan.operators.ordered import cut, running, split_points
+from hotspan.session import stage_table
 
 RATE_MIN = 1e-9
 RATE_MAX = 1e6
@@ -143,7 +144,12 @@ def huber_delta(residuals: DataFrame, factor: float = 3.0, use_mad: bool = False
 def huber_weights(
     residuals: DataFrame, factor: float = 3.0, use_mad: bool = False, eps: float = 1e-9
 ) -> DataFrame:
-    """Add the robust weight ``w`` of each segment residual."""
+    """Add the robust weight ``w`` of each segment residual.
+
+    The residuals, one row per segment, are written once: the percentiles
+    behind the limit read them several times.
+    """
+    residuals = stage_table(residuals, "residuals")
     delta = huber_delta(residuals, factor, use_mad)
     return residuals.withColumn("w", huber_weight("residual", delta, eps))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hotspan.functions.numeric import interval_length, length_kb, sanitize_count, sanitize_rate
 from hotspan.functions.scores import llr_norm, llr_poisson
-from hotspan.operators.ordered import hash_unit, running
+from hotspan.operators.ordered import hash_unit, join_per_key, running
 
 POSITIVE = 1e-6
 
@@ -72,8 +72,9 @@ def _check_tiles(width: int, overlap: int) -> None:
         raise ValueError("the overlap of tiles must be smaller than their width")
 
 
-def _first_starts(bins: DataFrame) -> DataFrame:
-    return bins.groupBy("chrom").agg(F.min("start").alias("_first"))
+def _with_first_start(bins: DataFrame) -> DataFrame:
+    starts = bins.groupBy("chrom").agg(F.min("start").alias("_first"))
+    return join_per_key(bins, starts, ["chrom"], F.xxhash64("start"))
 
 
 def chunk_windows(bins: DataFrame, width: int, overlap: int) -> DataFrame:
@@ -85,7 +86,7 @@ def chunk_windows(bins: DataFrame, width: int, overlap: int) -> DataFrame:
     _check_tiles(width, overlap)
     low, high = _tile_range(F.col("_first"), width, overlap)
     return (
-        bins.join(_first_starts(bins), "chrom")
+        _with_first_start(bins)
         .where(low <= high)
         .withColumn("tile", F.explode(F.sequence(low, high)))
         .withColumn("tile_start", F.col("_first") + F.col("tile") * (width - overlap))
@@ -139,7 +140,7 @@ def scan_pairs(
     if tiles:
         _check_tiles(*tiles)
         low, high = _tile_range(F.col("_first"), *tiles)
-        source = source.join(_first_starts(bins), "chrom").withColumns({"k0": low, "k1": high}).drop("_first")
+        source = _with_first_start(source).withColumns({"k0": low, "k1": high}).drop("_first")
     extra = ["k0", "k1"] if tiles else []
     run = Window.partitionBy("chrom", "bucket").orderBy("start", "end")
     upto = run.rowsBetween(Window.unboundedPreceding, 0)

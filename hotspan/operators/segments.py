@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hotspan.functions.names import chrom_sort_key
-from hotspan.operators.ordered import hash_unit, row_index, running
+from hotspan.operators.ordered import hash_unit, join_per_key, row_index, running
 
 INDEX_BLOCK = 1 << 16
 
@@ -69,13 +69,14 @@ def make_segments(
     first = F.greatest(F.ceil((rn - ln + 1) / step), F.lit(0)).cast("bigint")
     last = F.floor(rn / step).cast("bigint")
     # with step > length some bins lie between two runs
-    placed = (
+    copied = (
         numbered.withColumn("_s", shape)
         .where(first <= last)
         .withColumn("_k", F.explode(F.sequence(first, last)))
         .withColumn("_i", F.col("_s.i"))
-        .join(offsets, ["chrom", "_i"])
-        .where(F.col("_k") < F.col("_made"))
+    )
+    placed = join_per_key(copied, offsets, ["chrom", "_i"], F.xxhash64("w_idx")).where(
+        F.col("_k") < F.col("_made")
     )
     return placed.select(
         *bins.columns,
@@ -152,7 +153,7 @@ def split_train_val(
     key = hash_unit("seg_id", seed=seed) if order is None else order
     counts = segments.groupBy("chrom").agg(F.count(F.lit(1)).alias("_n"))
     ranked = _by_hash_order(segments, ["chrom"], key, ["seg_id"])
-    return ranked.join(counts, "chrom").select(
+    return join_per_key(ranked, counts, ["chrom"], F.xxhash64("seg_id")).select(
         *segments.columns,
         F.when(F.col("_rn") < F.floor(F.lit(float(frac)) * F.col("_n")), "train").otherwise("val").alias("split"),
     )

@@ -34,10 +34,10 @@ def test_small_case(spark):
     assert got.q.to_numpy() == pytest.approx([0.02, 0.04, 0.04, 0.02])
 
 
-@pytest.mark.parametrize("blocks", [1, 7, 256])
-def test_equals_plain(spark, blocks):
+@pytest.mark.parametrize("blocks,hot", [(1, 20), (7, 10**6), (256, 20)])
+def test_equals_plain(spark, blocks, hot):
     p = values(1)
-    got = fd.bh_qvalues(frame(spark, p), blocks=blocks).toPandas().sort_values("id")
+    got = fd.bh_qvalues(frame(spark, p), blocks=blocks, hot_rows=hot).toPandas().sort_values("id")
     assert len(got) == len(p)
     assert got.q.to_numpy() == pytest.approx(plain_q(p))
     got = fd.storey_qvalues(frame(spark, p), 0.3, blocks=blocks).toPandas().sort_values("id")
@@ -86,9 +86,10 @@ def test_fdr_methods(spark):
     assert (np.diff(storey[order]) >= -1e-12).all()
 
 
-def test_qq(spark):
+@pytest.mark.parametrize("hot", [20, 10**6])
+def test_qq(spark, hot):
     p = values(5)
-    got = fd.qq_table(frame(spark, p), blocks=9).toPandas().sort_values("rank")
+    got = fd.qq_table(frame(spark, p), blocks=9, hot_rows=hot).toPandas().sort_values("rank")
     assert list(got["rank"]) == list(range(1, len(p) + 1))
     assert got.observed.to_numpy() == pytest.approx(-np.log10(np.clip(np.sort(p), 1e-300, 1)))
     assert got.expected.iloc[0] == pytest.approx(-math.log10(0.5 / len(p)))
