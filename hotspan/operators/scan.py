@@ -115,6 +115,7 @@ def scan_pairs(
     repeat: bool = False,
     keep_all: bool = False,
     partitions: int | None = None,
+    bucket_bp: int = 0,
 ) -> DataFrame:
     """Every interval from bin i to bin j of a sequence with end_j - start_i
     <= ``max_bp``, scored against its expectation; needs scan_input columns.
@@ -134,8 +135,9 @@ def scan_pairs(
     tiled scan finds them; ``repeat`` gives a pair once per shared tile.
     ``partitions`` (see scan_partitions) fixes the number of tasks, which the
     adaptive planner would otherwise choose by the size of the bins.
+    ``bucket_bp`` widens the buckets for a later step that needs it.
     """
-    width = max_bp + 1
+    width = max(max_bp + 1, bucket_bp)
     source = bins.select("chrom", "start", "end", "obs", (F.col("lam") * F.col("kb")).alias("mu"))
     if tiles:
         _check_tiles(*tiles)
@@ -202,7 +204,8 @@ def scan_pairs(
         obs.alias("obs"),
         exp.alias("exp"),
     ).withColumn("LLR_raw", llr_poisson("obs", "exp"))
-    return scored if keep_all else scored.where(F.col("LLR_raw").isNotNull())
+    # the condition of the score itself, cheaper in the join than its logarithm
+    return scored if keep_all else scored.where((F.col("obs") > F.col("exp")) & (F.col("exp") > 1e-12))
 
 
 def scan_summary(candidates: DataFrame) -> DataFrame:

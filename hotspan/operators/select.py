@@ -247,7 +247,9 @@ def select_intervals(
     carry = carry or []
     if max_span is None:
         max_span = intervals.agg(F.max(F.col("end_bp") - F.col("start_bp"))).first()[0] or 0
-    need = max_span + max(gap_bp, 0)
+    if gap_bp < 0:
+        raise ValueError("the gap cannot be negative")
+    need = max_span + gap_bp
     if bucket and bucket[1] >= need and block_bp is None:
         column, width = bucket
         blocked = intervals.withColumnRenamed(column, "blk")

@@ -72,11 +72,18 @@ def with_scores(candidates: DataFrame, mixture: Mixture, cfg: HotspotConfig) ->
     )
 
 
+def _bucket_bp(cfg: HotspotConfig) -> int:
+    """Buckets of the scan that the selection can use as its blocks."""
+    return max(cfg.max_bp + 1, cfg.max_bp + cfg.gap_bp)
+
+
 def candidates_of(bins: DataFrame, cfg: HotspotConfig) -> DataFrame:
     """Scored excess intervals of clean per-bin rows, smoothed if asked."""
     smooth = presmooth(bins, cfg.presmooth_bins)
     tasks = scan_partitions(bins, cfg.max_bp)
-    return scan_pairs(smooth, cfg.max_bp, cfg.min_bp, cfg.tiles, partitions=tasks)
+    return scan_pairs(
+        smooth, cfg.max_bp, cfg.min_bp, cfg.tiles, partitions=tasks, bucket_bp=_bucket_bp(cfg)
+    )
 
 
 def run_hotspots(
@@ -102,7 +109,7 @@ def run_hotspots(
         gap_bp=cfg.gap_bp,
         max_span=cfg.max_bp,
         carry=["LLR_raw"],
-        bucket=("bucket", cfg.max_bp + 1),
+        bucket=("bucket", _bucket_bp(cfg)),
     ).withColumn("len_bp", F.col("end_bp") - F.col("start_bp") + 1)
     selected = stage_table(
         with_scores(picked, mixture, cfg).select(
