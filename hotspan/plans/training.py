@@ -71,7 +71,9 @@ def fit_and_predict(bins: DataFrame, cfg: TrainingConfig | None = None) -> tuple
     weights, model = None, None
     for _ in range(max(1, cfg.rounds)):
         weighted = source.join(_bin_weights(train, weights), ["chrom", "w_idx"])
-        model = fit_rate(weighted, "weight", cfg.reg, cfg.max_iter)
+        # every step of the fit reads its input again; written, it is not joined again
+        design = stage_table(weighted.select("features", "kb", "y", "weight"), "design")
+        model = fit_rate(design, "weight", cfg.reg, cfg.max_iter)
         rates = add_rate(model, source).select("chrom", "w_idx", "lam")
         rows = rolling_rate(train.join(rates, ["chrom", "w_idx"]), cfg.roll_width)
         weights = stage_table(huber_weights(segment_residual(rows), cfg.huber_factor, cfg.use_mad), "weights")

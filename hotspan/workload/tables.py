@@ -161,13 +161,14 @@ CAND_SQL = f"""cand AS (
 
 
 def spans(spark: SparkSession, sf: str) -> DataFrame:
-    """Non-overlapping intervals over the grid: six-hour runs of each day that
-    start at an hour which depends on the sequence."""
-    return grid(spark, sf).where(
-        F.floor(F.col("start") % DAY / HOUR) == F.length("chrom") + 2
-    ).select("chrom", F.col("start").alias("start_bp"), (F.col("start") + 6 * HOUR - 1).alias("end_bp"))
+    """Non-overlapping intervals: six hours of each day of each sequence, from
+    an hour that depends on the sequence."""
+    days = grid(spark, sf).groupBy("chrom", F.floor(F.col("start") / DAY).alias("day")).agg(F.count(F.lit(1)))
+    first = (F.col("day") * DAY + (F.length("chrom") + 2) * HOUR).alias("start_bp")
+    return days.select("chrom", first).withColumn("end_bp", F.col("start_bp") + (6 * HOUR - 1))
 
 
 IV_SQL = """iv AS (
-  SELECT chrom, start AS start_bp, start + 21599 AS end_bp FROM grid
-  WHERE start % 86400 // 3600 = length(chrom) + 2)"""
+  SELECT chrom, d * 86400 + (length(chrom) + 2) * 3600 AS start_bp,
+         d * 86400 + (length(chrom) + 2) * 3600 + 21599 AS end_bp
+  FROM (SELECT DISTINCT chrom, start // 86400 AS d FROM grid))"""
