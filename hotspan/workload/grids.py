@@ -117,7 +117,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "A3_infer_grid",
-    """WITH b AS (SELECT l_partkey * 10 + l_linenumber AS start, l_linenumber + l_quantity // 5 AS len FROM lineitem),
+    """WITH b AS (SELECT l_partkey * 10 + l_linenumber AS start, l_linenumber + floor(l_quantity / 5) AS len FROM lineitem),
 s AS (SELECT CAST(len AS BIGINT) AS len, count(*) AS n FROM b GROUP BY 1 ORDER BY n DESC, len LIMIT 1),
 a AS (SELECT start % (SELECT len FROM s) AS o, count(*) AS n FROM b GROUP BY 1 ORDER BY n DESC, o LIMIT 1)
 SELECT len AS bin_size, o AS anchor FROM s, a""",
