@@ -31,14 +31,22 @@ class Mixture:
         return len(self.w)
 
 
+def _sure(col: Column) -> Column:
+    """Tell the planner that a value is never null.
+
+    Logarithms and quotients count as nullable, and every nullable step adds
+    branches to the generated code, until it is too long to be compiled.
+    """
+    return F.coalesce(col, F.lit(0.0))
+
+
 def _log_normal_sf(z: Column, t: Column) -> Column:
     """Natural log of P(Z >= z), with t = 1 / (1 + |z| / sqrt(8)); it does not
     underflow far in the tail."""
     poly = F.lit(ERFC_COEFFICIENTS[-1])
     for c in reversed(ERFC_COEFFICIENTS[:-1]):
         poly = poly * t + F.lit(c)
-    log_erfc = F.log(t) - 0.5 * z * z + poly
-    return F.when(z >= 0, log_erfc - F.lit(math.log(2.0))).otherwise(F.log1p(-0.5 * F.exp(log_erfc)))
+    return _sure(F.log(t)) - 0.5 * z * z + poly
 
 
 def mixture_tail(
@@ -50,20 +58,23 @@ def mixture_tail(
     min_p: float = 1e-300,
 ) -> DataFrame:
     """Add -log10 p and p of a normalised score, where p is the chance of that
-    score or more under the mixture, floored at ``min_p``.
+    score or more under the mixture, floored at ``min_p``. A null or NaN score
+    has p = 1.
 
     Each intermediate value is a column of its own: it is used many times, and
     as one nested expression it would be written out again at every use.
     """
     parts = [(w, mu, sig) for w, mu, sig in zip(mixture.w, mixture.mu, mixture.sig) if w > 0]
     ks = range(len(parts))
-    out = df.withColumn("_l", F.log1p(F.greatest(F.col(score), F.lit(0.0))))
+    out = df.withColumn("_l", _sure(F.log1p(F.greatest(sanitize(score), F.lit(0.0)))))
     out = out.withColumns({
-        f"_z{k}": (F.col("_l") - F.lit(float(mu))) / F.lit(float(sig)) for k, (_, mu, sig) in enumerate(parts)
+        f"_z{k}": (F.col("_l") - F.lit(float(mu))) * F.lit(1.0 / sig) for k, (_, mu, sig) in enumerate(parts)
     })
-    out = out.withColumns({f"_t{k}": 1.0 / (1.0 + F.abs(f"_z{k}") / F.lit(math.sqrt(8.0))) for k in ks})
+    out = out.withColumns({f"_t{k}": _sure(1.0 / (1.0 + F.abs(f"_z{k}") * F.lit(math.sqrt(0.125)))) for k in ks})
+    out = out.withColumns({f"_e{k}": _log_normal_sf(F.col(f"_z{k}"), F.col(f"_t{k}")) for k in ks})
     out = out.withColumns({
-        f"_c{k}": F.lit(math.log(w)) + _log_normal_sf(F.col(f"_z{k}"), F.col(f"_t{k}"))
+        f"_c{k}": F.lit(math.log(w)) + F.when(F.col(f"_z{k}") >= 0, F.col(f"_e{k}") - F.lit(math.log(2.0)))
+        .otherwise(_sure(F.log1p(-0.5 * F.exp(f"_e{k}"))))
         for k, (w, _, _) in enumerate(parts)
     })
     if len(parts) == 1:
@@ -71,11 +82,11 @@ def mixture_tail(
     else:
         out = out.withColumn("_m", F.greatest(*[F.col(f"_c{k}") for k in ks]))
         total = sum((F.exp(F.col(f"_c{k}") - F.col("_m")) for k in ks[1:]), F.exp(F.col("_c0") - F.col("_m")))
-        out = out.withColumn("_s", F.col("_m") + F.log(total))
-    out = out.withColumn("_lp", F.greatest("_s", F.lit(math.log(min_p))))
-    out = out.withColumns({"_n": -F.col("_lp") / F.lit(math.log(10.0)), "_p": F.exp("_lp")})
+        out = out.withColumn("_s", F.col("_m") + _sure(F.log(total)))
+    out = out.withColumn("_lp", F.least(F.greatest(F.col("_s"), F.lit(math.log(min_p))), F.lit(0.0)))
+    missing = F.col(score).isNull() | F.isnan(score)
     return out.select(
         *df.columns,
-        sanitize("_n").alias(neglog10),
-        sanitize("_p", nan=1.0, pos_inf=1.0, neg_inf=1.0, low=min_p, high=1.0).alias(p),
+        F.when(missing, 0.0).otherwise(F.abs("_lp") * F.lit(1.0 / math.log(10.0))).alias(neglog10),
+        F.when(missing, 1.0).otherwise(F.exp("_lp")).alias(p),
     )

@@ -60,7 +60,8 @@ def with_scores(candidates: DataFrame, mixture: Mixture, cfg: HotspotConfig) ->
     """Add p_val, neglog10_p and LLR_weighted to candidate intervals."""
     kb = length_kb("len_bp", cfg.unit)
     positive = F.col("LLR_raw") > 0
-    scored = mixture_tail(candidates.withColumn("_norm", llr_norm("LLR_raw", kb)), "_norm", mixture)
+    clean = candidates.withColumn("LLR_raw", F.coalesce("LLR_raw", F.lit(0.0)))
+    scored = mixture_tail(clean.withColumn("_norm", llr_norm("LLR_raw", kb)), "_norm", mixture)
     return (
         scored.withColumns({
             "p_val": F.when(positive, F.col("p_val")).otherwise(1.0),
