@@ -160,11 +160,43 @@ def _count_histogram(groups: DataFrame) -> DataFrame:
     )
 
 
+def _ranked_histogram(groups: DataFrame) -> DataFrame:
+    """``_count_histogram`` with r, the number of samples with fewer events."""
+    w = Window.partitionBy(*INTERVAL).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    return _count_histogram(groups).where(F.col("x") > 0).withColumn("r", F.coalesce(F.sum("m").over(w), F.lit(0)))
+
+
+_MEDIAN = "median_junc_per_sample"
+
+
+def _sample_sums(ranked: DataFrame) -> DataFrame:
+    x, m, r = F.col("x").cast("double"), F.col("m"), F.col("r")
+    return ranked.groupBy(*INTERVAL).agg(
+        F.sum(F.col("x") * m).alias("n_evt_all"),
+        F.sum(m).alias("n_samp_all"),
+        F.max("x").alias("max_junc_per_sample"),
+        F.percentile("x", 0.5, m).alias(_MEDIAN),
+        # sums over the m equal values at ranks r + 1 .. r + m
+        F.sum(x * m * (2 * r + m)).alias("_ranks"),
+    )
+
+
+def _gini(compat: bool) -> Column:
+    n, s, ranks = F.col("n_samp_all"), F.col("n_evt_all"), F.col("_ranks")
+    if compat:
+        # sum of running shares = sum of (n + 1 - rank) * x / s
+        shares = (n + 1) - (ranks / s + 1) / 2
+        value = n + 1.0 - 2.0 * shares / n
+    else:
+        value = ranks / (n.cast("double") * s) - 1.0
+    return F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))
+
+
 def per_sample_spread(groups: DataFrame) -> DataFrame:
     """Maximum and exact median of events per sample."""
     return _count_histogram(groups).groupBy(*INTERVAL).agg(
         F.max("x").alias("max_junc_per_sample"),
-        F.percentile("x", 0.5, F.col("m")).alias("median_junc_per_sample"),
+        F.percentile("x", 0.5, F.col("m")).alias(_MEDIAN),
     )
 
 
@@ -174,26 +206,30 @@ def gini(groups: DataFrame, compat: bool = False) -> DataFrame:
     ``compat`` gives another published variant, which divides only the summed
     shares by the number of samples and is then clamped to [0, 1].
     """
-    w = Window.partitionBy(*INTERVAL).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    hist = _count_histogram(groups).where(F.col("x") > 0).withColumn("r", F.coalesce(F.sum("m").over(w), F.lit(0)))
-    x, m, r = F.col("x").cast("double"), F.col("m"), F.col("r")
-    sums = (
-        hist.groupBy(*INTERVAL)
-        .agg(
-            F.sum(m).alias("n"),
-            F.sum(x * m).alias("s"),
-            # sums over the m equal values at ranks r + 1 .. r + m
-            F.sum(x * m * (2 * r + m)).alias("twice_rank"),
-        )
+    sums = _sample_sums(_ranked_histogram(groups))
+    return sums.select(*INTERVAL, _gini(compat).alias("gini_junc"))
+
+
+def sample_stats(groups: DataFrame, compat: bool = False) -> DataFrame:
+    """All statistics over the samples of each interval, from one histogram."""
+    sums = _sample_sums(_ranked_histogram(groups))
+    return sums.withColumn("gini_junc", _gini(compat)).drop("_ranks")
+
+
+def type_stats(groups: DataFrame, types: list[str], dedup_sample: bool = True, pattern: str = "tra") -> DataFrame:
+    """All statistics over the types of each interval, from one count per type."""
+    by_type = groups.groupBy(*INTERVAL, "event_type").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("samples")
+    )
+    def of(t: str, value: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("event_type") == t, F.col(value))), F.lit(0))
+    hits = F.sum(F.when(F.col("event_type").contains(pattern), F.col("n")).otherwise(0))
+    return by_type.groupBy(*INTERVAL).agg(
+        F.count(F.lit(1)).alias("event_type_diversity"),
+        (hits / F.sum("n")).alias("frac_TRA"),
+        *[of(t, "n").alias(f"n_evt_{t}") for t in types],
+        *[of(t, "samples").alias(f"n_samp_{t}") for t in types if dedup_sample],
     )
-    n, s, ranks = F.col("n"), F.col("s"), F.col("twice_rank")
-    if compat:
-        # sum of running shares = sum of (n + 1 - rank) * x / s
-        shares = (n + 1) - (ranks / s + 1) / 2
-        value = n + 1.0 - 2.0 * shares / n
-    else:
-        value = (ranks - n * s) / (n * s)
-    return sums.select(*INTERVAL, F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)).alias("gini_junc"))
 
 
 def type_fraction(groups: DataFrame, pattern: str = "tra", name: str = "frac_TRA") -> DataFrame:
@@ -219,15 +255,10 @@ def attach_event_stats(
         return results.withColumns({n: F.lit(0).cast(t) for n, t in STAT_DEFAULTS.items()})
     types = event_types(groups) if types is None else types
     tables = [
-        event_counts(groups),
-        per_sample_spread(groups),
-        gini(groups, gini_compat),
-        type_fraction(groups, pattern),
+        sample_stats(groups, gini_compat),
+        # a type called "all" would take the name of the total
+        type_stats(groups, [t for t in types if t != "all"], dedup_sample, pattern),
     ]
-    if types:
-        tables.append(events_by_type(groups, types))
-        if dedup_sample:
-            tables.append(samples_by_type(groups, types))
     out = results
     for table in tables:
         out = out.join(table, INTERVAL, "left")
