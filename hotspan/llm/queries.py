@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from hotspan.llm.chat import format_chats, read_back
 from hotspan.llm.media import media_columns, media_digests
+from hotspan.llm.pii import KINDS, find_pii
 from hotspan.llm.quality import quality_report
+from hotspan.llm.secrets import BASE, scan_secrets
 from hotspan.llm.tables import read
 from hotspan.llm.tokens import count_tokens
 
@@ -48,3 +50,33 @@ def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op6_media_columns(spark: SparkSession, sf: str) -> DataFrame:
     return media_digests(media_columns(read(spark, sf, "documents")))
+
+
+def _spans(keep=None):
+    """``kind:start:end`` of the spans for which ``keep(span)`` holds, comma-joined."""
+    zipped = F.arrays_zip("kinds", "starts", "ends", *(["is_base"] if keep == "is_base" else []))
+    if keep == "is_base":
+        zipped = F.filter(zipped, lambda s: s["is_base"])
+    elif keep:
+        zipped = F.filter(zipped, lambda s: s["kinds"].isin(*keep))
+    return F.array_join(F.transform(zipped, lambda s: F.concat_ws(":", s["kinds"], s["starts"], s["ends"])), ",")
+
+
+def _count(kind: str, base: bool = False):
+    spans = F.arrays_zip("kinds", "is_base") if base else F.arrays_zip("kinds")
+    return F.size(F.filter(spans, lambda s: (s["kinds"] == kind) & (s["is_base"] if base else F.lit(True)))).cast("long")
+
+
+@query
+def op4_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
+    base = [r.kind for r in BASE]
+    return scan_secrets(read(spark, sf, "documents")).select(
+        "doc_id", *[_count(k).alias(f"n_{k}") for k in base],
+        F.sha2(_spans(base), 256).alias("base_sha256"), _spans().alias("spans"))
+
+
+@query
+def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return find_pii(read(spark, sf, "documents")).select(
+        "doc_id", *[_count(k, base=True).alias(f"n_{k}") for k in KINDS],
+        F.sha2(_spans("is_base"), 256).alias("base_sha256"), _spans().alias("spans"))
