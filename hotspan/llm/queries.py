@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hotspan.llm.chat import format_chats, read_back
 from hotspan.llm.media import media_columns, media_digests
+from hotspan.llm.ngram_join import similarity_components
 from hotspan.llm.pii import KINDS, find_pii
 from hotspan.llm.quality import quality_report
 from hotspan.llm.secrets import BASE, scan_secrets
@@ -80,3 +81,8 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
     return find_pii(read(spark, sf, "documents")).select(
         "doc_id", *[_count(k, base=True).alias(f"n_{k}") for k in KINDS],
         F.sha2(_spans("is_base"), 256).alias("base_sha256"), _spans().alias("spans"))
+
+
+@query
+def op8_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return similarity_components(read(spark, sf, "documents"))
