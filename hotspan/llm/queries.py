@@ -13,6 +13,7 @@ from hotspan.llm.ngram_join import similarity_components
 from hotspan.llm.pii import KINDS, find_pii
 from hotspan.llm.quality import quality_report
 from hotspan.llm.secrets import BASE, scan_secrets
+from hotspan.llm.substring import remove_repeats
 from hotspan.llm.tables import read
 from hotspan.llm.tokens import count_tokens
 
@@ -86,3 +87,9 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op8_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return similarity_components(read(spark, sf, "documents"))
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return remove_repeats(read(spark, sf, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
