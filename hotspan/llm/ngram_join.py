@@ -301,3 +301,15 @@ def similarity_components(docs: DataFrame, config: JoinConfig | None = None) ->
     return entities.join(found, ["e1", "e2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, config: JoinConfig | None = None) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its component, each once.
+
+    Rows without a doc_id name no group and stay. Rows of one doc_id with
+    different texts are different documents.
+    """
+    found = similarity_components(docs, config)
+    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+    known = docs.join(kept, "doc_id", "left_semi").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return known.unionByName(docs.where("doc_id is null"))

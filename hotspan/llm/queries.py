@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from hotspan.llm.chat import format_chats, read_back
 from hotspan.llm.media import media_columns, media_digests
+from hotspan.llm.mixing import MixingConfig, mixing_report
 from hotspan.llm.ngram_join import similarity_components
+from hotspan.llm.packing import pack
 from hotspan.llm.pii import KINDS, find_pii
 from hotspan.llm.quality import quality_report
 from hotspan.llm.secrets import BASE, scan_secrets
@@ -93,3 +95,15 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
 def op2_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return remove_repeats(read(spark, sf, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op7_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    domains = [d for d, _ in MixingConfig().targets]
+    return mixing_report(read(spark, sf, "documents"), read(spark, sf, "labels")).select(
+        "doc_id", "n_tokens", *[F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(domains)], "rate", "copies")
+
+
+@query
+def op9_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(read(spark, sf, "documents"))

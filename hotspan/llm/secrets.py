@@ -10,15 +10,15 @@ automaton finds the leftmost matches and their ends.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from hotspan.llm.automaton import Automaton, compile_rules
+from hotspan.llm.automaton import compile_rules
 from hotspan.llm.tables import small_batches, texts
 
 
@@ -138,6 +138,23 @@ class Scanner:
 SPANS = "doc_id bigint, kinds array<string>, starts array<int>, ends array<int>"
 
 
+def spans_of(scanner: Scanner, column: pa.Array) -> list[list[tuple[int, int, int]]]:
+    """(rule, start, end) of the secrets of each text, in the order of (start, rule)."""
+    column = column.fill_null("").cast(pa.large_string())
+    _, offsets, buffer = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(buffer, np.uint8) if buffer else np.zeros(0, np.uint8)
+    spans: list[list[tuple[int, int, int]]] = [[] for _ in range(len(column))]
+    first = 0
+    while first < len(column):
+        last = max(first + 1, int(np.searchsorted(at, at[first] + BLOCK_BYTES, side="right")) - 1)
+        part = at[first : last + 1]
+        for doc, rows in scanner.scan(data[part[0] : part[-1]], part - part[0]).items():
+            spans[first + doc] = sorted(rows, key=lambda r: (r[1], r[0]))
+        first = last
+    return spans
+
+
 def scan_secrets(docs: DataFrame, rules: tuple[SecretRule, ...] = BASE + MORE) -> DataFrame:
     """``doc_id`` and the spans of its secrets, in the order of (start, rule).
 
@@ -146,23 +163,11 @@ def scan_secrets(docs: DataFrame, rules: tuple[SecretRule, ...] = BASE + MORE) -
     null; other columns are ignored. No shuffle.
     """
     small_batches(docs.sparkSession)
-    scanner = Scanner(rules)
-    kinds = [r.kind for r in rules]
+    scanner, kinds = Scanner(rules), [r.kind for r in rules]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(1).fill_null("").cast(pa.large_string())
-            _, offsets, buffer = column.buffers()
-            at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-            data = np.frombuffer(buffer, np.uint8) if buffer else np.zeros(0, np.uint8)
-            spans: list[list] = [[] for _ in range(len(column))]
-            first = 0
-            while first < len(column):
-                last = max(first + 1, int(np.searchsorted(at, at[first] + BLOCK_BYTES, side="right")) - 1)
-                part = at[first : last + 1]
-                for doc, rows in scanner.scan(data[part[0] : part[-1]], part - part[0]).items():
-                    spans[first + doc] = sorted(rows, key=lambda r: (r[1], r[0]))
-                first = last
+            spans = spans_of(scanner, batch.column(1))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0),
                 pa.array([[kinds[k] for k, _, _ in s] for s in spans], pa.list_(pa.string())),
@@ -173,12 +178,37 @@ def scan_secrets(docs: DataFrame, rules: tuple[SecretRule, ...] = BASE + MORE) -
     return texts(docs).mapInArrow(run, SPANS)
 
 
-def joined(spans: list[tuple[str, int, int]]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+def redact(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
+    """``text`` with ``mark`` in place of each stretch that spans cover."""
+    out, at = [], 0
+    for _, start, end in sorted(spans, key=lambda s: s[1]):
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
 
 
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+def redact_secrets(docs: DataFrame, rules: tuple[SecretRule, ...] = BASE + MORE, mark: str = "[secret]") -> DataFrame:
+    """``docs`` with the secrets in ``text`` replaced; overlapping spans by one mark.
 
+    Rows and all other columns stay; ``n_chars``, if there is one, follows the
+    text. A null text stays null. No shuffle.
+    """
+    small_batches(docs.sparkSession)
+    scanner, at = Scanner(rules), docs.columns.index("text")
 
-__all__ = ["BASE", "MORE", "Automaton", "Scanner", "SecretRule", "digest", "joined", "scan_secrets"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(at)
+            spans = spans_of(scanner, column)
+            if any(spans):
+                clean = [redact(t, s, mark) if s else t for t, s in zip(column.to_pylist(), spans, strict=True)]
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(clean, column.type))
+            yield batch
+
+    out = docs.mapInArrow(run, docs.schema)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        size = F.when(F.col("text").isNotNull(), F.char_length("text").cast(kind)).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", size)
+    return out
