@@ -22,6 +22,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hotspan.llm.tables import settled
 from hotspan.session import stage_table
 
 BLANKS = "[\\x20\\x09-\\x0D]+"
@@ -184,7 +185,7 @@ def _steps(members: DataFrame, config: MixingConfig) -> list[list[float]]:
 def _rated(members: DataFrame, steps: list[list[float]], keep: list[str], config: MixingConfig) -> DataFrame:
     unit = F.pmod(F.xxhash64("_hash", F.lit(config.seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     return members.withColumn("rate", F.when(F.col("n") == 0, 1.0).otherwise(F.round(_rate(steps), 6))).select(
-        *keep, F.col("n").alias("n_tokens"), F.col("p").alias("posterior"), "rate", F.floor(F.col("rate") + unit).cast("int").alias("copies"))
+        *keep, F.col("n").alias("n_tokens"), F.col("p").alias("posterior"), "rate", settled(F.floor(F.col("rate") + unit).cast("int")).alias("copies"))
 
 
 def mixing_report(docs: DataFrame, labels: DataFrame, config: MixingConfig | None = None) -> DataFrame:

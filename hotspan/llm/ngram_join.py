@@ -6,7 +6,7 @@ Jaccard similarity of at least t share at least k tokens within their first
 ``n - ceil(t n) + k`` ones (k of the smaller set). So:
 
 1. One pass writes each document's entity and a count sketch of all tokens,
-   which splits tokens into rare and frequent ones.
+   which orders tokens from rare to frequent and says which are crowded.
 2. A second pass emits the extended prefix of each entity. Rare tokens are
    grouped by token; those of one entity alone cannot match and go. Entities
    with fewer than k tokens left go, too.
@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hotspan.llm.components import components
-from hotspan.llm.crowded import PART, Sketch, crowded_buckets
+from hotspan.llm.crowded import CROWDED, PART, Sketch, bucket_levels
 from hotspan.llm.tables import small_batches, texts
 from hotspan.llm.words import grams, groups, mix, signed, words_of
 from hotspan.session import stage_table
@@ -113,12 +113,12 @@ def _first_pass(docs: DataFrame, config: JoinConfig) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id bigint, n bigint, {ENTITY}, {PART}")
 
 
-def _prefixes(docs: DataFrame, frequent: np.ndarray, config: JoinConfig) -> DataFrame:
+def _prefixes(docs: DataFrame, levels: np.ndarray, config: JoinConfig) -> DataFrame:
     """``token, e1, e2, frequent`` of the extended prefixes, rare tokens first."""
-    packed, mask = np.packbits(frequent), np.uint64(len(frequent) - 1)
+    packed, mask = zlib.compress(levels.tobytes(), 1), np.uint64(len(levels) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, seen = np.unpackbits(packed).astype(bool), set()
+        rank, seen = np.frombuffer(zlib.decompress(packed), np.uint8), set()
         for batch in batches:
             tokens_out, e_out = [], []
             for tokens in shingle_sets(batch.column(1), config.shingle):
@@ -130,8 +130,8 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, config: JoinConfig) -> Data
                     continue
                 if len(seen) < config.remembered:
                     seen.add(e)
-                hot = often[(tokens & mask).astype(np.int64)]
-                kept = np.concatenate([tokens[~hot], tokens[hot]])[: n - config.need(n) + config.k(n)]
+                order = np.argsort(rank[(tokens & mask).astype(np.int64)], kind="stable")
+                kept = tokens[order[: n - config.need(n) + config.k(n)]]
                 tokens_out.append(kept)
                 e_out.append((*e, len(kept)))
             if tokens_out:
@@ -139,7 +139,7 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, config: JoinConfig) -> Data
                 e1, e2, count = (np.array(c, np.int64) for c in zip(*e_out, strict=True))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(signed(tokens)), pa.array(np.repeat(e1, count)), pa.array(np.repeat(e2, count)),
-                    pa.array(often[(tokens & mask).astype(np.int64)])], ["token", "e1", "e2", "frequent"])
+                    pa.array(rank[(tokens & mask).astype(np.int64)] >= CROWDED)], ["token", "e1", "e2", "frequent"])
 
     return docs.mapInArrow(run, f"token bigint, {ENTITY}, frequent boolean")
 
@@ -283,8 +283,8 @@ def similarity_components(docs: DataFrame, config: JoinConfig | None = None) ->
     small_batches(docs.sparkSession)
     first = stage_table(_first_pass(docs, config), "entities")
     entities = first.where("block is null").select("doc_id", "n", "e1", "e2")
-    frequent = crowded_buckets(first.where("block is not null").select("block", "counts"))
-    keys = stage_table(_keys(_prefixes(docs, frequent, config), config), "keys")
+    levels = bucket_levels(first.where("block is not null").select("block", "counts"))
+    keys = stage_table(_keys(_prefixes(docs, levels, config), config), "keys")
 
     one = entities.where("n > 0").groupBy("e1", "e2").agg(F.min("doc_id").alias("doc_id"))
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")

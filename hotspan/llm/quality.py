@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hotspan.llm.tables import settled
 from hotspan.session import stage_table
 
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -192,9 +193,9 @@ def _judged(measured: DataFrame, found: dict, config: QualityConfig, keep: list[
         (F.col("n_words") < config.min_words) | (100 * F.col("n_repeat_words") > config.max_repeat_percent * F.col("n_words")),
     ).withColumn(
         "kept",
-        ~F.col("base_failed")
-        & (F.col("char_divergence") <= config.max_char_divergence)
-        & (F.col("word_divergence") <= config.max_word_divergence),
+        settled(~F.col("base_failed")
+                & (F.col("char_divergence") <= config.max_char_divergence)
+                & (F.col("word_divergence") <= config.max_word_divergence)),
     )
     return out.select(*keep, *MEASURES, *VERDICT)
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hotspan.llm import oracles
 from hotspan.llm.chat import format_chats, read_back
 from hotspan.llm.media import media_columns, media_digests
 from hotspan.llm.mixing import MixingConfig, mixing_report
@@ -20,7 +21,12 @@ from hotspan.llm.tables import read
 from hotspan.llm.tokens import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_chat_formatting": oracles.CHAT,
+    "op2_substring_dedup": oracles.SUBSTRING,
+    "op5_quality_rules": oracles.quality(),
+    "op8_ngram_jaccard_join": oracles.JACCARD,
+}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

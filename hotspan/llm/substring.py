@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hotspan.llm.crowded import PART, Sketch, crowded_buckets
+from hotspan.llm.crowded import CROWDED, PART, Sketch, bucket_levels
 from hotspan.llm.tables import small_batches, texts
 from hotspan.llm.words import Words, grams, groups, signed, words_of
 from hotspan.session import stage_table
@@ -261,7 +261,7 @@ def remove_repeats(docs: DataFrame, config: SubstringConfig | None = None) -> Da
     docs = texts(docs)
     small_batches(docs.sparkSession)
     known = docs.where("doc_id is not null")
-    crowded = crowded_buckets(_sketch(known, config))
+    crowded = bucket_levels(_sketch(known, config)) >= CROWDED
     seeds = with_first(_seeds(known, crowded, config), ["anchor"], F.col("around"))
     # The first place differs from no other, so only its windows matter; an equal other place is matched.
     kind = F.when(F.col("is_first"), F.when(F.col("differ"), WINDOW)).otherwise(F.when(F.col("same"), ANCHOR).otherwise(WINDOW))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that one Arrow batch holds at most, so that long texts do not add up.
@@ -53,6 +53,15 @@ def _arrow(spark: SparkSession, schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
+def settled(value: Column) -> Column:
+    """``value``, as a column that no filter is moved below.
+
+    A filter on a computed column is otherwise moved to the source with the
+    whole computation written into it, once for every use, even inside lambdas.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text``, whatever else the table has."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
