@@ -68,10 +68,12 @@ def point_position(start: Column | str, end: Column | str, use_midpoint: bool =
 
 
 def interval_length(start: Column | str, end: Column | str) -> Column:
-    """Positions covered, both ends included; at least 1."""
-    return F.greatest(_col(end) - _col(start) + 1, F.lit(1))
+    """Positions covered, both ends included; at least 1. Null if an end is null."""
+    length = _col(end) - _col(start) + 1
+    return F.when(length < 1, F.lit(1)).otherwise(length)
 
 
 def length_kb(len_bp: Column | str, unit: float = 1000.0) -> Column:
-    """Exposure: length in units, never zero."""
-    return F.greatest(_col(len_bp) / F.lit(float(unit)), F.lit(MIN_KB))
+    """Exposure: length in units, never zero. Null stays null."""
+    kb = _col(len_bp) / F.lit(float(unit))
+    return F.when(kb < MIN_KB, F.lit(MIN_KB)).otherwise(kb)

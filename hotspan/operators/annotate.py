@@ -119,13 +119,10 @@ def _pivot(groups: DataFrame, prefix: str, types: list[str], value: Column) -> D
     )
 
 
-def event_types(groups: DataFrame, most: int = 1000) -> list[str]:
-    """Distinct types in order. Each becomes a column, so too many are refused;
-    ``types_as_map`` has no such limit."""
-    rows = groups.select("event_type").distinct().limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} event types; use types_as_map")
-    return sorted(r["event_type"] for r in rows)
+def event_types(groups: DataFrame) -> list[str]:
+    """Distinct types in order, for results with a column for each type. With
+    more types than a table can have columns, use ``types_as_map``."""
+    return sorted(r["event_type"] for r in groups.select("event_type").distinct().collect())
 
 
 def events_by_type(groups: DataFrame, types: list[str]) -> DataFrame:
@@ -245,14 +242,24 @@ def attach_event_stats(
     dedup_sample: bool = True,
     gini_compat: bool = False,
     pattern: str = "tra",
+    types_as: str = "columns",
 ) -> DataFrame:
     """Join all statistics to the intervals, 0 where there are no events.
 
     The statistics share one shuffle key, so their joins need no further
-    exchange of the summaries.
+    exchange of the summaries. ``types_as`` is ``columns`` (the given types,
+    or all of them) or ``map``, which gives the maps ``n_evt`` and ``n_samp``
+    and takes any number of types.
     """
     if groups is None:
         return results.withColumns({n: F.lit(0).cast(t) for n, t in STAT_DEFAULTS.items()})
+    if types_as == "map":
+        plain = attach_event_stats(results, groups, [], dedup_sample, gini_compat, pattern)
+        maps = types_as_map(groups)
+        names = ["n_evt", "n_samp"] if dedup_sample else ["n_evt"]
+        none = F.create_map().cast("map<string,bigint>")
+        return plain.join(maps.select(*INTERVAL, *names), INTERVAL, "left").select(
+            *plain.columns, *[F.coalesce(n, none).alias(n) for n in names])
     types = event_types(groups) if types is None else types
     tables = [
         sample_stats(groups, gini_compat),

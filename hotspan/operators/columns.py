@@ -85,8 +85,11 @@ def profile_text_columns(df: DataFrame, approx: bool = False) -> DataFrame:
     return wide.select(F.inline(F.array(*[F.col(f"c{i}") for i in range(len(cols))])))
 
 
-def guess_sample_column(df: DataFrame, approx: bool = False) -> str:
-    """Name of the sample column: by name, by content, else the most varied."""
+def guess_sample_column(df: DataFrame, approx: bool = True) -> str:
+    """Name of the sample column: by name, by content, else the most varied.
+
+    Distinct values are counted by sketches unless ``approx`` is off.
+    """
     try:
         return pick_column(df, GUESS_SAMPLE_NAMES, "sample")
     except KeyError:

@@ -9,70 +9,55 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hotspan.operators.ordered import cut, running
-
-BLOCKS = 256
-SALTS = 32
-HOT_ROWS = 1_000_000
-MOST_HOT = 1_000
-
-
-def _clip01(col: Column | str) -> Column:
-    value = F.col(col) if isinstance(col, str) else col
-    return F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))
-
-
-def _ranked(df: DataFrame, p: Column, blocks: int, hot_rows: int) -> tuple[DataFrame, list[float]]:
-    """Distinct p with the number of rows that have it (n) or less (upto), and
-    the values that more than ``hot_rows`` rows share, at most MOST_HOT."""
-    distinct = df.groupBy(p.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    shares = [i / blocks for i in range(1, blocks)] or [0.5]
-    crowded = F.collect_list(F.when(F.col("_n") > hot_rows, F.struct("_n", "_p")))
-    row = distinct.agg(
-        F.percentile_approx("_p", shares, max(10_000, 10 * blocks)).alias("points"),
-        F.slice(F.sort_array(crowded, False), 1, MOST_HOT).alias("hot"),
-    ).first()
-    points = sorted({float(v) for v in (row["points"] or [])}) if blocks > 1 else []
-    placed = cut(distinct, "_p", points, "_blk")
-    return running(placed, [], "_blk", ["_p"], {"_upto": ("sum", F.col("_n"))}), [r["_p"] for r in row["hot"]]
+from hotspan.functions.numeric import sanitize
+from hotspan.operators.ordered import cut, running, split_points
+from hotspan.session import stage_table
+
+#: Distinct values that one task orders, about; the number of tasks is bounded.
+ROWS_PER_BLOCK = 200_000
+MOST_BLOCKS = 10_000
+
 
+def clean_p(col: Column | str) -> Column:
+    """A p-value in [0, 1]; a missing or infinite one is 1."""
+    return sanitize(col, nan=1.0, pos_inf=1.0, neg_inf=1.0, low=0.0, high=1.0)
 
-def _lookup(rows: DataFrame, table: DataFrame, hot: list[float], spread: Column) -> DataFrame:
-    """Join on ``_p``. The rows of a crowded value are spread over SALTS join
-    keys; only those few values are copied in the table."""
-    if not hot:
-        return rows.join(table, "_p")
-    crowded = F.col("_p").isin(hot)
-    salt = F.when(crowded, F.pmod(spread, F.lit(SALTS))).otherwise(0).cast("int")
-    copies = F.when(crowded, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return rows.withColumn("_salt", salt).join(
-        table.withColumn("_salt", F.explode(copies)), ["_p", "_salt"]
-    ).drop("_salt")
+
+def _ranked(df: DataFrame, p: Column, rows_per_block: int) -> DataFrame:
+    """Distinct p with the number of rows that have it (n) or less (upto); written once."""
+    distinct = stage_table(df.groupBy(p.alias("_p")).agg(F.count(F.lit(1)).alias("_n")), "distinct_p")
+    blocks = min(MOST_BLOCKS, -(-distinct.count() // rows_per_block))
+    points = split_points(distinct, "_p", blocks) if blocks > 1 else []
+    placed = cut(distinct, "_p", points, "_blk")
+    return stage_table(running(placed, [], "_blk", ["_p"], {"_upto": ("sum", F.col("_n"))}), "ranked_p")
 
 
-def _qvalues(df: DataFrame, p: str, out: str, pi0: float, blocks: int, hot_rows: int) -> DataFrame:
-    ranked, hot = _ranked(df, _clip01(p), blocks, hot_rows)
-    m = df.agg(F.count(F.lit(1))).scalar()
+def _qvalues(df: DataFrame, p: str, out: str, pi0: float, rows_per_block: int) -> DataFrame:
+    ranked = _ranked(df, clean_p(p), rows_per_block)
+    m = ranked.agg(F.max("_upto")).scalar()
     raw = F.lit(float(pi0)) * m * F.col("_p") / F.col("_upto")
     q = running(ranked.withColumn("_raw", raw), [], "_blk", ["_p"], {"_q": ("min", F.col("_raw"))}, reverse=True)
-    keyed = df.withColumn("_p", _clip01(p))
-    return _lookup(keyed, q.select("_p", _clip01("_q").alias(out)), hot, F.xxhash64(*df.columns)).drop("_p")
+    # A written table and plain rows: both sides are shuffled, so a value that
+    # a large share of the rows has is split by the planner.
+    table = stage_table(q.select("_p", F.least(F.col("_q"), F.lit(1.0)).alias(out)), "q_by_p")
+    return df.drop(out).withColumn("_p", clean_p(p)).join(table, "_p").drop("_p")
 
 
-def bh_qvalues(df: DataFrame, p: str = "p", out: str = "q", blocks: int = BLOCKS, hot_rows: int = HOT_ROWS) -> DataFrame:
+def bh_qvalues(df: DataFrame, p: str = "p", out: str = "q", rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Benjamini-Hochberg q-value of each row.
 
     The q-value depends on p alone, so it is computed on the distinct
-    p-values: rank and running minimum go over blocks of them.
+    p-values: rank and running minimum go over blocks of them. Missing
+    p-values count as 1.
     """
-    return _qvalues(df, p, out, 1.0, blocks, hot_rows)
+    return _qvalues(df, p, out, 1.0, rows_per_block)
 
 
 def storey_qvalues(
-    df: DataFrame, pi0: float, p: str = "p", out: str = "q", blocks: int = BLOCKS, hot_rows: int = HOT_ROWS
+    df: DataFrame, pi0: float, p: str = "p", out: str = "q", rows_per_block: int = ROWS_PER_BLOCK
 ) -> DataFrame:
     """As ``bh_qvalues``, times the share of true nulls."""
-    return _qvalues(df, p, out, pi0, blocks, hot_rows)
+    return _qvalues(df, p, out, pi0, rows_per_block)
 
 
 def lambda_grid(start: float = 0.05, end: float = 0.95, step: float = 0.01) -> list[float]:
@@ -84,9 +69,8 @@ def lambda_grid(start: float = 0.05, end: float = 0.95, step: float = 0.01) -> l
 
 def _tail_histogram(df: DataFrame, p: str, grid: list[float]) -> DataFrame:
     """Rows per cell of the grid: ``cell`` = number of grid points below p."""
-    good = df.where(F.col(p).isNotNull() & ~F.isnan(p) & (F.abs(p) != float("inf")))
     edges = [float(np.nextafter(x, 2.0)) for x in grid]  # p > x, not p >= x
-    return cut(good.select(_clip01(p).alias("_p")), "_p", edges, "cell").groupBy("cell").agg(
+    return cut(df.select(clean_p(p).alias("_p")), "_p", edges, "cell").groupBy("cell").agg(
         F.count(F.lit(1)).alias("n")
     )
 
@@ -205,22 +189,20 @@ def fdr(
     return storey_qvalues(df, pi0, p, out)
 
 
-def qq_table(df: DataFrame, p: str = "p", blocks: int = BLOCKS, hot_rows: int = HOT_ROWS) -> DataFrame:
+def qq_table(df: DataFrame, p: str = "p", rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Per row of ``df``: rank, expected and observed -log10 p.
 
     The rank is the number of smaller p-values plus the place among the equal
-    ones; a large group of equal p-values is itself cut by hash.
+    ones; a large group of equal p-values is itself cut by hash. Missing
+    p-values count as 1.
     """
-    clean = df.select(
-        F.least(F.greatest(F.col(p), F.lit(1e-300)), F.lit(1.0)).alias("_p"),
-        F.xxhash64(*df.columns).alias("_h"),
-    )
-    ranked, hot = _ranked(clean, F.col("_p"), blocks, hot_rows)
+    clean = df.select(F.greatest(clean_p(p), F.lit(1e-300)).alias("_p"), F.xxhash64(*df.columns).alias("_h"))
+    ranked = _ranked(clean, F.col("_p"), rows_per_block)
     below = ranked.select("_p", (F.col("_upto") - F.col("_n")).alias("_below"))
     placed = clean.withColumn("_blk", F.shiftright("_h", 54).cast("int"))
     ties = running(placed, ["_p"], "_blk", ["_h"], {"_tie": ("sum", F.lit(1).cast("bigint"))})
-    m = df.agg(F.count(F.lit(1))).scalar()
-    ranks = _lookup(ties, below, hot, F.col("_h")).select((F.col("_below") + F.col("_tie")).alias("rank"), "_p")
+    m = ranked.agg(F.max("_upto")).scalar()
+    ranks = ties.join(below, "_p").select((F.col("_below") + F.col("_tie")).alias("rank"), "_p")
     return ranks.select(
         "rank",
         (-F.log10((F.col("rank") - 0.5) / m)).alias("expected"),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 import math
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -66,8 +68,11 @@ def _fit(data: DataFrame, k: int, seed: int, max_iter: int, tol: float) -> tuple
         var = max(row["q"] / row["n"] - mean * mean, MIN_SIGMA**2)
         log_likelihood = -0.5 * row["n"] * (math.log(2.0 * math.pi * var) + 1.0)
         return Mixture((1.0,), (mean,), (math.sqrt(var),)), log_likelihood
+    # The tolerance is one of the mean log-likelihood; Spark compares the total.
+    # It is small, since the random start can first meet a plateau.
+    size = data.agg(F.sum("n")).first()[0]
     model = GaussianMixture(
-        k=k, featuresCol="vec", weightCol="n", seed=seed, maxIter=max_iter, tol=tol
+        k=k, featuresCol="vec", weightCol="n", seed=seed, maxIter=max_iter, tol=tol * size
     ).fit(data)
     rows = model.gaussiansDF.collect()
     found = sorted(
@@ -81,25 +86,48 @@ def _fit(data: DataFrame, k: int, seed: int, max_iter: int, tol: float) -> tuple
 
 
 def _few(data: DataFrame, k: int) -> list[tuple[float, float]] | None:
-    """The distinct values if there are at most ``k`` of them."""
+    """The distinct values if there are at most ``k`` of them: the fit is then
+    known, one component at each value with the least width."""
     rows = data.select("z", "n").limit(k + 1).collect()
     return sorted((r["z"], r["n"]) for r in rows) if len(rows) <= k else None
 
 
+def _fixed(data: DataFrame, k: int, seed: int, max_iter: int, tol: float) -> Mixture:
+    few = _few(data, k)
+    if few is not None:
+        return _points(few) if few else EMPTY_MIXTURE
+    return _fit(data, k, seed, max_iter, tol)[0]
+
+
+def _automatic(data: DataFrame, k_min: int, k_max: int, seed: int, n_init: int, max_iter: int, tol: float) -> Mixture:
+    n = data.agg(F.sum("n")).first()[0]
+    if not n:
+        return EMPTY_MIXTURE
+    few = _few(data, 1)
+    if few is not None:
+        return _points(few)
+    best, best_bic = None, math.inf
+    for k in range(max(1, k_min), max(k_min, min(k_max, max(1, int(n // 10)))) + 1):
+        fits = [_fit(data, k, seed + i, max_iter, tol) for i in range(n_init if k > 1 else 1)]
+        mixture, log_likelihood = max(fits, key=lambda pair: pair[1])
+        bic = -2.0 * log_likelihood + (3 * k - 1) * math.log(n)
+        if bic < best_bic:
+            best, best_bic = mixture, bic
+    return best
+
+
 def fit_mixture(
     sample: DataFrame,
     k: int = 3,
     seed: int = 0,
     max_iter: int = 100,
-    tol: float = 1e-3,
+    tol: float = 1e-6,
     resolution: float = 1e-4,
+    keep_spikes: bool = False,
 ) -> Mixture:
-    """Mixture of ``k`` components on log1p(score), without spikes at zero."""
-    data = _prepare(sample, resolution)
-    few = _few(data, k)
-    if few is not None:
-        return drop_spikes(_points(few)) if few else EMPTY_MIXTURE
-    return drop_spikes(_fit(data, k, seed, max_iter, tol)[0])
+    """Mixture of ``k`` components on log1p(score), without spikes at zero unless they are kept."""
+    found = _fixed(_prepare(sample, resolution), k, seed, max_iter, tol)
+    return found if keep_spikes else drop_spikes(found)
 
 
 def fit_mixture_auto(
@@ -109,25 +137,13 @@ def fit_mixture_auto(
     seed: int = 0,
     n_init: int = 3,
     max_iter: int = 500,
-    tol: float = 1e-3,
+    tol: float = 1e-6,
     resolution: float = 1e-4,
+    keep_spikes: bool = False,
 ) -> Mixture:
     """The number of components with the least BIC, best of ``n_init`` starts."""
-    data = _prepare(sample, resolution)
-    n = data.agg(F.sum("n")).first()[0]
-    if not n:
-        return EMPTY_MIXTURE
-    few = _few(data, 1)
-    if few is not None:
-        return drop_spikes(_points(few))
-    best, best_bic = None, math.inf
-    for k in range(max(1, k_min), max(k_min, min(k_max, max(1, int(n // 10)))) + 1):
-        fits = [_fit(data, k, seed + i, max_iter, tol) for i in range(n_init if k > 1 else 1)]
-        mixture, log_likelihood = max(fits, key=lambda pair: pair[1])
-        bic = -2.0 * log_likelihood + (3 * k - 1) * math.log(n)
-        if bic < best_bic:
-            best, best_bic = mixture, bic
-    return drop_spikes(best)
+    found = _automatic(_prepare(sample, resolution), k_min, k_max, seed, n_init, max_iter, tol)
+    return found if keep_spikes else drop_spikes(found)
 
 
 def mixture_policy(
@@ -136,14 +152,25 @@ def mixture_policy(
     auto: bool = False,
     seed: int = 0,
     max_iter: int = 100,
+    tol: float = 1e-6,
+    resolution: float = 1e-4,
+    keep_spikes: bool = False,
 ) -> Mixture:
     """The mixture the scoring uses: automatic size up to max(3, k) with the
-    fixed size as fallback, or the fixed size; an empty sample is replaced."""
-    if sample.isEmpty():
-        sample = sample.sparkSession.createDataFrame([(v,) for v in EMPTY_SAMPLE], "score double")
+    fixed size as fallback, or the fixed size; an empty sample is replaced.
+
+    The scores are computed once, for the histogram. Only a fit that rejects
+    its data falls back, with a message; any other failure is raised.
+    """
+    data = _prepare(sample, resolution)
+    if data.isEmpty():
+        replaced = sample.sparkSession.createDataFrame([(v,) for v in EMPTY_SAMPLE], "score double")
+        data = _prepare(replaced, resolution)
     if auto:
         try:
-            return fit_mixture_auto(sample, 1, max(3, k), seed)
-        except Exception:  # the fit can fail on degenerate samples
-            pass
-    return fit_mixture(sample, k, seed, max_iter)
+            found = _automatic(data, 1, max(3, k), seed, 3, 500, tol)
+            return found if keep_spikes else drop_spikes(found)
+        except (ValueError, ZeroDivisionError, IllegalArgumentException) as error:
+            logging.getLogger(__name__).warning("fixed mixture size instead of an automatic one: %s", error)
+    found = _fixed(data, k, seed, max_iter, tol)
+    return found if keep_spikes else drop_spikes(found)

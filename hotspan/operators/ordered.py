@@ -9,6 +9,8 @@ whole sequence.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,7 +84,7 @@ def split_points(df: DataFrame, col: str, blocks: int) -> list[float]:
     """
     shares = [i / blocks for i in range(1, blocks)]
     row = df.agg(F.percentile_approx(col, shares, max(10_000, 10 * blocks)).alias("s")).first()
-    return sorted({float(v) for v in (row["s"] or [])})
+    return sorted({float(v) for v in (row["s"] or []) if math.isfinite(v)})
 
 
 def cut(df: DataFrame, col: str, points: list[float], name: str) -> DataFrame:

@@ -16,7 +16,6 @@ from hotspan.functions.scores import bin_loglike
 from hotspan.operators.ordered import join_per_key
 from hotspan.operators.smooth import rolling_rate
 
-MAX_FEATURES = 4096
 
 
 def rate_baseline(bins: DataFrame, unit: float = 1000.0) -> DataFrame:

@@ -17,7 +17,9 @@ from hotspan.session import stage_table
 
 RATE_MIN = 1e-9
 RATE_MAX = 1e6
-EXACT_LIMIT = 1_000_000
+#: Distinct values that one task orders, about; the number of tasks is bounded.
+ROWS_PER_BLOCK = 200_000
+MOST_BLOCKS = 10_000
 
 
 def _clean(rows: DataFrame, low: float = RATE_MIN) -> DataFrame:
@@ -73,63 +75,49 @@ def segment_residual(rows: DataFrame) -> DataFrame:
 
 
 def exact_percentiles(
-    df: DataFrame, col: str, shares: list[float], limit: int = EXACT_LIMIT, blocks: int = 256
+    df: DataFrame, col: str, shares: list[float], rows_per_block: int = ROWS_PER_BLOCK
 ) -> list[float]:
     """Exact percentiles with linear interpolation between neighbours.
 
-    The built-in exact aggregate keeps all distinct values on one task, so it
-    is used up to ``limit`` rows. Beyond that the values are cut into blocks,
-    the blocks that hold the wanted ranks are found from their counts, and
-    only the distinct values of those blocks are ordered.
+    The distinct values are counted and written once, then cut into blocks of
+    about ``rows_per_block`` values; running counts over blocks and inside
+    them give every value's rank, so no task orders more than a block. NaN
+    and null are left out, infinities are values like others.
     """
     values = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
-    n = values.count()
+    distinct = stage_table(values.groupBy("x").agg(F.count(F.lit(1)).alias("n")), "distinct")
+    row = distinct.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d")).first()
+    n = row["n"] or 0
     if n == 0:
         return [math.nan] * len(shares)
-    if n <= limit:
-        return [float(v) for v in values.agg(F.percentile("x", shares).alias("v")).first()["v"]]
-    placed = cut(values, "x", split_points(values, "x", blocks), "blk")
-    sizes = {r["blk"]: r["n"] for r in placed.groupBy("blk").agg(F.count(F.lit(1)).alias("n")).collect()}
-    begin, seen = {}, 0
-    for blk in sorted(sizes):
-        begin[blk] = seen
-        seen += sizes[blk]
+    blocks = min(MOST_BLOCKS, -(-row["d"] // rows_per_block))
+    placed = cut(distinct, "x", split_points(distinct, "x", blocks) if blocks > 1 else [], "blk")
+    ranked = running(placed, [], "blk", ["x"], {"upto": ("sum", F.col("n"))})
     wanted = sorted({int(r) for q in shares for r in (math.floor(q * (n - 1)), math.ceil(q * (n - 1)))})
-    homes = {r: max(b for b in begin if begin[b] <= r) for r in wanted}
-    distinct = (
-        placed.where(F.col("blk").isin(sorted(set(homes.values()))))
-        .groupBy("blk", "x").agg(F.count(F.lit(1)).alias("n"))
-    )
-    ranked = running(distinct, ["blk"], "blk", ["x"], {"upto": ("sum", F.col("n"))})
     hit = F.lit(False)
-    for r, blk in homes.items():
-        local = r - begin[blk]
-        hit = hit | ((F.col("blk") == blk) & (F.col("upto") > local) & (F.col("upto") - F.col("n") <= local))
+    for r in wanted:
+        hit = hit | ((F.col("upto") > r) & (F.col("upto") - F.col("n") <= r))
     rows = ranked.where(hit).collect()
-    at = {
-        r: next(x["x"] for x in rows
-                if x["blk"] == blk and x["upto"] - x["n"] <= r - begin[blk] < x["upto"])
-        for r, blk in homes.items()
-    }
+    at = {r: next(x["x"] for x in rows if x["upto"] - x["n"] <= r < x["upto"]) for r in wanted}
     out = []
     for q in shares:
         h = q * (n - 1)
         lo, hi = at[math.floor(h)], at[math.ceil(h)]
-        out.append(lo + (hi - lo) * (h - math.floor(h)))
+        out.append(lo if lo == hi else lo + (hi - lo) * (h - math.floor(h)))
     return out
 
 
-def mad_scale(df: DataFrame, col: str, limit: int = EXACT_LIMIT) -> float:
+def mad_scale(df: DataFrame, col: str, rows_per_block: int = ROWS_PER_BLOCK) -> float:
     """1.4826 times the median distance from the median, at least 1e-9."""
-    (median,) = exact_percentiles(df, col, [0.5], limit)
+    (median,) = exact_percentiles(df, col, [0.5], rows_per_block)
     apart = df.select(F.abs(F.col(col) - F.lit(median)).alias("d"))
-    (mad,) = exact_percentiles(apart, "d", [0.5], limit)
+    (mad,) = exact_percentiles(apart, "d", [0.5], rows_per_block)
     return max(1.4826 * mad, 1e-9)
 
 
-def iqr_scale(df: DataFrame, col: str, limit: int = EXACT_LIMIT) -> float:
+def iqr_scale(df: DataFrame, col: str, rows_per_block: int = ROWS_PER_BLOCK) -> float:
     """Distance between the quartiles, at least 1e-9."""
-    low, high = exact_percentiles(df, col, [0.25, 0.75], limit)
+    low, high = exact_percentiles(df, col, [0.25, 0.75], rows_per_block)
     return max(high - low, 1e-9)
 
 

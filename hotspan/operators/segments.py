@@ -16,11 +16,15 @@ INDEX_BLOCK = 1 << 16
 def join_features(bins: DataFrame, features: DataFrame, width: int | None = None) -> DataFrame:
     """Add ``feat`` by (chrom, w_idx); a bin without features gets zeros.
 
-    ``width`` is the length of the vectors, read from one row if not given.
+    ``width`` is the length of the vectors. If it is not given, all vectors
+    must have one length, which is checked.
     """
     if width is None:
-        row = features.select(F.size("feat").alias("n")).where("n > 0").first()
-        width = row["n"] if row else 0
+        size = F.when(F.size("feat") > 0, F.size("feat"))
+        row = features.agg(F.min(size).alias("low"), F.max(size).alias("high")).first()
+        if row["low"] != row["high"]:
+            raise ValueError(f"vectors have from {row['low']} to {row['high']} numbers")
+        width = row["low"] or 0
     zeros = F.array_repeat(F.lit(0.0).cast("float"), width)
     return bins.join(features.select("chrom", "w_idx", "feat"), ["chrom", "w_idx"], "left").withColumn(
         "feat", F.coalesce("feat", zeros)

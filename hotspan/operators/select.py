@@ -37,7 +37,8 @@ from hotspan.session import stage_table
 FAN = 64
 GRAIN = float(1 << 30)
 BIG = 1 << 62
-DENSE_CELLS = 4_000_000
+#: Cells that the pruning of a block holds at once.
+STRIP_CELLS = 1_000_000
 COLUMNS = 256
 BLOCKS_PER_TASK = 5_000
 
@@ -49,13 +50,19 @@ def _undominated(s: np.ndarray, e: np.ndarray, w: np.ndarray) -> np.ndarray:
     by that one always gains, so it is in no best set."""
     starts, i = np.unique(s, return_inverse=True)
     ends, j = np.unique(e, return_inverse=True)
-    if len(starts) * len(ends) > DENSE_CELLS:
-        return np.ones(len(s), bool)
-    heaviest = np.full((len(starts), len(ends)), -np.inf)
-    np.maximum.at(heaviest, (i, j), w)
-    inside = np.maximum.accumulate(heaviest[::-1], axis=0)[::-1]
-    inside = np.maximum.accumulate(inside, axis=1)
-    return inside[i, j] <= w
+    order = np.argsort(-i, kind="stable")
+    strip = max(1, STRIP_CELLS // len(ends))
+    later, keep, at = np.full(len(ends), -np.inf), np.zeros(len(s), bool), 0
+    for top in range(len(starts), 0, -strip):  # from the last starts to the first
+        low = max(0, top - strip)
+        stop = at + int(np.searchsorted(-i[order[at:]], -low, side="right"))
+        rows, at = order[at:stop], stop
+        heaviest = np.full((top - low, len(ends)), -np.inf)
+        np.maximum.at(heaviest, (i[rows] - low, j[rows]), w[rows])
+        inside = np.maximum(np.maximum.accumulate(heaviest[::-1], axis=0)[::-1], later)
+        later = inside[0]
+        keep[rows] = np.maximum.accumulate(inside, axis=1)[i[rows] - low, j[rows]] <= w[rows]
+    return keep
 
 
 def _gain(s: np.ndarray, u: np.ndarray, w: np.ndarray, border: int):

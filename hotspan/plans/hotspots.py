@@ -46,6 +46,8 @@ class HotspotConfig:
     pi0_ceil: float = 1.0
     dedup_sample: bool = True
     gini_compat: bool = False
+    #: A column for each event type, or one map that takes any number of types.
+    types_as: str = "columns"
     seed: int = 0
 
 
@@ -134,6 +136,6 @@ def run_hotspots(
     if events is not None:
         groups = stage_table(event_groups(events, selected, cfg.max_bp + 1), "events_inside")
     annotated = attach_event_stats(
-        result, groups, dedup_sample=cfg.dedup_sample, gini_compat=cfg.gini_compat
+        result, groups, dedup_sample=cfg.dedup_sample, gini_compat=cfg.gini_compat, types_as=cfg.types_as
     )
     return annotated.withColumnsRenamed({"start_bp": "start", "end_bp": "end"}).orderBy("chrom", "start")

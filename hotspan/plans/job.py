@@ -91,7 +91,7 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
     if args.mode == "score":
         if not args.predictions:
             raise ValueError("score needs --predictions")
-        _score(spark, args, read_predictions(spark, args.predictions))
+        _score(spark, args, read_predictions(spark, args.predictions, args.format))
         return
     if not args.bins or not args.features:
         raise ValueError("train needs --bins and --features")
@@ -106,9 +106,10 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
         discard_leftover=args.discard_leftover, huber_factor=args.huber_factor, use_mad=args.use_mad,
         roll_width=args.label_roll_width, rounds=args.rounds, seed=args.seed,
     )
-    predictions, _ = fit_and_predict(ready, cfg)
+    trained = fit_and_predict(ready, cfg)
     path = f"{args.out}/predictions"
-    write_predictions(predictions, path, args.format)
+    write_predictions(trained.predictions, path, args.format)
+    write_stage(trained.history, f"{args.out}/training_history", args.format)
     if not args.no_score:
         _score(spark, args, read_predictions(spark, f"{path}/split=all", args.format))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from hotspan.operators.robust import (
     calibrate_scale,
     huber_weights,
     lookup_weights,
+    robust_objective,
     segment_residual,
 )
 from hotspan.operators.segments import make_segments, split_train_val
@@ -48,14 +51,24 @@ def _bin_weights(placed: DataFrame, weights: DataFrame | None) -> DataFrame:
     )
 
 
-def fit_and_predict(bins: DataFrame, cfg: TrainingConfig | None = None) -> tuple[DataFrame, RateModel]:
-    """Predictions per (split, segment, bin) and the calibrated model.
+class Training(NamedTuple):
+    """``history`` has the robust objective of each (round, split)."""
+
+    predictions: DataFrame
+    model: RateModel
+    history: DataFrame
+
+
+def fit_and_predict(bins: DataFrame, cfg: TrainingConfig | None = None) -> Training:
+    """Predictions per (split, segment, bin), the calibrated model and the objectives.
 
     ``bins`` has chrom, w_idx, start, end, y and the vector ``features``. The
     model sees one bin at a time, so the vectors stay in the bin table and
     only narrow rows are copied into segments; a bin's weight in the fit is
     the sum over the training segments that hold it. Fit and robust weights
-    alternate ``rounds`` times, then the scale is calibrated on all segments.
+    alternate ``rounds`` times; the model of the round with the least objective
+    on the validation segments (on the training ones if there are no others)
+    is kept, and its scale is calibrated on all segments.
     """
     cfg = cfg or TrainingConfig()
     source = stage_table(
@@ -68,16 +81,24 @@ def fit_and_predict(bins: DataFrame, cfg: TrainingConfig | None = None) -> tuple
     placed = stage_table(segments.join(split, "seg_id"), "segments")
     train = placed.where(F.col("split") == "train")
 
-    weights, model = None, None
-    for _ in range(max(1, cfg.rounds)):
+    weights, models, seen = None, [], []
+    for number in range(1, max(1, cfg.rounds) + 1):
         weighted = source.join(_bin_weights(train, weights), ["chrom", "w_idx"])
         # every step of the fit reads its input again; written, it is not joined again
         design = stage_table(weighted.select("features", "kb", "y", "weight"), "design")
         model = fit_rate(design, "weight", cfg.reg, cfg.max_iter)
         rates = add_rate(model, source).select("chrom", "w_idx", "lam")
+        models.append(model)
         rows = rolling_rate(train.join(rates, ["chrom", "w_idx"]), cfg.roll_width)
+        for name in ("train", "val"):
+            part = rows if name == "train" else rolling_rate(
+                placed.where(F.col("split") == name).join(rates, ["chrom", "w_idx"]), cfg.roll_width)
+            objective = robust_objective(part, cfg.huber_factor, cfg.use_mad).first()["objective"]
+            seen.append((number, name, objective))
         weights = stage_table(huber_weights(segment_residual(rows), cfg.huber_factor, cfg.use_mad), "weights")
 
+    known = [s for s in seen if s[1] == "val" and s[2] is not None] or [s for s in seen if s[1] == "train"]
+    model = models[min(known, key=lambda s: math.inf if s[2] is None else s[2])[0] - 1]
     rates = add_rate(model, source).select("chrom", "w_idx", "lam")
     everything = stage_table(placed.join(rates, ["chrom", "w_idx"]), "rates")
     rolled = rolling_rate(everything, cfg.roll_width)
@@ -85,4 +106,5 @@ def fit_and_predict(bins: DataFrame, cfg: TrainingConfig | None = None) -> tuple
     model = replace(model, scale=scale)
     predicted = predict_rate(apply_scale(everything, scale), cfg.roll_width)
     whole = predicted.withColumn("split", F.lit("all"))
-    return predicted.unionByName(whole), model
+    history = bins.sparkSession.createDataFrame(seen, "round int, split string, objective double")
+    return Training(predicted.unionByName(whole), model, history)

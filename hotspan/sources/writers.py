@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Positions of one sequence that a file of predictions holds.
+STRETCH_BP = 10_000_000
 
 # Columns of a result without selected intervals.
 EMPTY_SCHEMA = (
@@ -12,12 +16,12 @@ EMPTY_SCHEMA = (
 
 
 def write_predictions(predictions: DataFrame, path: str, fmt: str = "parquet", mode: str = "error") -> None:
-    """One folder per split (train, val, all), ordered by (chrom, start).
+    """One folder per split (train, val, all), each file ordered by (chrom, start).
 
-    The global order is a range partitioning on (split, chrom, start), so a
-    long sequence is spread over many files.
+    A file holds a stretch of one sequence, so a long one is spread over many.
     """
-    ordered = predictions.orderBy("split", "chrom", "start")
+    stretch = F.floor(F.col("start") / F.lit(STRETCH_BP))
+    ordered = predictions.repartition("split", "chrom", stretch).sortWithinPartitions("split", "chrom", "start")
     writer = ordered.write.mode(mode).partitionBy("split").format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)

@@ -415,12 +415,12 @@ def tail_sql(score: str, mixture: Mixture = MIXTURE) -> str:
 
 @query(
     "S13_mixture_tail",
-    _SCORED_SQL + f", p AS (SELECT *, {tail_sql('norm')} AS lp FROM n WHERE llr IS NOT NULL) "
-    "SELECT l_orderkey, l_linenumber, y, round(norm, 6) AS norm, round(-lp / ln(10), 5) AS neglog10_p,"
-    " round(exp(lp), 5) AS p FROM p",
+    _SCORED_SQL + f", p AS (SELECT *, {tail_sql('norm')} AS lp FROM n) "
+    "SELECT l_orderkey, l_linenumber, y, round(norm, 6) AS norm, round(CASE WHEN llr IS NULL THEN 0 ELSE -lp / ln(10) END, 5) AS neglog10_p,"
+    " round(CASE WHEN llr IS NULL THEN 1 ELSE exp(lp) END, 5) AS p FROM p",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    out = fn.mixture_tail(_scored(spark, sf).where("llr IS NOT NULL"), "norm", MIXTURE)
+    out = fn.mixture_tail(_scored(spark, sf), "norm", MIXTURE)
     return out.select(
         "l_orderkey", "l_linenumber", "y", F.round("norm", 6).alias("norm"),
         F.round("neglog10_p", 5).alias("neglog10_p"), F.round("p_val", 5).alias("p"),

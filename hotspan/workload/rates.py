@@ -60,31 +60,39 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return add_rate(fit_rate(bins), bins).select("chrom", "w_idx", "start", "end", "y", "lam")
 
 
-def _as_rows(spark: SparkSession, sf: str, mixture: Mixture) -> DataFrame:
-    """Components of a fitted mixture next to the size of the sample."""
+# Every step of the fit keeps the first two moments of the sample.
+_MOMENTS_SQL = cte("cand") + """, z AS (SELECT ln(1 + llr / sqrt(len_bp / CAST(1000 AS DOUBLE))) AS z FROM cand WHERE llr > 0)
+SELECT round(avg(z), 3) AS first_moment, round(avg(z * z), 3) AS second_moment FROM z"""
+
+
+def _moments(spark: SparkSession, mixture: Mixture) -> DataFrame:
+    """The moments of a mixture, as a row."""
     parts = F.array(*[
         F.struct(F.lit(w).alias("w"), F.lit(mu).alias("mu"), F.lit(s).alias("sig"))
         for w, mu, s in zip(mixture.w, mixture.mu, mixture.sig)
     ])
-    return spark.range(1).select(F.inline(parts))
+    table = spark.range(1).select(F.inline(parts))
+    return table.agg(
+        F.round(F.sum(F.col("w") * F.col("mu")), 3).alias("first_moment"),
+        F.round(F.sum(F.col("w") * (F.col("sig") * F.col("sig") + F.col("mu") * F.col("mu"))), 3).alias("second_moment"),
+    )
 
 
-@query("G1_fit_mixture")
+@query("G1_fit_mixture", _MOMENTS_SQL)
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    sample = sample_scores(candidates(spark, sf), 0.1)
-    return _as_rows(spark, sf, fit_mixture(sample, 3, max_iter=15))
+    return _moments(spark, fit_mixture(sample_scores(candidates(spark, sf), 1.1), keep_spikes=True))
 
 
-@query("G2_fit_mixture_auto")
+@query("G2_fit_mixture_auto", _MOMENTS_SQL)
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    sample = sample_scores(candidates(spark, sf), 0.1)
-    return _as_rows(spark, sf, fit_mixture_auto(sample, k_max=2, n_init=1, max_iter=15))
+    """Three sizes from two starts: every step of the fit is a job of its own."""
+    sample = sample_scores(candidates(spark, sf), 1.1)
+    return _moments(spark, fit_mixture_auto(sample, k_max=3, n_init=2, max_iter=60, keep_spikes=True))
 
 
-@query("G3_mixture_policy")
+@query("G3_mixture_policy", _MOMENTS_SQL)
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    sample = sample_scores(candidates(spark, sf), 0.05)
-    return _as_rows(spark, sf, mixture_policy(sample, 2, max_iter=15))
+    return _moments(spark, mixture_policy(sample_scores(candidates(spark, sf), 1.1), keep_spikes=True))
 
 
 # --- whole jobs --------------------------------------------------------------------
@@ -133,15 +141,21 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """The same with the mixture and the share of true nulls estimated."""
     events = typed_events(spark, sf).select("chrom", "pos", "event_type", "sample")
-    cfg = HotspotConfig(max_bp=DAY, sample_frac=0.05, gmm_k=2, gmm_max_iter=15, bootstrap=100)
+    cfg = HotspotConfig(max_bp=DAY, sample_frac=0.05)
     return run_hotspots(predictions(spark, sf), events, cfg)
 
 
 @query("E3_fit_and_predict")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    cfg = TrainingConfig(segment_lengths=(12, 24), overlap=0.5, rounds=1, max_iter=10)
-    out, _ = fit_and_predict(_feature_bins(spark, sf).drop("kb"), cfg)
-    return out
+    cfg = TrainingConfig(segment_lengths=(12, 24), overlap=0.5)
+    return fit_and_predict(_feature_bins(spark, sf).drop("kb"), cfg).predictions
+
+
+@query("E3_training_history")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The objective of every round on training and validation segments."""
+    cfg = TrainingConfig(segment_lengths=(12, 24), overlap=0.5)
+    return fit_and_predict(_feature_bins(spark, sf).drop("kb"), cfg).history
 
 
 @query("E4_job")
@@ -154,6 +168,6 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     typed_events(spark, sf).drop("event_id", "value").write.csv(f"{base}/events", header=True)
     run(spark, [
         "score", "--predictions", f"{base}/predictions", "--events", f"{base}/events", "--out", f"{base}/out",
-        "--max-bp", str(DAY), "--gmm-k", "1", "--sample-frac", "0.05", "--fdr-method", "bh",
+        "--max-bp", str(DAY), "--sample-frac", "0.05",
     ])
     return spark.read.parquet(f"{base}/out/final_result")

@@ -221,7 +221,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("A11_iqr_scale", _NLL_SQL + "SELECT round(iqr, 6) AS iqr FROM iq")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     # the blockwise route, as for more values than one task should hold
-    return _one(spark, rb.iqr_scale(rb.segment_residual(rows(spark, sf)), "residual", limit=0), "iqr")
+    return _one(spark, rb.iqr_scale(rb.segment_residual(rows(spark, sf)), "residual", rows_per_block=50), "iqr")
 
 
 @query("A12_huber_weights", _NLL_SQL + "SELECT seg_id, round(residual, 6) AS residual, round(w, 6) AS w FROM hw")

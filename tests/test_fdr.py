@@ -34,13 +34,13 @@ def test_small_case(spark):
     assert got.q.to_numpy() == pytest.approx([0.02, 0.04, 0.04, 0.02])
 
 
-@pytest.mark.parametrize("blocks,hot", [(1, 20), (7, 10**6), (256, 20)])
-def test_equals_plain(spark, blocks, hot):
+@pytest.mark.parametrize("rows", [3, 70, 10**6])
+def test_equals_plain(spark, rows):
     p = values(1)
-    got = fd.bh_qvalues(frame(spark, p), blocks=blocks, hot_rows=hot).toPandas().sort_values("id")
+    got = fd.bh_qvalues(frame(spark, p), rows_per_block=rows).toPandas().sort_values("id")
     assert len(got) == len(p)
     assert got.q.to_numpy() == pytest.approx(plain_q(p))
-    got = fd.storey_qvalues(frame(spark, p), 0.3, blocks=blocks).toPandas().sort_values("id")
+    got = fd.storey_qvalues(frame(spark, p), 0.3, rows_per_block=rows).toPandas().sort_values("id")
     assert got.q.to_numpy() == pytest.approx(plain_q(p, 0.3))
 
 
@@ -86,10 +86,28 @@ def test_fdr_methods(spark):
     assert (np.diff(storey[order]) >= -1e-12).all()
 
 
-@pytest.mark.parametrize("hot", [20, 10**6])
-def test_qq(spark, hot):
+def test_missing_p_counts_as_one(spark):
+    p = [0.01, 0.04, None, float("nan"), 0.5, float("inf"), float("-inf")]
+    df = spark.createDataFrame(list(enumerate(p)), "id int, p double")
+    want = plain_q([0.01, 0.04, 1, 1, 0.5, 1, 1])
+    assert [r["q"] for r in fd.bh_qvalues(df).orderBy("id").collect()] == pytest.approx(want)
+    assert [r["fdr"] for r in fd.fdr(df, pi0=1.0).orderBy("id").collect()] == pytest.approx(want)
+    qq = fd.qq_table(df).orderBy("rank").collect()
+    assert [r["observed"] for r in qq] == pytest.approx(-np.log10([0.01, 0.04, 0.5, 1, 1, 1, 1]))
+    (share,) = [r["pi0"] for r in fd.pi0_grid(df, [0.5]).collect()]
+    assert share == 1.0
+
+
+def test_more_crowded_values_than_any_list(spark):
+    p = np.repeat(np.arange(1, 1501) / 2000, 3)
+    got = fd.bh_qvalues(frame(spark, p), rows_per_block=100).toPandas().sort_values("id")
+    assert got.q.to_numpy() == pytest.approx(plain_q(p))
+
+
+@pytest.mark.parametrize("rows", [20, 10**6])
+def test_qq(spark, rows):
     p = values(5)
-    got = fd.qq_table(frame(spark, p), blocks=9, hot_rows=hot).toPandas().sort_values("rank")
+    got = fd.qq_table(frame(spark, p), rows_per_block=rows).toPandas().sort_values("rank")
     assert list(got["rank"]) == list(range(1, len(p) + 1))
     assert got.observed.to_numpy() == pytest.approx(-np.log10(np.clip(np.sort(p), 1e-300, 1)))
     assert got.expected.iloc[0] == pytest.approx(-math.log10(0.5 / len(p)))

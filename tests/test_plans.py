@@ -43,7 +43,10 @@ def test_hotspots_do_not_overlap_and_ignore_partitions(spark):
 def test_training_predicts_every_bin(spark):
     bins = rates._feature_bins(spark, SF).drop("kb")
     cfg = TrainingConfig(segment_lengths=(24,), overlap=0.5, rounds=2, roll_width=2)
-    predictions, model = fit_and_predict(bins, cfg)
+    predictions, model, history = fit_and_predict(bins, cfg)
+    seen = history.collect()
+    assert {(r["round"], r["split"]) for r in seen} == {(i + 1, s) for i in range(cfg.rounds) for s in ("train", "val")}
+    assert all(r["objective"] is not None for r in seen if r["split"] == "train")
     whole = predictions.where("split = 'all'")
     assert whole.select("chrom", "start", "end").distinct().count() == bins.count()
     assert 0.5 < model.scale < 2.0

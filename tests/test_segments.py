@@ -151,3 +151,10 @@ def test_grid(spark):
 def test_hash_unit_is_uniform(spark):
     row = spark.range(20_000).select(hash_unit("id", seed=4).alias("u")).agg(F.avg("u"), F.min("u"), F.max("u")).first()
     assert row[0] == pytest.approx(0.5, abs=0.01) and 0 <= row[1] < 0.001 and 0.999 < row[2] < 1
+
+
+def test_ragged_vectors_are_refused(spark):
+    bins = spark.createDataFrame([("chr1", 0), ("chr1", 1)], "chrom string, w_idx int")
+    ragged = spark.createDataFrame([("chr1", 0, [1.0, 2.0]), ("chr1", 1, [1.0])], "chrom string, w_idx int, feat array<float>")
+    with pytest.raises(ValueError, match="from 1 to 2"):
+        sg.join_features(bins, ragged)

@@ -2,6 +2,7 @@ import bisect
 import itertools
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -124,3 +125,15 @@ def test_predecessor(spark, gap):
                 assert (r.pred_end, r.pred_start) == max(before)
             else:
                 assert pd.isna(r.pred_end) and pd.isna(r.pred_start)
+
+
+def test_pruning_is_the_same_in_strips(monkeypatch):
+    from hotspan.operators import select
+
+    rng = np.random.default_rng(8)
+    s = rng.integers(0, 60, 400)
+    e, w = s + rng.integers(1, 40, 400), rng.random(400).round(1)
+    want = [not ((s >= a) & (e <= b) & (w > c)).any() for a, b, c in zip(s, e, w)]
+    assert select._undominated(s, e, w).tolist() == want
+    monkeypatch.setattr(select, "STRIP_CELLS", 150)
+    assert select._undominated(s, e, w).tolist() == want

@@ -64,6 +64,17 @@ def test_predictions_round_trip(spark, tmp_path):
         readers.check_predictions(df.drop("lam_pred"))
 
 
+def test_score_reads_the_csv_that_train_wrote(spark, tmp_path):
+    from hotspan.plans.job import run
+
+    rows = [("chr1", i * 100 + 1, i * 100 + 100, 0.5 + i % 3, float(i % 7), 0.0, "all") for i in range(60)]
+    path = str(tmp_path / "predictions")
+    writers.write_predictions(spark.createDataFrame(rows, readers.PREDICTION_SCHEMA + ", split string"), path, "csv")
+    run(spark, ["score", "--predictions", f"{path}/split=all", "--format", "csv", "--out", str(tmp_path / "out"),
+                "--max-bp", "500", "--gmm-k", "1", "--sample-frac", "1.0", "--fdr-method", "bh"])
+    assert "fdr" in spark.read.csv(str(tmp_path / "out/final_result"), header=True).columns
+
+
 def test_empty_result(spark):
     assert writers.empty_result(spark).columns == [
         "chrom", "start", "end", "len_bp", "LLR_raw", "obs_sum", "exp_sum", "p_post", "fdr_post", "fdr"]

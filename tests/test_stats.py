@@ -70,7 +70,7 @@ def test_all_statistics(both):
         assert same == pytest.approx(min(max(variant, 0), 1))
 
 
-def test_map_form_and_type_limit(both):
+def test_map_form(both):
     points, intervals = both
     groups = an.event_groups(points, intervals, 60)
     maps = an.types_as_map(groups).toPandas()
@@ -78,8 +78,28 @@ def test_map_form_and_type_limit(both):
     for r in maps.itertuples():
         for t, n in r.n_evt.items():
             assert wide.loc[(r.chrom, r.start_bp, r.end_bp), f"n_evt_{t}"] == n
-    with pytest.raises(ValueError):
-        an.event_types(groups, most=2)
+    out = an.attach_event_stats(intervals, groups, types_as="map").toPandas()
+    assert len(out) == intervals.count()
+    for r in out.itertuples():
+        assert sum(r.n_evt.values()) == r.n_evt_all
+
+
+def test_any_number_of_types(spark):
+    points = spark.createDataFrame([(i, "chr1", 5, f"t{i}", "s") for i in range(1200)], "event_id int, chrom string, pos int, event_type string, sample string")
+    intervals = spark.createDataFrame([("chr1", 1, 9)], "chrom string, start_bp int, end_bp int")
+    groups = an.event_groups(points, intervals, 60)
+    assert len(an.event_types(groups)) == 1200
+    row = an.attach_event_stats(intervals, groups, types_as="map").first()
+    assert row["event_type_diversity"] == len(row["n_samp"]) == 1200
+
+
+def test_percentiles_with_infinities(spark):
+    x = np.arange(1000.0)
+    x[::10] = np.inf
+    x[5] = -np.inf
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    for rows in (50, 10**6):
+        assert rb.exact_percentiles(df, "x", [0.0, 0.25, 0.5, 1.0], rows) == [-np.inf, 277.75, 555.5, np.inf]
 
 
 def test_no_events(both):
@@ -99,17 +119,17 @@ def test_bins_in_intervals(spark):
     assert got == {20: (8.0, 0.04), 95: (4.0, 0.02)}
 
 
-@pytest.mark.parametrize("limit", [0, 10**6])
+@pytest.mark.parametrize("rows", [5, 10**6])
 @pytest.mark.parametrize("n", [1, 2, 7, 1000])
-def test_exact_percentiles(spark, limit, n):
+def test_exact_percentiles(spark, rows, n):
     x = np.random.default_rng(n).normal(size=n).round(1)
     x[: n // 3] = 0.5
     df = spark.createDataFrame(pd.DataFrame({"x": x}))
     shares = [0.0, 0.25, 0.5, 0.75, 0.99, 1.0]
-    assert rb.exact_percentiles(df, "x", shares, limit, blocks=8) == pytest.approx(np.quantile(x, shares))
-    assert rb.iqr_scale(df, "x", limit) == pytest.approx(max(np.subtract(*np.percentile(x, [75, 25])), 1e-9))
+    assert rb.exact_percentiles(df, "x", shares, rows) == pytest.approx(np.quantile(x, shares))
+    assert rb.iqr_scale(df, "x", rows) == pytest.approx(max(np.subtract(*np.percentile(x, [75, 25])), 1e-9))
     mad = 1.4826 * np.median(np.abs(x - np.median(x)))
-    assert rb.mad_scale(df, "x", limit) == pytest.approx(max(mad, 1e-9))
+    assert rb.mad_scale(df, "x", rows) == pytest.approx(max(mad, 1e-9))
 
 
 def segments(spark, n=12):
