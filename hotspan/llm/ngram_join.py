@@ -14,9 +14,10 @@ Jaccard similarity of at least t share at least k tokens within their first
    are index keys as they are. Its frequent tokens are not: combinations of
    two of them are, within hash classes whose number grows with the set, such
    that two similar sets share two frequent tokens of one class, or a rare one.
-4. In each key's group all entities meet the group's first one; verified links
-   give components; a second step compares only members of different
-   components. So a group of copies costs its size, not its square.
+4. In each key's group all entities meet a leader of the group; verified links
+   give components. That is repeated with other leaders, for members of
+   different components alone; the last step compares those still apart.
+   So a group of copies costs its size, not its square.
 5. Verification computes the exact similarity of the whole sets.
 """
 
@@ -29,8 +30,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hotspan.llm.components import components
@@ -47,6 +49,10 @@ class JoinConfig:
     percent: int = 75
     #: k of the extended prefix, as hundredths of the set's size.
     extension: int = 10
+    #: In how many orders keys choose leaders, in the first steps of step 4.
+    leaders: tuple[int, ...] = (4, 12)
+    #: Rows of one key that are compared in one task.
+    group_rows: int = 1_000
     #: Digests that a task remembers, so as not to emit equal sets again.
     remembered: int = 200_000
 
@@ -57,6 +63,9 @@ class JoinConfig:
     def k(self, n: int) -> int:
         return min(self.need(n), max(2, self.extension * n // 100))
 
+    def prefix(self, n: int) -> int:
+        return n - self.need(n) + self.k(n)
+
     def least_k(self, n: int) -> int:
         """The smallest k among sets that can be similar to one of size n."""
         return self.k(self.need(n))
@@ -131,7 +140,7 @@ def _prefixes(docs: DataFrame, levels: np.ndarray, config: JoinConfig) -> DataFr
                 if len(seen) < config.remembered:
                     seen.add(e)
                 order = np.argsort(rank[(tokens & mask).astype(np.int64)], kind="stable")
-                kept = tokens[order[: n - config.need(n) + config.k(n)]]
+                kept = tokens[order[: config.prefix(n)]]
                 tokens_out.append(kept)
                 e_out.append((*e, len(kept)))
             if tokens_out:
@@ -162,8 +171,8 @@ def index_keys(tokens: list[tuple[bool, int, int]], n: int, config: JoinConfig)
     return sorted(keys)
 
 
-def _keys(prefixes: DataFrame, config: JoinConfig) -> DataFrame:
-    """``key, e1, e2``: the index entries of the entities that can be similar to another."""
+def _survivors(prefixes: DataFrame, config: JoinConfig) -> DataFrame:
+    """``e1, e2, tokens``: entities that can be similar to another, with the prefix tokens that others have, too."""
     rare = prefixes.where("not frequent")
     same = Window.partitionBy("token")
     rare = rare.withColumns({"df": F.count("*").over(same), "one": F.min("e1").over(same), "other": F.max("e1").over(same)}).where("one <> other")
@@ -171,24 +180,30 @@ def _keys(prefixes: DataFrame, config: JoinConfig) -> DataFrame:
         prefixes.where("frequent").select("token", "e1", "e2", F.lit(0).cast("bigint").alias("df"), "frequent"))
     # An entity has as many rows as tokens in its prefix (times the tasks that met a copy of it).
     sets = left.groupBy("e1", "e2").agg(F.sort_array(F.collect_set(F.struct("frequent", "df", "token"))).alias("tokens"))
+    # A size of n needs least_k(n) tokens, which grow with n: k(need(n)), as in the configuration.
+    n = F.col("e2").bitwiseAND(SIZE)
+    need = lambda x: F.ceil(F.lit(config.percent) * x / 100)
+    least = F.least(need(need(n)), F.greatest(F.lit(2), F.floor(F.lit(config.extension) * need(n) / 100)))
+    return sets.where(F.size("tokens") >= least)
+
 
+def _keys(survivors: DataFrame, config: JoinConfig) -> DataFrame:
+    """``key, e1, e2``: the index entries."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for e1, e2, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n = e2 & SIZE
-                if len(tokens) >= config.least_k(n):
-                    keys = index_keys([(t["frequent"], t["df"], t["token"]) for t in tokens], n, config)
-                    rows.extend((k, e1, e2) for k in keys)
+                keys = index_keys([(t["frequent"], t["df"], t["token"]) for t in tokens], e2 & SIZE, config)
+                rows.extend((k, e1, e2) for k in keys)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 3)], ["key", "e1", "e2"])
 
-    return sets.mapInArrow(run, f"key bigint, {ENTITY}")
+    return survivors.mapInArrow(run, f"key bigint, {ENTITY}")
 
 
-def _sizes_fit(a: str, b: str, config: JoinConfig):
+def _sizes_fit(config: JoinConfig) -> Column:
     """Two sets with ``percent`` similarity have sizes that far apart at most."""
-    x, y = F.col(a).bitwiseAND(SIZE), F.col(b).bitwiseAND(SIZE)
+    x, y = F.col("a2").bitwiseAND(SIZE), F.col("b2").bitwiseAND(SIZE)
     return (100 * F.least(x, y)) >= (config.percent * F.greatest(x, y))
 
 
@@ -201,23 +216,101 @@ def _ordered(df: DataFrame) -> DataFrame:
     return df.select(*[F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in zip(PAIR, ["b1", "b2", "a1", "a2"], strict=True)]).distinct()
 
 
-def _first_pairs(keys: DataFrame, config: JoinConfig) -> DataFrame:
-    """Every entity with the first one of each of its keys."""
-    first = keys.groupBy("key").agg(F.min(F.struct("e1", "e2")).alias("f"), F.count("*").alias("size")).where("size > 1")
-    first = stage_table(first.select("key", F.col("f.e1").alias("a1"), F.col("f.e2").alias("a2")), "first")
-    met = keys.join(first, "key").select("a1", "a2", F.col("e1").alias("b1"), F.col("e2").alias("b2"))
-    return _ordered(met.where("a1 <> b1 or a2 <> b2").where(_sizes_fit("a2", "b2", config)))
+def _marked(keys: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``key, e1, e2, own``: index entries with the component that their entity has so far."""
+    if labels is None:
+        return keys.withColumn("own", F.struct("e1", "e2"))
+    marked = keys.join(labels, ["e1", "e2"], "left").withColumn("own", F.coalesce("label", F.struct("e1", "e2"))).drop("label")
+    mixed = marked.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select("key")
+    return stage_table(marked.join(mixed, "key"), "open")
+
+
+def _leader_pairs(marked: DataFrame, ways: int, config: JoinConfig) -> DataFrame:
+    """Every entity with the leader of each of its keys, unless both are in one component.
+
+    Keys choose leaders in ``ways`` different orders, so a large group of
+    similar sets meets several leaders, and few of its members miss them all.
+    """
+    turn = F.struct(F.xxhash64("e1", "e2", F.pmod("key", F.lit(ways)), F.lit(ways)).alias("h"), "e1", "e2", "own")
+    leaders = marked.groupBy("key").agg(F.min(turn).alias("f"), F.count("*").alias("size")).where("size > 1")
+    # Written, so that a crowded key can be split in the join.
+    leaders = stage_table(leaders.select("key", F.col("f.e1").alias("a1"), F.col("f.e2").alias("a2"), F.col("f.own").alias("lead")), "leaders")
+    met = marked.withColumnsRenamed({"e1": "b1", "e2": "b2"}).join(leaders, "key").where("own <> lead")
+    return _ordered(met.where(_sizes_fit(config)).select(*PAIR))
+
+
+def close_pairs(rows: pd.DataFrame, config: JoinConfig) -> np.ndarray:
+    """Row numbers (i, j) of the entities of one group that can be similar.
+
+    What two sets share in their prefixes, and all of the rest of one of them,
+    bounds what they share at all. ``marks`` are 16 bits of each prefix token,
+    so common ones are counted rather too often than too rarely.
+    """
+    marks = [np.frombuffer(m, np.uint16) for m in rows["marks"]]
+    n = rows["e2"].to_numpy(np.int64) & SIZE
+    rest = n - np.array([config.prefix(int(x)) for x in n])
+    row, mark = np.repeat(np.arange(len(rows)), [len(m) for m in marks]), np.concatenate(marks)
+    seen = np.bincount(mark, minlength=1 << 16)
+    row, mark = row[seen[mark] > 1], mark[seen[mark] > 1]
+    order = np.argsort(mark, kind="stable")
+    row, column = row[order], np.unique(mark[order], return_inverse=True)[1]
+    shared, width = np.zeros((len(rows), len(rows)), np.float32), int(column[-1]) + 1 if len(column) else 0
+    for low in range(0, width, 2048):  # some kinds of marks at a time, so that tables stay small
+        a, b = np.searchsorted(column, [low, low + 2048])
+        table = np.bincount(row[a:b] * 2048 + column[a:b] - low, minlength=len(rows) * 2048).reshape(len(rows), 2048).astype(np.float32)
+        shared += table @ table.T
+    own, block = rows["own"].to_numpy(), rows["block"].to_numpy()
+    out = []
+    for low in range(0, len(rows), 512):
+        part = slice(low, low + 512)
+        both = shared[part].astype(np.int64)
+        most = np.minimum(both + np.maximum(rest[part, None], rest[None]), np.minimum(n[part, None], n[None]))
+        fit = (100 + config.percent) * most >= config.percent * (n[part, None] + n[None])
+        fit &= own[part, None] != own[None]
+        if len(set(block.tolist())) > 1:  # pairs inside a block belong to that block's own group
+            fit &= block[part, None] != block[None]
+        i, j = np.nonzero(np.triu(fit, low + 1))
+        out.append(np.stack([i + low, j]))
+    return np.concatenate(out, axis=1)
+
+
+def _all_pairs(marked: DataFrame, survivors: DataFrame, config: JoinConfig) -> DataFrame:
+    """Pairs of one key in different components that can be similar.
+
+    Keys with the same members count once. A group larger than ``group_rows``
+    is cut into blocks by a hash, and every two blocks meet in a task of their own.
+    """
+    members = marked.groupBy("key").agg(
+        F.count("*").alias("n"), F.sum(F.xxhash64("e1", "e2").cast("decimal(38,0)")).alias("x"),
+        F.sum(F.xxhash64("e2", "e1", F.lit(1)).cast("decimal(38,0)")).alias("y"))
+    once = stage_table(members.groupBy("n", "x", "y").agg(F.min("key").alias("key")), "once")
+    marks = survivors.select("e1", "e2", F.transform("tokens", lambda t: t["token"]).alias("tokens"))
+    blocks = F.ceil(F.col("n") / config.group_rows).cast("int")
+    rows = (
+        marked.join(once.select("key", "n"), "key")
+        .select("key", "e1", "e2", F.xxhash64("own").alias("own"), blocks.alias("blocks"), F.pmod(F.xxhash64("e1", "e2", F.lit(5)), blocks).cast("int").alias("block"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+        .join(marks, ["e1", "e2"])
+        .select("key", "low", "high", "block", "e1", "e2", "own", "tokens")
+    )
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = batch.column(7)
+            at, values = tokens.offsets.to_numpy(), tokens.values.to_numpy(zero_copy_only=False)
+            short = [(values[a:b] >> 40).astype(np.uint16).tobytes() for a, b in itertools.pairwise(at.tolist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(short, pa.binary())], ["key", "low", "high", "block", "e1", "e2", "own", "marks"])
+
+    packed = rows.mapInArrow(pack, f"key bigint, low int, high int, block int, {ENTITY}, own bigint, marks binary")
 
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        i, j = close_pairs(group, config)
+        a, b = group[["e1", "e2"]].to_numpy()[i], group[["e1", "e2"]].to_numpy()[j]
+        return pd.DataFrame(np.concatenate([a, b], axis=1), columns=PAIR)
 
-def _more_pairs(keys: DataFrame, known: DataFrame, tested: DataFrame, config: JoinConfig) -> DataFrame:
-    """Pairs of one key whose members are not yet in one component."""
-    marked = keys.join(known, ["e1", "e2"], "left").withColumn("own", F.coalesce("label", F.struct("e1", "e2")))
-    groups = marked.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select("key")
-    open_keys = stage_table(marked.join(groups, "key").select("key", "e1", "e2", "own"), "open")
-    a = open_keys.select("key", F.col("e1").alias("a1"), F.col("e2").alias("a2"), F.col("own").alias("own_a"))
-    b = open_keys.select("key", F.col("e1").alias("b1"), F.col("e2").alias("b2"), F.col("own").alias("own_b"))
-    met = a.join(b, "key").where("own_a <> own_b").where(F.struct("a1", "a2") < F.struct("b1", "b2")).where(_sizes_fit("a2", "b2", config))
-    return met.select(*PAIR).distinct().join(tested, PAIR, "left_anti")
+    met = packed.groupBy("key", "low", "high").applyInPandas(meet, "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
+    return _ordered(met)
 
 
 def _pack(tokens: np.ndarray) -> bytes:
@@ -284,17 +377,23 @@ def similarity_components(docs: DataFrame, config: JoinConfig | None = None) ->
     first = stage_table(_first_pass(docs, config), "entities")
     entities = first.where("block is null").select("doc_id", "n", "e1", "e2")
     levels = bucket_levels(first.where("block is not null").select("block", "counts"))
-    keys = stage_table(_keys(_prefixes(docs, levels, config), config), "keys")
+    survivors = stage_table(_survivors(_prefixes(docs, levels, config), config), "survivors")
+    keys = stage_table(_keys(survivors, config), "keys")
 
     one = entities.where("n > 0").groupBy("e1", "e2").agg(F.min("doc_id").alias("doc_id"))
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     met = keys.join(shared, "key").select("e1", "e2").distinct()
     sets = stage_table(_sets(docs, one.join(met, ["e1", "e2"]), config), "sets")
 
-    pairs = stage_table(_first_pairs(keys, config), "pairs")
-    links = stage_table(_verified(pairs, sets, config), "links")
-    more = _verified(stage_table(_more_pairs(keys, _labels(links), pairs, config), "pairs"), sets, config)
-    labels = _labels(links.union(more))
+    tested, links, labels = None, None, None
+    for ways in (*config.leaders, 0):  # at last, what is still apart meets pair by pair
+        open_keys = _marked(keys, labels)
+        pairs = _leader_pairs(open_keys, ways, config) if ways else _all_pairs(open_keys, survivors, config)
+        pairs = stage_table(pairs if tested is None else pairs.join(tested, PAIR, "left_anti"), "pairs")
+        found = stage_table(_verified(pairs, sets, config), "links")
+        tested = pairs if tested is None else tested.union(pairs)
+        links = found if links is None else links.union(found)
+        labels = _labels(links)
     named = one.join(labels, ["e1", "e2"], "left").withColumn("own", F.coalesce("label", F.struct("e1", "e2")))
     lowest = named.groupBy("own").agg(F.min("doc_id").alias("component_id"))
     found = named.join(lowest, "own").select("e1", "e2", "component_id")
