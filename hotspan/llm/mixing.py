@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from hotspan.llm.tables import settled
 from hotspan.session import stage_table
 
-BLANKS = "[\\x20\\x09-\\x0D]+"
+WORD = "[^\\x20\\x09-\\x0D]+"
 #: One unit of posterior and rate in the integer totals.
 GRAIN = 1 << 20
 
@@ -38,7 +38,7 @@ class MixingConfig:
     #: Labelled documents that the classifier is fitted on, at most: those with the smallest hash.
     max_labelled: int = 20_000
     #: Words of toxic documents that are features, at most.
-    max_marks: int = 64
+    max_marks: int = 12
     steps: int = 25
     tolerance: float = 1e-3
     seed: int = 7
@@ -60,7 +60,7 @@ def with_features(docs: DataFrame, marks: list[str]) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     # Words are letters here, so that a stop behind a word does not hide it.
     hits = F.regexp_count(F.lower(text), F.lit("\\b(" + "|".join(marks) + ")\\b")) if marks else F.lit(0)
-    counted = {"_hits": hits, "_size": F.greatest(F.char_length(text), F.lit(1)), "_n": F.size(F.filter(F.split(text, BLANKS), lambda w: w != "")).cast("long")}
+    counted = {"_hits": hits, "_size": F.greatest(F.char_length(text), F.lit(1)), "_n": F.regexp_count(text, F.lit(WORD)).cast("long")}
     shares = {"[A-Z]": 10, "[|]": 50, "[#*$%&<>=]": 20, "!": 20, "\n": 50, "[0-9]": 50}
     values = [F.regexp_count(text, F.lit(k)) / F.col("_size") * v for k, v in shares.items()] + [
         F.log1p(F.col("_n").cast("double")) / 5, F.log1p(F.col("_hits").cast("double")),
