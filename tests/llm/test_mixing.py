@@ -51,6 +51,25 @@ def test_classifier_on_held_out_rows(labelled):
     assert sum(hits) >= 0.95 * len(hits)
 
 
+def test_every_toxic_word_counts(spark):
+    """Thirty toxic words, some not in ASCII letters, each in documents of their own."""
+    import random
+    rnd = random.Random(5)
+    bad = ["слово", "mérde", "ñoño"] + ["zz" + "".join(rnd.choice("bcdfgh") for _ in range(6)) for _ in range(27)]
+    rows, labels = [], []
+    for i in range(1200):
+        words = [rnd.choice(["stone", "river", "cloud", "green", "walk"]) for _ in range(60)]
+        if i % 4 == 3:
+            words[::20] = [bad[i // 4 % 30] + "."] * 3
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(i % 4 == 3)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    known = spark.createDataFrame(labels[:800], "doc_id bigint, quality int, toxic int")
+    out = mixing_report(docs, known).where("doc_id >= 800").collect()
+    wrong = [r["doc_id"] for r in out if (int(np.argmax(r["posterior"])) == 2) != (r["doc_id"] % 4 == 3)]
+    assert len(out) == 400 and not wrong
+
+
 def test_mixture_keeps_clean_documents(labelled):
     docs, labels = labelled
     out = mixed(docs, labels)
