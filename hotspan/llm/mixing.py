@@ -5,6 +5,8 @@ posterior over domains. A document with n tokens and posterior p, taken r
 times on average, adds ``r n p`` to the domains' token totals. The rates are
 the nonnegative least-squares fit of the targets, found by projected gradient
 steps that start at r = 1, so documents change as little as the targets ask.
+Documents of a kept domain have rates of one at least, and the targets grow
+with the measured totals so that they leave room for those documents.
 
 A step needs only the residual of the totals, one number per domain. So the
 rates are never stored: each pass over the documents replays the steps so far
@@ -32,9 +34,12 @@ GRAIN = 1 << 20
 
 @dataclass(frozen=True)
 class MixingConfig:
-    #: Share of all tokens that each domain gets, and the tokens in all per token now.
+    #: Share of all tokens that each domain gets.
     targets: tuple[tuple[str, float], ...] = (("clean", 0.90), ("low", 0.055), ("toxic", 0.045))
-    budget: float = 1.0
+    #: Domains that are not to shrink: documents that are most likely of one have rate 1 at least.
+    keep: tuple[str, ...] = ("clean",)
+    #: Tokens in all per token now; None for the least from 1 on that scales no kept domain down.
+    budget: float | None = None
     #: Labelled documents that the classifier is fitted on, at most: those with the smallest hash.
     max_labelled: int = 20_000
     steps: int = 25
@@ -129,14 +134,14 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, config: MixingConfig) ->
     return Classifier(domains, weights, intercepts, marks)
 
 
-def _rate(steps: list[list[float]]) -> Column:
-    """The rate of a document with posterior ``p`` (an array) after the given steps."""
+def _rate(steps: list[list[float]], least: Column) -> Column:
+    """The rate of a document with posterior ``p`` (an array) after the given steps, ``least`` or more."""
     rate = F.lit(1.0)
     if not steps:
         return rate
     given = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
     return F.aggregate(given, rate, lambda r, s: F.greatest(
-        F.lit(0.0), r + F.aggregate(F.zip_with(s, F.col("p"), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)))
+        least, r + F.aggregate(F.zip_with(s, F.col("p"), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)))
 
 
 def _sums(members: DataFrame, values: list[Column]) -> list[float]:
@@ -146,11 +151,12 @@ def _sums(members: DataFrame, values: list[Column]) -> list[float]:
 
 
 def fit_rates(members: DataFrame, targets: np.ndarray, config: MixingConfig) -> list[list[float]]:
-    """The steps of the projected gradient method; ``members`` has ``n`` and ``p``.
+    """The steps of the projected gradient method; ``members`` has ``n`` and ``p``, and
+    the least rate ``least`` if it is not zero for all.
 
     Distances between totals are measured by the inverse of the Gram matrix
     ``sum n p p'``. In that metric the gradient's largest slope is one, so
-    full steps never overshoot, and without rates at zero one step is enough.
+    full steps never overshoot, and without rates at their least one step is enough.
     """
     count, steps = len(targets), []
     scale = max(float(targets.sum()), 1.0)
@@ -159,8 +165,9 @@ def fit_rates(members: DataFrame, targets: np.ndarray, config: MixingConfig) ->
     for (i, j), value in zip(cells, _sums(members, [F.col("n") * F.col("p")[i] * F.col("p")[j] for i, j in cells]), strict=True):
         gram[i, j] = gram[j, i] = value
     inverse = np.linalg.pinv(gram, rcond=1e-9)
+    least = F.col("least") if "least" in members.columns else F.lit(0.0)
     for _ in range(config.steps):
-        rated = members.withColumn("r", _rate(steps))
+        rated = members.withColumn("r", _rate(steps, least))
         gap = targets - np.array(_sums(rated, [F.col("r") * F.col("n") * F.col("p")[d] for d in range(count)]))
         if float(np.abs(gap).sum()) <= config.tolerance * scale:
             break
@@ -171,24 +178,40 @@ def fit_rates(members: DataFrame, targets: np.ndarray, config: MixingConfig) ->
 ADDED = ["n_tokens", "posterior", "rate", "copies"]
 
 
-def _members(docs: DataFrame, model: Classifier, keep: list[str]) -> DataFrame:
+def _members(docs: DataFrame, model: Classifier, keep: list[str], config: MixingConfig) -> DataFrame:
     found = model.posterior(with_features(docs, model.marks), "p")
     return found.select(
         *keep, F.col("_n").alias("n"),
         # Posteriors are cut to a grain, so the same document has the same value in every pass.
         F.transform("p", lambda x: F.round(x, 6)).alias("p"),
-        F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.coalesce("text", F.lit(""))).alias("_hash"))
+        F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.coalesce("text", F.lit(""))).alias("_hash")).withColumn("least", _least(config))
 
 
-def _steps(members: DataFrame, config: MixingConfig) -> list[list[float]]:
-    now = float(members.agg(F.sum("n")).first()[0] or 0)
+def _least(config: MixingConfig) -> Column:
+    """1 for a document that is most likely of a kept domain, otherwise 0."""
+    kept = [i for i, (d, _) in enumerate(config.targets, 1) if d in config.keep]
+    return F.when(F.array_position("p", F.array_max("p")).isin(kept), 1.0).otherwise(0.0) if kept else F.lit(0.0)
+
+
+def targets_of(totals: np.ndarray, now: float, config: MixingConfig) -> np.ndarray:
+    """The tokens that each domain is to have, from the totals by posterior and the tokens now."""
     shares = np.array([w for _, w in config.targets])
-    return fit_rates(members, shares / shares.sum() * now * config.budget, config)
+    shares = shares / shares.sum()
+    budget = config.budget
+    if budget is None:
+        kept = [i for i, (d, w) in enumerate(config.targets) if d in config.keep and w > 0]
+        budget = max([1.0, *(totals[i] / shares[i] / now for i in kept)]) if now else 1.0
+    return shares * now * budget
+
+
+def _steps(members: DataFrame, config: MixingConfig) -> list[list[float]]:
+    now, *totals = _sums(members, [F.col("n"), *[F.col("n") * F.col("p")[d] for d in range(len(config.targets))]])
+    return fit_rates(members, targets_of(np.array(totals), now, config), config)
 
 
 def _rated(members: DataFrame, steps: list[list[float]], keep: list[str], config: MixingConfig) -> DataFrame:
     unit = F.pmod(F.xxhash64("_hash", F.lit(config.seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    return members.withColumn("rate", F.when(F.col("n") == 0, 1.0).otherwise(F.round(_rate(steps), 6))).select(
+    return members.withColumn("rate", F.when(F.col("n") == 0, 1.0).otherwise(F.round(_rate(steps, F.col("least")), 6))).select(
         *keep, F.col("n").alias("n_tokens"), F.col("p").alias("posterior"), "rate", settled(F.floor(F.col("rate") + unit).cast("int")).alias("copies"))
 
 
@@ -203,7 +226,7 @@ def mixing_report(docs: DataFrame, labels: DataFrame, config: MixingConfig | Non
     """
     config = config or MixingConfig()
     docs = docs.select("doc_id", "text")
-    members = stage_table(_members(docs, fit_classifier(docs, labels, config), ["doc_id"]), "members")
+    members = stage_table(_members(docs, fit_classifier(docs, labels, config), ["doc_id"], config), "members")
     return _rated(members, _steps(members, config), ["doc_id"], config)
 
 
@@ -211,10 +234,10 @@ def mixed(docs: DataFrame, labels: DataFrame, config: MixingConfig | None = None
     """The rows of ``docs``, each as often as its ``copies`` say; the texts are read twice."""
     config = config or MixingConfig()
     model = fit_classifier(docs, labels, config)
-    members = stage_table(_members(docs.select("doc_id", "text"), model, []), "members")
+    members = stage_table(_members(docs.select("doc_id", "text"), model, [], config), "members")
     keep = docs.columns
     inner = [f"_{i}" for i in range(len(keep))]  # the columns' own names may clash with the added ones
     held = docs.select("doc_id", "text", F.struct(*[F.col(c).alias(i) for c, i in zip(keep, inner, strict=True)]).alias("_row"))
-    rated = _rated(_members(held, model, ["_row"]), _steps(members, config), ["_row"], config)
+    rated = _rated(_members(held, model, ["_row"], config), _steps(members, config), ["_row"], config)
     return rated.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(
         *[F.col(f"_row.{i}").alias(c) for c, i in zip(keep, inner, strict=True)])

@@ -79,6 +79,29 @@ def test_mixture_keeps_clean_documents(labelled):
     assert found[1, 0] == 120 and found.get((1, 1), 0) < 60 and found.get((0, 0), 0) < 60
 
 
+def test_no_clean_document_is_lost_from_a_clean_table(spark):
+    import random
+    rnd = random.Random(8)
+    rows, labels = [], []
+    for i in range(2000):
+        words = [rnd.choice(["stone", "river", "cloud", "green", "walk"]) for _ in range(rnd.randint(20, 100))]
+        if i % 200 < 2:
+            words = [w + "|" for w in words]
+        elif i % 200 < 6:
+            words[::10] = ["idiot"] * len(words[::10])
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 200 >= 2), int(2 <= i % 200 < 6)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    known = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    clean = {i for i in range(2000) if i % 200 >= 6}
+    assert len(clean) == 0.97 * len(rows)
+    assert clean <= {r["doc_id"] for r in mixed(docs, known).collect()}
+    report = mixing_report(docs, known).collect()
+    assert min(r["rate"] for r in report if r["doc_id"] in clean) >= 1.0
+    totals = sum(np.array(r["posterior"]) * r["rate"] * r["n_tokens"] for r in report)
+    assert np.abs(totals / totals.sum() - [0.9, 0.055, 0.045]).max() < 0.01
+
+
 def test_odd_tables(docs, none, labelled):
     _, labels = labelled
     assert mixing_report(docs, labels.limit(0)).count() == docs.count()
