@@ -2,9 +2,13 @@
 
 The payload is stored as the frames of an 8-bit mono WAV file and read back
 with the ``wave`` module. The fingerprint is built from the stored samples:
-a short-time Fourier transform, the strongest peaks of each frame, and pairs
-of a peak with the peaks of the next frames. Each pair is stored as a code
+a short-time Fourier transform of the steps from sample to sample (the level
+itself would hide the text behind the lowest bins), the strongest peaks of
+each frame, and pairs of a peak with the peaks of the next frames. Frames
+overlap by half and start half a frame before the first sample, so each sample
+counts and the shortest payload has two frames. Each pair is stored as a code
 of (first bin, second bin, distance in frames) with the time of its frame.
+Peaks say nothing of strength, so texts of a few letters ("a", "b") can share one.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import DataFrame
 from hotspan.llm.tables import map_rows, texts
 
 RATE, UNIT = 8000, 64
-FRAME, HOP, PEAKS, AHEAD = 256, 256, 2, 2
+FRAME, HOP, PEAKS, AHEAD = 256, 128, 4, 2
 #: Frames transformed together, which bounds the memory of a very long text.
 BLOCK = 4096
 
@@ -42,13 +46,14 @@ def from_wav(media: bytes) -> bytes:
 
 def peaks(samples: np.ndarray) -> np.ndarray:
     """The strongest bins of each frame, strongest first; ties go to the lower bin."""
-    count = max(1, -(-len(samples) // HOP))
-    padded = np.full((count - 1) * HOP + FRAME, 128, np.uint8)
-    padded[: len(samples)] = samples
-    frames = np.lib.stride_tricks.sliding_window_view(padded, FRAME)[::HOP]
+    count = -(-len(samples) // HOP) + 1
+    padded = np.full((count - 1) * HOP + FRAME, 128, np.int16)
+    padded[FRAME // 2 : FRAME // 2 + len(samples)] = samples
+    changes = np.diff(padded, prepend=np.int16(128))
+    frames = np.lib.stride_tricks.sliding_window_view(changes, FRAME)[::HOP]
     window, found = np.hanning(FRAME), []
     for at in range(0, count, BLOCK):
-        part = (frames[at : at + BLOCK].astype(np.float64) - 128.0) * window
+        part = frames[at : at + BLOCK] * window
         power = np.abs(np.fft.rfft(part, axis=1))[:, 1:]
         # Rounded, so that equal peaks stay equal whatever the block they are in.
         found.append(np.argsort(-np.round(power, 3), axis=1, kind="stable")[:, :PEAKS] + 1)
@@ -111,7 +116,7 @@ def media_digests(media: DataFrame) -> DataFrame:
                 "media_bytes": [len(m) for m in batch["media"]],
                 "media_sha256": [hashlib.sha256(m).hexdigest() for m in batch["media"]],
                 "feature": [
-                    f"{len(c)}:" + hashlib.sha256(np.asarray(list(zip(t, c, strict=True)), "<i4").tobytes()).hexdigest()
+                    f"{len(c)}:" + hashlib.sha256(np.asarray([t, c], "<i4").T.tobytes()).hexdigest()
                     for t, c in zip(batch["times"], batch["codes"], strict=True)
                 ],
             }

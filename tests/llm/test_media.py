@@ -24,3 +24,19 @@ def test_fingerprint_finds_a_tone():
     times, codes = fingerprint(tone)
     assert (codes[times == 0] >> 12 & 0xFF).tolist().count(32) > 0
     assert from_wav(to_wav(tone.tobytes())) == tone.tobytes() and payload_of(None) == (0, bytes(64))
+
+
+def test_short_texts_have_fingerprints_of_their_own(spark):
+    texts = ["a", "one two", "One two", "stone river", "river stone", "green cloud walks " * 6, "green cloud walks " * 13]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    features = [r["feature"] for r in media_digests(media_columns(docs)).collect()]
+    assert not any(f.startswith("0:") for f in features) and len(set(features)) == len(texts)
+
+
+def test_every_sample_counts():
+    silence = np.full(1024, 128, np.uint8)
+    _, quiet = fingerprint(silence)
+    for at in range(1024):
+        click = silence.copy()
+        click[at] = 255
+        assert fingerprint(click)[1].tolist() != quiet.tolist(), at
