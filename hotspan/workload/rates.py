@@ -85,9 +85,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("G2_fit_mixture_auto", _MOMENTS_SQL)
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    """Three sizes from two starts: every step of the fit is a job of its own."""
-    sample = sample_scores(candidates(spark, sf), 1.1)
-    return _moments(spark, fit_mixture_auto(sample, k_max=3, n_init=2, max_iter=60, keep_spikes=True))
+    """The operator's own sizes and starts: every step of the fit is a job of its own."""
+    return _moments(spark, fit_mixture_auto(sample_scores(candidates(spark, sf), 1.1), keep_spikes=True))
 
 
 @query("G3_mixture_policy", _MOMENTS_SQL)
@@ -95,6 +94,38 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return _moments(spark, mixture_policy(sample_scores(candidates(spark, sf), 1.1), keep_spikes=True))
 
 
+@query("G3_mixture_policy_auto", _MOMENTS_SQL)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return _moments(spark, mixture_policy(sample_scores(candidates(spark, sf), 1.1), auto=True, keep_spikes=True))
+
+
+# The moments are the same for any number of components or steps; the components are not.
+def _components(spark: SparkSession, mixture: Mixture) -> DataFrame:
+    """The components of a mixture, one row each."""
+    rows = [(mixture.k, i, *map(float, x)) for i, x in enumerate(zip(mixture.w, mixture.mu, mixture.sig))]
+    return spark.createDataFrame(rows, "k int, component int, w double, mu double, sig double")
+
+
+@query("G1_fit_mixture_components")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return _components(spark, fit_mixture(sample_scores(candidates(spark, sf), 1.1), keep_spikes=True))
+
+
+@query("G2_fit_mixture_auto_components")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return _components(spark, fit_mixture_auto(sample_scores(candidates(spark, sf), 1.1), keep_spikes=True))
+
+
+@query("G3_mixture_policy_components")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return _components(spark, mixture_policy(sample_scores(candidates(spark, sf), 1.1), keep_spikes=True))
+
+
+@query("G3_mixture_policy_auto_components")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return _components(spark, mixture_policy(sample_scores(candidates(spark, sf), 1.1), auto=True, keep_spikes=True))
+
+
 # --- whole jobs --------------------------------------------------------------------
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:

@@ -83,3 +83,20 @@ def test_baseline_and_prediction(spark):
     first = predict_rate(rows.where("chrom = 'a'"), 2).orderBy("start").collect()
     assert [r.obs_count for r in first] == [3.0, 0.0]
     assert first[0].bin_loglike == pytest.approx(3 * math.log(2) - 3)
+
+
+def test_mixture_queries_use_the_defaults_and_return_components(spark, monkeypatch):
+    from hotspan.workload import QUERIES, load
+
+    load()
+    from hotspan.workload import rates
+
+    asked, found = [], Mixture((0.25, 0.75), (0.5, 2.0), (0.1, 0.3))
+    monkeypatch.setattr(rates, "candidates", lambda *_: None)
+    monkeypatch.setattr(rates, "sample_scores", lambda *_: None)
+    for name in ("fit_mixture_auto", "mixture_policy"):
+        monkeypatch.setattr(rates, name, lambda sample, **given: asked.append(given) or found)
+    for name in ("G2_fit_mixture_auto", "G3_mixture_policy_auto", "G2_fit_mixture_auto_components", "G3_mixture_policy_auto_components"):
+        out = QUERIES[name](spark, "")
+    assert asked == [{"keep_spikes": True}, {"auto": True, "keep_spikes": True}] * 2
+    assert [tuple(r) for r in out.orderBy("component").collect()] == [(2, 0, 0.25, 0.5, 0.1), (2, 1, 0.75, 2.0, 0.3)]
