@@ -15,6 +15,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hotspan.session import stage_table
+
 _MERGE = {
     "sum": (F.sum, lambda a, b: F.coalesce(a + b, a, b)),
     "max": (F.max, lambda a, b: F.greatest(a, b)),
@@ -77,6 +79,26 @@ def row_index(
     return out.withColumn(name, F.col(name) - 1)
 
 
+def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """Add the 1-based rank of every row in one global order.
+
+    The rows are dealt out by ranges of ``order`` and sorted there, once; a
+    rank is the place in the range plus the sizes of the ranges before it.
+    The table is written in between, so that a lost task cannot deal equal
+    rows out anew. Rows that are equal in ``order`` take ranks of their own;
+    add a distinguishing column where they must be spread over tasks.
+    """
+    bits = 33  # monotonically_increasing_id holds the task above, the row below
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stage_table(dealt.withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    part, row = F.shiftright("_at", bits).alias("_part"), F.col("_at").bitwiseAND(F.lit((1 << bits) - 1))
+    sizes = placed.groupBy(part).agg((F.max(row) + 1).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a task
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.withColumn("_part", part).join(offsets, "_part").select(
+        *[F.col(c) for c in df.columns], (F.col("_before") + row + 1).alias(name))
+
+
 def split_points(df: DataFrame, col: str, blocks: int) -> list[float]:
     """At most ``blocks`` rising values that cut ``col`` into like-sized parts.
 
