@@ -13,8 +13,11 @@ from hotspan.llm.media import media_columns, media_digests
 from hotspan.llm.mixing import MixingConfig, mixing_report
 from hotspan.llm.ngram_join import similarity_components
 from hotspan.llm.packing import pack
+from hotspan.llm.periodic import find_runs, planted, run_report
+from hotspan.llm.pieces import decode_ids, encode_texts, piece_report
 from hotspan.llm.pii import KINDS, find_pii
 from hotspan.llm.quality import quality_report
+from hotspan.llm.resampling import resample
 from hotspan.llm.secrets import BASE, scan_secrets
 from hotspan.llm.substring import remove_repeats
 from hotspan.llm.tables import read
@@ -113,3 +116,22 @@ def op7_mixing(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op9_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(read(spark, sf, "documents"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return run_report(find_runs(planted(read(spark, sf, "documents"))))
+
+
+@query
+def op12_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return piece_report(decode_ids(encode_texts(read(spark, sf, "documents"), model), model))
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    return resample(read(spark, sf, "documents"), read(spark, sf, "benchmark")).select(
+        "doc_id", "n_features", "weight", "score", "rank")
