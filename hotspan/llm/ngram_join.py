@@ -14,11 +14,14 @@ Jaccard similarity of at least t share at least k tokens within their first
    are index keys as they are. Its frequent tokens are not: combinations of
    two of them are, within hash classes whose number grows with the set, such
    that two similar sets share two frequent tokens of one class, or a rare one.
-4. In each key's group all entities meet a leader of the group; verified links
-   give components. That is repeated with other leaders, for members of
-   different components alone; the last step compares those still apart.
-   So a group of copies costs its size, not its square.
-5. Verification computes the exact similarity of the whole sets.
+4. In each key's group all entities meet a few leaders of the group; verified
+   links give components, so a group of copies costs its size, not its square.
+5. Entities that still share a key with another component are put in one
+   cluster with what they share it with. A cluster ships the whole set of each
+   member once, however many keys its members share, and compares those of
+   different components by exact counts; it emits the links that join
+   components, fewer than its members, and no pairs.
+6. Similarities are those of the whole sets, all 64 bits of each token.
 """
 
 from __future__ import annotations
@@ -49,10 +52,13 @@ class JoinConfig:
     percent: int = 75
     #: k of the extended prefix, as hundredths of the set's size.
     extension: int = 10
-    #: In how many orders keys choose leaders, in the first steps of step 4.
-    leaders: tuple[int, ...] = (4, 12)
-    #: Rows of one key that are compared in one task.
+    #: In how many orders keys choose leaders in step 4.
+    leaders: int = 4
+    #: Sets, and tokens of sets, of one cluster that meet in one task as a block.
     group_rows: int = 1_000
+    group_tokens: int = 1_000_000
+    #: Sets of the largest cluster that is compared as one; in larger ones each key is a cluster.
+    cluster_rows: int = 50_000
     #: Digests that a task remembers, so as not to emit equal sets again.
     remembered: int = 200_000
 
@@ -98,13 +104,13 @@ SIZE = (1 << 31) - 1
 
 
 def _first_pass(docs: DataFrame, config: JoinConfig) -> DataFrame:
-    """``doc_id, n, e1, e2`` of every document, and the parts of the token sketch."""
+    """``doc, th, n, e1, e2`` of every document, and the parts of the token sketch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, seen = Sketch(), set()
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("e1", pa.int64()), ("e2", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("e1", pa.int64()), ("e2", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
             out = []
-            for tokens in shingle_sets(batch.column(1), config.shingle):
+            for tokens in shingle_sets(batch.column(0), config.shingle):
                 e = entity(tokens)
                 out.append((len(tokens), *e))
                 if e not in seen:
@@ -113,13 +119,13 @@ def _first_pass(docs: DataFrame, config: JoinConfig) -> DataFrame:
                         seen.add(e)
             n = len(out)
             columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         parts = list(sketch.parts())
         none = pa.nulls(len(parts), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [none] * 4 + [pa.array([b for b, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], schema=schema)
+            [none] * 5 + [pa.array([b for b, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, f"doc_id bigint, n bigint, {ENTITY}, {PART}")
+    return docs.select("text", "doc", "th").mapInArrow(run, f"doc bigint, th bigint, n bigint, {ENTITY}, {PART}")
 
 
 def _prefixes(docs: DataFrame, levels: np.ndarray, config: JoinConfig) -> DataFrame:
@@ -130,7 +136,7 @@ def _prefixes(docs: DataFrame, levels: np.ndarray, config: JoinConfig) -> DataFr
         rank, seen = np.frombuffer(zlib.decompress(packed), np.uint8), set()
         for batch in batches:
             tokens_out, e_out = [], []
-            for tokens in shingle_sets(batch.column(1), config.shingle):
+            for tokens in shingle_sets(batch.column(0), config.shingle):
                 n = len(tokens)
                 if n < 3:  # smaller sets are similar to equal ones alone
                     continue
@@ -150,7 +156,7 @@ def _prefixes(docs: DataFrame, levels: np.ndarray, config: JoinConfig) -> DataFr
                     pa.array(signed(tokens)), pa.array(np.repeat(e1, count)), pa.array(np.repeat(e2, count)),
                     pa.array(rank[(tokens & mask).astype(np.int64)] >= CROWDED)], ["token", "e1", "e2", "frequent"])
 
-    return docs.mapInArrow(run, f"token bigint, {ENTITY}, frequent boolean")
+    return docs.select("text").mapInArrow(run, f"token bigint, {ENTITY}, frequent boolean")
 
 
 def index_keys(tokens: list[tuple[bool, int, int]], n: int, config: JoinConfig) -> list[int]:
@@ -208,6 +214,9 @@ def _sizes_fit(config: JoinConfig) -> Column:
 
 
 PAIR = ["a1", "a2", "b1", "b2"]
+LINK = "a1 bigint, a2 bigint, b1 bigint, b2 bigint, a bigint, b bigint"
+#: Stands for a missing doc_id, so that it is no component's smallest.
+NO_DOC = (1 << 63) - 1
 
 
 def _ordered(df: DataFrame) -> DataFrame:
@@ -216,148 +225,170 @@ def _ordered(df: DataFrame) -> DataFrame:
     return df.select(*[F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in zip(PAIR, ["b1", "b2", "a1", "a2"], strict=True)]).distinct()
 
 
-def _marked(keys: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """``key, e1, e2, own``: index entries with the component that their entity has so far."""
-    if labels is None:
-        return keys.withColumn("own", F.struct("e1", "e2"))
-    marked = keys.join(labels, ["e1", "e2"], "left").withColumn("own", F.coalesce("label", F.struct("e1", "e2"))).drop("label")
+def _open(keys: DataFrame, labels: DataFrame) -> DataFrame:
+    """``key, e1, e2, own`` of the keys whose entities are in several components."""
+    own = F.struct(F.coalesce("label.e1", "e1").alias("e1"), F.coalesce("label.e2", "e2").alias("e2")).alias("own")
+    marked = keys.join(labels, ["e1", "e2"], "left").select("key", "e1", "e2", own)
     mixed = marked.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select("key")
     return stage_table(marked.join(mixed, "key"), "open")
 
 
-def _leader_pairs(marked: DataFrame, ways: int, config: JoinConfig) -> DataFrame:
-    """Every entity with the leader of each of its keys, unless both are in one component.
+def _leader_pairs(keys: DataFrame, config: JoinConfig) -> DataFrame:
+    """Every entity with the leader of each of its keys.
 
-    Keys choose leaders in ``ways`` different orders, so a large group of
+    Keys choose leaders in several different orders, so a large group of
     similar sets meets several leaders, and few of its members miss them all.
     """
-    turn = F.struct(F.xxhash64("e1", "e2", F.pmod("key", F.lit(ways)), F.lit(ways)).alias("h"), "e1", "e2", "own")
-    leaders = marked.groupBy("key").agg(F.min(turn).alias("f"), F.count("*").alias("size")).where("size > 1")
+    ways = F.lit(config.leaders)
+    turn = F.struct(F.xxhash64("e1", "e2", F.pmod("key", ways), ways).alias("h"), "e1", "e2")
+    leaders = keys.groupBy("key").agg(F.min(turn).alias("f"), F.count("*").alias("size")).where("size > 1")
     # Written, so that a crowded key can be split in the join.
-    leaders = stage_table(leaders.select("key", F.col("f.e1").alias("a1"), F.col("f.e2").alias("a2"), F.col("f.own").alias("lead")), "leaders")
-    met = marked.withColumnsRenamed({"e1": "b1", "e2": "b2"}).join(leaders, "key").where("own <> lead")
+    leaders = stage_table(leaders.select("key", F.col("f.e1").alias("a1"), F.col("f.e2").alias("a2")), "leaders")
+    met = keys.withColumnsRenamed({"e1": "b1", "e2": "b2"}).join(leaders, "key").where("a1 <> b1 or a2 <> b2")
     return _ordered(met.where(_sizes_fit(config)).select(*PAIR))
 
 
-def close_pairs(rows: pd.DataFrame, config: JoinConfig) -> np.ndarray:
-    """Row numbers (i, j) of the entities of one group that can be similar.
+def joining_links(sets: list[np.ndarray], own: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (i, j) that join components: i of ``left`` and j of ``right`` are similar.
 
-    What two sets share in their prefixes, and all of the rest of one of them,
-    bounds what they share at all. ``marks`` are 16 bits of each prefix token,
-    so common ones are counted rather too often than too rarely.
+    ``own`` names the components so far. Of the links that join the same two
+    components only one is given, so there are fewer links than components.
     """
-    marks = [np.frombuffer(m, np.uint16) for m in rows["marks"]]
-    n = rows["e2"].to_numpy(np.int64) & SIZE
-    rest = n - np.array([config.prefix(int(x)) for x in n])
-    row, mark = np.repeat(np.arange(len(rows)), [len(m) for m in marks]), np.concatenate(marks)
-    seen = np.bincount(mark, minlength=1 << 16)
-    row, mark = row[seen[mark] > 1], mark[seen[mark] > 1]
-    order = np.argsort(mark, kind="stable")
-    row, column = row[order], np.unique(mark[order], return_inverse=True)[1]
-    shared, width = np.zeros((len(rows), len(rows)), np.float32), int(column[-1]) + 1 if len(column) else 0
-    for low in range(0, width, 2048):  # some kinds of marks at a time, so that tables stay small
+    sizes = np.array([len(x) for x in sets], np.int64)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    tokens = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
+    kinds, column, seen = np.unique(tokens, return_inverse=True, return_counts=True)
+    often = seen[column] > 1
+    row, column = row[often], np.unique(column[often], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    place = np.full(len(sets), -1)
+    shared, width = np.zeros((len(left), len(right)), np.float32), int(column[-1]) + 1 if len(column) else 0
+    for low in range(0, width, 2048):  # some kinds of tokens at a time, so that tables stay small
         a, b = np.searchsorted(column, [low, low + 2048])
-        table = np.bincount(row[a:b] * 2048 + column[a:b] - low, minlength=len(rows) * 2048).reshape(len(rows), 2048).astype(np.float32)
-        shared += table @ table.T
-    own, block = rows["own"].to_numpy(), rows["block"].to_numpy()
-    out = []
-    for low in range(0, len(rows), 512):
-        part = slice(low, low + 512)
-        both = shared[part].astype(np.int64)
-        most = np.minimum(both + np.maximum(rest[part, None], rest[None]), np.minimum(n[part, None], n[None]))
-        fit = (100 + config.percent) * most >= config.percent * (n[part, None] + n[None])
-        fit &= own[part, None] != own[None]
-        if len(set(block.tolist())) > 1:  # pairs inside a block belong to that block's own group
-            fit &= block[part, None] != block[None]
-        i, j = np.nonzero(np.triu(fit, low + 1))
-        out.append(np.stack([i + low, j]))
-    return np.concatenate(out, axis=1)
-
-
-def _all_pairs(marked: DataFrame, survivors: DataFrame, config: JoinConfig) -> DataFrame:
-    """Pairs of one key in different components that can be similar.
-
-    Keys with the same members count once. A group larger than ``group_rows``
-    is cut into blocks by a hash, and every two blocks meet in a task of their own.
+
+        def table(chosen: np.ndarray) -> np.ndarray:
+            place.fill(-1)
+            place[chosen] = np.arange(len(chosen))
+            at, column_at = place[row[a:b]], column[a:b] - low
+            out = np.zeros((len(chosen), 2048), np.float32)
+            out[at[at >= 0], column_at[at >= 0]] = 1
+            return out
+
+        one = table(left)
+        shared += one @ (one if left is right else table(right)).T
+    names, group = np.unique(own, return_inverse=True)
+    links = []
+    for i, counts in zip(left.tolist(), shared.astype(np.int64), strict=True):
+        near = 100 * counts >= percent * (sizes[i] + sizes[right] - counts)
+        near &= group[right] != group[i]
+        found, first = np.unique(group[right[near]], return_index=True)
+        links.extend((i, j) for j in right[near][first].tolist())
+        group[np.isin(group, found)] = group[i]
+    return links
+
+
+def _clustered_links(open_keys: DataFrame, sets: DataFrame, config: JoinConfig) -> DataFrame:
+    """Links between components that share a key, found by exact comparison in clusters.
+
+    Entities that share keys, directly or over others, are one cluster. A
+    cluster too large for that (its keys reach over many unlike sets) is cut
+    into the groups of its keys, those with the same members once. A cluster
+    is dealt out in blocks, and every two blocks meet in a task of their own.
     """
-    members = marked.groupBy("key").agg(
+    first = open_keys.groupBy("key").agg(F.min(F.struct("e1", "e2")).alias("b"))
+    star = open_keys.join(first, "key").select(F.struct("e1", "e2").alias("a"), "b").distinct()
+    cluster = components(star).select("node.e1", "node.e2", F.xxhash64("label").alias("cluster"))
+    large = stage_table(cluster.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") > config.cluster_rows), "large")
+    once = cluster.join(open_keys.select("e1", "e2", "own").distinct(), ["e1", "e2"])
+    whole = once.join(large, "cluster", "left_anti").select(F.col("cluster").alias("g"), "e1", "e2", "own")
+    wide = open_keys.join(cluster.join(large, "cluster", "left_semi"), ["e1", "e2"]).select("key", "e1", "e2", "own")
+    members = wide.groupBy("key").agg(
         F.count("*").alias("n"), F.sum(F.xxhash64("e1", "e2").cast("decimal(38,0)")).alias("x"),
         F.sum(F.xxhash64("e2", "e1", F.lit(1)).cast("decimal(38,0)")).alias("y"))
-    once = stage_table(members.groupBy("n", "x", "y").agg(F.min("key").alias("key")), "once")
-    marks = survivors.select("e1", "e2", F.transform("tokens", lambda t: t["token"]).alias("tokens"))
-    blocks = F.ceil(F.col("n") / config.group_rows).cast("int")
-    rows = (
-        marked.join(once.select("key", "n"), "key")
-        .select("key", "e1", "e2", F.xxhash64("own").alias("own"), blocks.alias("blocks"), F.pmod(F.xxhash64("e1", "e2", F.lit(5)), blocks).cast("int").alias("block"))
+    by_key = wide.join(members.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key").select(F.col("key").alias("g"), "e1", "e2", "own")
+    rows = stage_table(whole.unionByName(by_key), "clusters")
+    size = F.col("e2").bitwiseAND(SIZE)
+    blocks = F.greatest(F.ceil(F.count("*") / config.group_rows), F.ceil(F.sum(size) / config.group_tokens)).cast("int")
+    of = rows.groupBy("g").agg(blocks.alias("blocks"))
+    dealt = (
+        rows.join(of, "g").withColumn("block", F.pmod(F.xxhash64("e1", "e2", F.lit(5)), "blocks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-        .join(marks, ["e1", "e2"])
-        .select("key", "low", "high", "block", "e1", "e2", "own", "tokens")
+        .join(sets, ["e1", "e2"])
+        .select("g", "low", "high", "block", "e1", "e2", F.xxhash64("own").alias("own"), "doc", "tokens")
     )
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens = batch.column(7)
-            at, values = tokens.offsets.to_numpy(), tokens.values.to_numpy(zero_copy_only=False)
-            short = [(values[a:b] >> 40).astype(np.uint16).tobytes() for a, b in itertools.pairwise(at.tolist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(short, pa.binary())], ["key", "low", "high", "block", "e1", "e2", "own", "marks"])
-
-    packed = rows.mapInArrow(pack, f"key bigint, low int, high int, block int, {ENTITY}, own bigint, marks binary")
-
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = close_pairs(group, config)
-        a, b = group[["e1", "e2"]].to_numpy()[i], group[["e1", "e2"]].to_numpy()[j]
-        return pd.DataFrame(np.concatenate([a, b], axis=1), columns=PAIR)
+        block = group["block"].to_numpy()
+        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        if block.min() == block.max():
+            right = left
+            if group["low"].iloc[0] != group["high"].iloc[0]:  # the other block is empty
+                left = right = left[:0]
+        links = joining_links([_unpack(t) for t in group["tokens"]], group["own"].to_numpy(), left, right, config.percent)
+        i, j = np.array(links, np.int64).reshape(-1, 2).T
+        e, doc = group[["e1", "e2"]].to_numpy(), group["doc"].to_numpy()
+        return pd.DataFrame(np.concatenate([e[i], e[j], doc[i, None], doc[j, None]], axis=1), columns=[*PAIR, "a", "b"])
 
-    met = packed.groupBy("key", "low", "high").applyInPandas(meet, "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
-    return _ordered(met)
+    return dealt.groupBy("g", "low", "high").applyInPandas(meet, LINK)
 
 
-def _pack(tokens: np.ndarray) -> bytes:
-    """The sorted top 40 bits of each token; within one pair of sets they tell tokens apart."""
-    top = tokens >> np.uint64(24)
-    return (top >> np.uint64(8)).astype("<u4").tobytes() + (top & np.uint64(255)).astype(np.uint8).tobytes()
+def _unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint64)
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    n = len(data) // 5
-    return np.frombuffer(data, "<u4", n).astype(np.int64) << 8 | np.frombuffer(data, np.uint8, n, 4 * n)
+def _once(docs: DataFrame, config: JoinConfig) -> DataFrame:
+    """``doc, th, text`` without the repeated rows that a task remembers, so that no row comes often."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            fresh = []
+            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                fresh.append(row not in seen)
+                if len(seen) < config.remembered:
+                    seen.add(row)
+            yield batch.filter(pa.array(fresh, pa.bool_()))
+
+    return docs.select("doc", "th", "text").mapInArrow(run, "doc bigint, th bigint, text string")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, config: JoinConfig) -> DataFrame:
-    """``e1, e2, tokens`` of the wanted entities, from one document of each."""
+    """``e1, e2, doc, tokens`` of the wanted entities, from one document of each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            want = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
-            found = [(e, _pack(t)) for t, w in zip(shingle_sets(batch.column(0), config.shingle), want, strict=True) if (e := entity(t)) == w]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([e[0] for e, _ in found], pa.int64()), pa.array([e[1] for e, _ in found], pa.int64()),
-                pa.array([t for _, t in found], pa.binary())], ["e1", "e2", "tokens"])
+            want = list(zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True))
+            found = [(w, t.tobytes()) for t, w in zip(shingle_sets(batch.column(0), config.shingle), want, strict=True) if entity(t) == w[:2]]
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array([w[i] for w, _ in found], pa.int64()) for i in range(3)), pa.array([t for _, t in found], pa.binary())],
+                ["e1", "e2", "doc", "tokens"])
 
-    chosen = docs.join(wanted, "doc_id").select("text", "e1", "e2")
-    return chosen.mapInArrow(run, f"{ENTITY}, tokens binary")
+    # The rows are joined and then made distinct by the same columns: one shuffle of the texts.
+    chosen = _once(docs, config).join(wanted, ["doc", "th"]).dropDuplicates(["doc", "th"])
+    return chosen.select("text", "e1", "e2", "doc").mapInArrow(run, f"{ENTITY}, doc bigint, tokens binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, config: JoinConfig) -> DataFrame:
-    """The pairs whose sets are similar enough."""
+    """The pairs whose sets are similar enough, as links."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+            for a, b in zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True):
                 x, y = _unpack(a), _unpack(b)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * both >= config.percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays(batch.columns[:4], PAIR).filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(batch.columns[:6], [*PAIR, "a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    left = sets.select(F.col("e1").alias("a1"), F.col("e2").alias("a2"), F.col("tokens").alias("tokens_a"))
-    right = sets.select(F.col("e1").alias("b1"), F.col("e2").alias("b2"), F.col("tokens").alias("tokens_b"))
-    full = pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).select(*PAIR, "tokens_a", "tokens_b")
-    return full.mapInArrow(run, "a1 bigint, a2 bigint, b1 bigint, b2 bigint").distinct()
+    left = sets.select(F.col("e1").alias("a1"), F.col("e2").alias("a2"), F.col("doc").alias("a"), F.col("tokens").alias("tokens_a"))
+    right = sets.select(F.col("e1").alias("b1"), F.col("e2").alias("b2"), F.col("doc").alias("b"), F.col("tokens").alias("tokens_b"))
+    full = pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).select(*PAIR, "a", "b", "tokens_a", "tokens_b")
+    return full.mapInArrow(run, LINK)
 
 
 def _labels(links: DataFrame) -> DataFrame:
-    """``e1, e2, label`` of linked entities."""
-    found = components(links.select(F.struct(F.col("a1").alias("e1"), F.col("a2").alias("e2")).alias("a"), F.struct(F.col("b1").alias("e1"), F.col("b2").alias("e2")).alias("b")))
+    """``e1, e2, label`` of linked entities; the label has the component's smallest doc_id first."""
+    node = lambda x: F.struct(F.col(x).alias("doc"), F.col(f"{x}1").alias("e1"), F.col(f"{x}2").alias("e2"))
+    found = components(links.select(node("a").alias("a"), node("b").alias("b")))
     return found.select("node.e1", "node.e2", "label")
 
 
@@ -374,32 +405,26 @@ def similarity_components(docs: DataFrame, config: JoinConfig | None = None) ->
     config = config or JoinConfig()
     docs = texts(docs)
     small_batches(docs.sparkSession)
+    docs = docs.withColumns({"doc": F.coalesce("doc_id", F.lit(NO_DOC)), "th": F.xxhash64("text")})
     first = stage_table(_first_pass(docs, config), "entities")
-    entities = first.where("block is null").select("doc_id", "n", "e1", "e2")
+    entities = first.where("block is null").select("doc", "th", "n", "e1", "e2")
     levels = bucket_levels(first.where("block is not null").select("block", "counts"))
     survivors = stage_table(_survivors(_prefixes(docs, levels, config), config), "survivors")
-    keys = stage_table(_keys(survivors, config), "keys")
-
-    one = entities.where("n > 0").groupBy("e1", "e2").agg(F.min("doc_id").alias("doc_id"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    met = keys.join(shared, "key").select("e1", "e2").distinct()
-    sets = stage_table(_sets(docs, one.join(met, ["e1", "e2"]), config), "sets")
-
-    tested, links, labels = None, None, None
-    for ways in (*config.leaders, 0):  # at last, what is still apart meets pair by pair
-        open_keys = _marked(keys, labels)
-        pairs = _leader_pairs(open_keys, ways, config) if ways else _all_pairs(open_keys, survivors, config)
-        pairs = stage_table(pairs if tested is None else pairs.join(tested, PAIR, "left_anti"), "pairs")
-        found = stage_table(_verified(pairs, sets, config), "links")
-        tested = pairs if tested is None else tested.union(pairs)
-        links = found if links is None else links.union(found)
-        labels = _labels(links)
-    named = one.join(labels, ["e1", "e2"], "left").withColumn("own", F.coalesce("label", F.struct("e1", "e2")))
-    lowest = named.groupBy("own").agg(F.min("doc_id").alias("component_id"))
-    found = named.join(lowest, "own").select("e1", "e2", "component_id")
-    return entities.join(found, ["e1", "e2"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    keys = _keys(survivors, config)
+    several = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    keys = stage_table(keys.join(several, "key"), "keys")
+
+    one = entities.where("n > 0").groupBy("e1", "e2").agg(F.min(F.struct("doc", "th")).alias("least")).select("e1", "e2", "least.*")
+    sets = stage_table(_sets(docs, one.join(keys.select("e1", "e2").distinct(), ["e1", "e2"]), config), "sets")
+
+    pairs = stage_table(_leader_pairs(keys, config), "pairs")
+    links = stage_table(_verified(pairs, sets, config), "links")
+    links = links.unionByName(stage_table(_clustered_links(_open(keys, _labels(links)), sets, config), "more_links"))
+    named = one.join(_labels(links), ["e1", "e2"], "left").select("e1", "e2", F.coalesce("label.doc", "doc").alias("low"))
+    with_id = lambda c: F.when(F.col(c) < NO_DOC, F.col(c))
+    return entities.join(named, ["e1", "e2"], "left").select(
+        with_id("doc").alias("doc_id"), F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, with_id("low")).otherwise(with_id("doc")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, config: JoinConfig | None = None) -> DataFrame:
@@ -410,5 +435,7 @@ def one_of_each(docs: DataFrame, config: JoinConfig | None = None) -> DataFrame:
     """
     found = similarity_components(docs, config)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.join(kept, "doc_id", "left_semi").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
-    return known.unionByName(docs.where("doc_id is null"))
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")  # so that no column's name can clash
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), row)
+    known = keyed.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "th"])
+    return known.unionByName(keyed.where("doc_id is null")).select("row.*")
