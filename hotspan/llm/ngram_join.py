@@ -410,7 +410,7 @@ def similarity_components(docs: DataFrame, config: JoinConfig | None = None) ->
     entities = first.where("block is null").select("doc", "th", "n", "e1", "e2")
     levels = bucket_levels(first.where("block is not null").select("block", "counts"))
     survivors = stage_table(_survivors(_prefixes(docs, levels, config), config), "survivors")
-    keys = _keys(survivors, config)
+    keys = stage_table(_keys(survivors, config), "entries")
     several = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     keys = stage_table(keys.join(several, "key"), "keys")
 
