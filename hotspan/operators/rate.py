@@ -14,9 +14,11 @@ from pyspark.sql import types as T
 from hotspan.functions.numeric import interval_length, length_kb
 from hotspan.functions.scores import bin_loglike
 from hotspan.operators.ordered import join_per_key
+from hotspan.operators.poisson import LinearRate, add_linear_rate, fit_wide
 from hotspan.operators.smooth import rolling_rate
 
-
+#: Widest vectors that the normal equations are solved for.
+WIDEST = 4096
 
 def rate_baseline(bins: DataFrame, unit: float = 1000.0) -> DataFrame:
     """Constant rate per sequence: all observed over all exposure.
@@ -49,9 +51,21 @@ def fit_rate(
     reg: float = 1e-3,
     max_iter: int = 25,
     tol: float = 1e-6,
-) -> RateModel:
+    solver: str = "auto",
+) -> RateModel | LinearRate:
     """Log-linear rate of ``features`` by weighted Poisson likelihood, with
-    exposure ``kb`` as offset and ``y`` as the count."""
+    exposure ``kb`` as offset and ``y`` as the count.
+
+    ``solver`` is ``irls``, ``lbfgs``, or ``auto``: the first for vectors up to
+    ``WIDEST``, the second beyond. Both end at the same coefficients.
+    """
+    if solver not in ("auto", "irls", "lbfgs"):
+        raise ValueError(f"unknown solver {solver}")
+    if solver == "auto":
+        first = rows.select(F.size("features").alias("n")).first()
+        solver = "lbfgs" if first is not None and first["n"] > WIDEST else "irls"
+    if solver == "lbfgs":
+        return fit_wide(rows, weight, reg)
     glm = GeneralizedLinearRegression(
         family="poisson", link="log", featuresCol="_vec", labelCol="y", offsetCol="_log_kb",
         predictionCol="_mu", regParam=reg, maxIter=max_iter, tol=tol,
@@ -63,8 +77,10 @@ def fit_rate(
     return RateModel(glm.fit(data))
 
 
-def add_rate(model: RateModel, rows: DataFrame) -> DataFrame:
+def add_rate(model: RateModel | LinearRate, rows: DataFrame) -> DataFrame:
     """Add ``lam``, the modelled rate per unit of length."""
+    if isinstance(model, LinearRate):
+        return add_linear_rate(model, rows)
     out = model.model.transform(_design(rows))
     rate = F.col("_mu") / F.col("kb") * F.lit(float(model.scale))
     return out.withColumn(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hotspan.functions.tail import Mixture
@@ -10,15 +12,16 @@ from hotspan.functions.vectors import fuse_vectors
 from hotspan.operators.mixture import fit_mixture, fit_mixture_auto, mixture_policy
 from hotspan.operators.rate import add_rate, fit_rate, predict_rate, rate_baseline
 from hotspan.operators.scan import sample_scores
+from hotspan.operators.segments import join_features
 from hotspan.plans.hotspots import HotspotConfig, run_hotspots
 from hotspan.plans.training import TrainingConfig, fit_and_predict
-from hotspan.session import stage_path
+from hotspan.session import stage_path, stage_table
 from hotspan.sources.writers import write_stage
 from hotspan.workload.fields import MIXTURE, tail_sql
 from hotspan.workload.registry import query
 from hotspan.workload.scans import SELECT_SQL, candidates, recursive
 from hotspan.workload.stats import _SAMPLES_SQL, stats_sql
-from hotspan.workload.tables import DAY, HOUR, cte, labels, rated, segment_rows, typed_events
+from hotspan.workload.tables import DAY, HOUR, cte, labels, rated, segment_rows, table, typed_events
 
 
 @query(
@@ -43,15 +46,41 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _feature_bins(spark: SparkSession, sf: str) -> DataFrame:
-    """Labelled bins with a daily and a weekly rhythm as features."""
+    """Labelled bins; features are a daily and a weekly rhythm and the bin's vector.
+
+    The vectors are those of ``embeddings``, numbered along the label that
+    stands for the sequence; bins without one have a zero vector.
+    """
+    vectors = table(spark, sf, "embeddings").select(
+        F.concat(F.lit("chr"), F.col("label") + 1).alias("chrom"),
+        (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("bigint").alias("w_idx"),
+        F.col("embedding").alias("feat"))
     hour = F.floor(F.col("start") / HOUR)
     day = 2 * 3.141592653589793 * (hour % 24) / 24.0
     week = 2 * 3.141592653589793 * (hour % 168) / 168.0
-    return labels(spark, sf).select(
+    bins = labels(spark, sf).select(
         "chrom", hour.alias("w_idx"), "start", "end", "y",
-        F.array(F.sin(day), F.cos(day), F.sin(week), F.cos(week)).alias("features"),
+        F.array(F.sin(day), F.cos(day), F.sin(week), F.cos(week)).alias("cls"),
         F.lit(HOUR / 1000.0).alias("kb"),
     )
+    features = F.concat("cls", F.col("feat").cast("array<double>")).alias("features")
+    return join_features(bins, vectors).select("chrom", "w_idx", "start", "end", "y", features, "kb")
+
+
+_HOURS_SQL = cte("lab") + """, g AS (SELECT start // 3600 % 24 AS hour, sum(y) / sum(CAST(3.6 AS DOUBLE)) AS lam FROM lab GROUP BY 1)
+SELECT chrom, lab.start, lab."end", y, round(greatest(lam, 1e-9), 5) AS lam FROM lab JOIN g ON g.hour = lab.start // 3600 % 24"""
+
+
+@query("G4_fit_rate_hours", _HOURS_SQL)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """With one column an hour of the day and no penalty, the rate is that hour's mean."""
+    bins = _feature_bins(spark, sf)
+    hour = F.col("w_idx") % 24
+    hours = bins.withColumn("features", F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: (i == hour).cast("double")))
+    # every pass of the fit reads it again
+    hours = stage_table(hours, "hours")
+    rated_hours = add_rate(fit_rate(hours, reg=0.0, solver="lbfgs"), hours)
+    return rated_hours.select("chrom", "start", "end", "y", F.round("lam", 5).alias("lam"))
 
 
 @query("G4_fit_rate")
@@ -126,6 +155,55 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return _components(spark, mixture_policy(sample_scores(candidates(spark, sf), 1.1), auto=True, keep_spikes=True))
 
 
+def _steps_sql(sizes: range, steps: int) -> str:
+    """The joint fit in SQL: a fixed number of steps from the plain quantiles, all sizes together."""
+    quantiles = " UNION ALL ".join(
+        f"SELECT {k} AS k, {j} AS j, quantile_cont(z, CAST({(j + 0.5) / k!r} AS DOUBLE)) AS mu FROM x" for k in sizes for j in range(k))
+    sql = cte("cand") + f""", x AS (SELECT round(ln(1 + llr / sqrt(len_bp / CAST(1000 AS DOUBLE))) / 1e-4) * 1e-4 AS z FROM cand WHERE llr > 1e-6),
+h AS (SELECT z, CAST(count(*) AS DOUBLE) AS n FROM x GROUP BY 1),
+t AS (SELECT sum(n) AS n, sqrt(sum(n * z * z) / sum(n) - (sum(n * z) / sum(n)) * (sum(n * z) / sum(n))) AS sd FROM h),
+q AS ({quantiles}),
+p0 AS (SELECT k, j, CAST(1 AS DOUBLE) / k AS w, mu, (SELECT sd FROM t) / k AS sig FROM q)"""
+    for i in range(steps):
+        sql += f""",
+e{i} AS (SELECT k, j, z, n, ln(w) - ln(sig) - 0.5 * ((z - mu) / sig) * ((z - mu) / sig) - 0.5 * ln(2 * pi()) AS lp FROM h, p{i}),
+d{i} AS (SELECT *, exp(lp - top) AS d FROM (SELECT *, max(lp) OVER (PARTITION BY k, z) AS top FROM e{i})),
+r{i} AS (SELECT *, sum(d) OVER (PARTITION BY k, z) AS a FROM d{i}),
+m{i} AS (SELECT k, j, sum(n * d / a) AS s0, sum(n * d / a * z) AS s1, sum(n * d / a * z * z) AS s2 FROM r{i} GROUP BY 1, 2),
+p{i + 1} AS (SELECT k, j, s0 / (SELECT n FROM t) AS w, s1 / s0 AS mu, sqrt(greatest(s2 / s0 - (s1 / s0) * (s1 / s0), 1e-6)) AS sig FROM m{i})"""
+    last = steps - 1
+    return sql + f""",
+l AS (SELECT k, -2 * sum(CASE WHEN j = 0 THEN n * (ln(a) + top) ELSE 0 END) + (3 * k - 1) * ln((SELECT n FROM t)) AS bic FROM r{last} GROUP BY k),
+b AS (SELECT arg_min(k, bic) AS k FROM l)
+SELECT p.k, CAST(row_number() OVER (ORDER BY mu, sig) - 1 AS INTEGER) AS component, round(w, 5) AS w, round(mu, 5) AS mu, round(sig, 5) AS sig
+FROM p{steps} p JOIN b USING (k)"""
+
+
+def _rounded(components: DataFrame) -> DataFrame:
+    return components.withColumns({c: F.round(c, 5) for c in ("w", "mu", "sig")})
+
+
+@query("G1_fit_mixture_steps", _steps_sql(range(3, 4), 5))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The components after five steps from the plain start."""
+    scores = sample_scores(candidates(spark, sf), 1.1)
+    return _rounded(_components(spark, fit_mixture(scores, 3, max_iter=5, tol=-math.inf, keep_spikes=True)))
+
+
+@query("G2_fit_mixture_auto_steps", _steps_sql(range(1, 5), 4))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Four joint steps of the sizes 1 to 4, and the components of the size with the least BIC."""
+    scores = sample_scores(candidates(spark, sf), 1.1)
+    return _rounded(_components(spark, fit_mixture_auto(scores, 1, 4, n_init=1, max_iter=4, tol=-math.inf, keep_spikes=True)))
+
+
+@query("G3_mixture_policy_steps", _steps_sql(range(3, 4), 4))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The policy's fixed branch after four steps."""
+    scores = sample_scores(candidates(spark, sf), 1.1)
+    return _rounded(_components(spark, mixture_policy(scores, max_iter=4, tol=-math.inf, keep_spikes=True)))
+
+
 # --- whole jobs --------------------------------------------------------------------
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
