@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hotspan.functions.numeric import sanitize
+from hotspan.operators.ordered import running
+from hotspan.session import stage_table
 
 INTERVAL = ["chrom", "start_bp", "end_bp"]
 TILE_BP = 100_001
@@ -55,6 +63,75 @@ def points_in_intervals(
     )
 
 
+def points_in_disjoint_intervals(points: DataFrame, intervals: DataFrame) -> DataFrame:
+    """As ``points_in_intervals``, for intervals that do not overlap: an as-of join.
+
+    Points and intervals are one stream, dealt out by ranges of (chrom,
+    position) and sorted there, and the last interval is carried along it. A
+    range's first points may lie in an interval of an earlier range: those
+    wait for the last interval of the ranges before, one row for each range.
+    No side is copied, whatever the length of the intervals, and a position
+    that many points share is spread over ranges by a hash. Points without
+    sequence or position lie in none.
+    """
+    plain = intervals.select(*INTERVAL).distinct().select(
+        F.col("chrom"), F.col("start_bp").cast("bigint").alias("_at"), F.lit(0).alias("_kind"), F.lit(0).cast("bigint").alias("_h"),
+        F.col("end_bp").cast("bigint").alias("_e"))
+    row = F.struct(*points.columns)
+    asks = points.where(F.col("chrom").isNotNull() & F.col("pos").isNotNull()).select(
+        F.col("chrom"), F.col("pos").cast("bigint").alias("_at"), F.lit(1).alias("_kind"), F.xxhash64(*points.columns).alias("_h"),
+        F.lit(None).cast("bigint").alias("_e"), row.alias("_row"))
+    stream = plain.where(F.col("chrom").isNotNull()).withColumn("_row", F.lit(None).cast(asks.schema["_row"].dataType)).unionByName(asks)
+    order = ["chrom", "_at", "_kind", "_h"]
+    # a point's row, the interval it meets in its range, and one row more for each range: its last interval
+    names = ["_part", "_row", "chrom", "_at", "start_bp", "end_bp", "_state"]
+    schema = T.StructType([
+        T.StructField("_part", T.IntegerType()), T.StructField("_row", asks.schema["_row"].dataType), T.StructField("chrom", T.StringType()),
+        T.StructField("_at", T.LongType()), T.StructField("start_bp", T.LongType()), T.StructField("end_bp", T.LongType()),
+        T.StructField("_state", T.IntegerType())])
+    met, waits, last = 0, 1, 2
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, row_type = TaskContext.get().partitionId(), None, None
+        for batch in batches:
+            chrom, n = batch.column(0), batch.num_rows
+            row_type = batch.column(5).type
+            at = batch.column(1).to_numpy(zero_copy_only=False)
+            opens = batch.column(2).to_numpy(zero_copy_only=False) == 0
+            ends = batch.column(4).fill_null(0).to_numpy(zero_copy_only=False)
+            of = np.maximum.accumulate(np.where(opens, np.arange(n), -1)) if n else np.zeros(0, np.int64)
+            code = chrom.dictionary_encode()
+            seen = code.dictionary.to_pylist()
+            code = code.indices.to_numpy(zero_copy_only=False)
+            start, end = np.where(of >= 0, at[of], held[1] if held else 0), np.where(of >= 0, ends[of], held[2] if held else 0)
+            before = seen.index(held[0]) if held and held[0] in seen else -1
+            same = np.where(of >= 0, code[of] == code, code == before)
+            open_yet = (of < 0) & (held is None)
+            keep = np.flatnonzero(~opens & (open_yet | (same & (at <= end))))
+            state = np.where(open_yet, waits, met)[keep].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(keep), part, np.int32)), batch.column(5).take(pa.array(keep)), chrom.take(pa.array(keep)),
+                pa.array(at[keep], pa.int64()), pa.array(start[keep], pa.int64()), pa.array(end[keep], pa.int64()), pa.array(state)], names)
+            if opens.any():
+                i = int(of[-1])
+                held = chrom[i].as_py(), int(at[i]), int(ends[i])
+        if row_type is not None:
+            chrom, start, end = held or (None, None, None)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([part], pa.int32()), pa.nulls(1, row_type), pa.array([chrom], pa.string()), pa.array([start], pa.int64()),
+                pa.array([start], pa.int64()), pa.array([end], pa.int64()), pa.array([last], pa.int32())], names)
+
+    dealt = stream.select(*order, "_e", "_row").repartitionByRange(*order).sortWithinPartitions(*order)
+    found = stage_table(dealt.mapInArrow(carry, schema), "asof")
+    interval = F.when(F.col("start_bp").isNotNull(), F.struct(F.col("chrom").alias("c"), F.col("start_bp").alias("s"), F.col("end_bp").alias("e")))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    ranges = found.where(F.col("_state") == last).select("_part", F.last(interval, ignorenulls=True).over(before).alias("_held"))
+    waiting = found.where(F.col("_state") == waits).join(ranges, "_part").where(
+        (F.col("_held.c") == F.col("chrom")) & (F.col("_at") <= F.col("_held.e")))
+    inside = found.where(F.col("_state") == met).select("_row.*", "start_bp", "end_bp")
+    return inside.unionByName(waiting.select("_row.*", F.col("_held.s").alias("start_bp"), F.col("_held.e").alias("end_bp")))
+
+
 def bins_in_intervals(
     bins: DataFrame, intervals: DataFrame, tile_bp: int = TILE_BP, salts: int = 1
 ) -> DataFrame:
@@ -84,6 +161,47 @@ def interval_obs_exp(bins: DataFrame, intervals: DataFrame, tile_bp: int = TILE_
     )
 
 
+#: Sums of bins are whole numbers of this part, so that their differences are exact.
+PART = 1 << 30
+
+
+def interval_sums(bins: DataFrame, intervals: DataFrame, block_bp: int = 10_000_000) -> DataFrame:
+    """As ``interval_obs_exp`` by differences of running sums: no join of bins
+    with intervals, and work that does not depend on the intervals' lengths.
+
+    For bins that do not overlap, the total of those inside [s, e] is that of
+    the bins that end by e less that of the bins that start before s. Both are
+    looked up in one stream for each side, of bin places and asked places,
+    with running sums block by block. Totals are rounded to 2^-30. Intervals
+    may overlap or repeat (a repeated one has one row).
+    """
+    asked = intervals.select(*INTERVAL).distinct()
+    sums = ["_n", "_obs", "_exp"]
+    whole = lambda c: F.round(c * float(PART)).cast("decimal(38,0)")
+    measured = bins.select(
+        "chrom", "start", "end", F.lit(1).cast("decimal(38,0)").alias("_n"), whole(F.col("obs")).alias("_obs"),
+        whole(F.col("lam") * F.col("kb")).alias("_exp"))
+    none = [F.lit(None).cast("decimal(38,0)").alias(c) for c in sums]
+    nobody = [F.lit(None).cast("bigint").alias(c) for c in INTERVAL[1:]]
+
+    def side(sign: int, at: str, ask: str, turn: int) -> DataFrame:
+        """Bin places have turn 1 among equal positions, asked ones 0 (those before) or 2 (those up to)."""
+        places = measured.select("chrom", F.col(at).cast("bigint").alias("_at"), F.lit(1).alias("_turn"), *sums, *nobody)
+        return places.unionByName(asked.select(
+            "chrom", F.col(ask).cast("bigint").alias("_at"), F.lit(turn).alias("_turn"), *none, *INTERVAL[1:]
+        )).withColumn("_sign", F.lit(sign))
+
+    stream = side(1, "end", "end_bp", 2).unionByName(side(-1, "start", "start_bp", 0))
+    stream = stream.withColumn("_blk", F.floor(F.col("_at") / block_bp))
+    summed = running(
+        stream, ["chrom", "_sign"], "_blk", ["_at", "_turn"],
+        {f"{c}_upto": ("sum", F.coalesce(c, F.lit(0).cast("decimal(38,0)"))) for c in sums})
+    signed = lambda c: F.sum(F.col(f"{c}_upto") * F.col("_sign"))
+    totals = summed.where(F.col("_turn") != 1).groupBy(*INTERVAL).agg(*[signed(c).alias(c) for c in sums])
+    back = lambda c: sanitize(F.col(c).cast("double") / float(PART))
+    return totals.where(F.col("_n") > 0).select(*INTERVAL, back("_obs").alias("obs_sum"), back("_exp").alias("exp_sum"))
+
+
 def event_groups(
     points: DataFrame, intervals: DataFrame, tile_bp: int = TILE_BP, salts: int = SALTS
 ) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hotspan.functions.numeric import sanitize
-from hotspan.operators.ordered import cut, running, split_points
+from hotspan.operators.ordered import cut, range_sums, running, split_points
 from hotspan.session import stage_table
 
 #: Distinct values that one task orders, about; the number of tasks is bounded.
@@ -189,21 +189,38 @@ def fdr(
     return storey_qvalues(df, pi0, p, out)
 
 
-def qq_table(df: DataFrame, p: str = "p", rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+#: Ranks of one p-value that a task writes out at once.
+RANKS_PER_ROW = 1 << 20
+
+
+def qq_table(df: DataFrame, p: str = "p", per_decade: int | None = None) -> DataFrame:
     """Per row of ``df``: rank, expected and observed -log10 p.
 
-    The rank is the number of smaller p-values plus the place among the equal
-    ones; a large group of equal p-values is itself cut by hash. Missing
-    p-values count as 1.
+    A p-value that n rows have takes n ranks in a row, so the rows are only
+    counted; ranks come from sums over ranges of the distinct values, and a
+    value with very many rows is written out in pieces. Missing p-values count
+    as 1. With ``per_decade`` only the ranks ceil(10^(k / per_decade)) for
+    k = 0, 1, 2 ... and the last one are kept: as many points for any table
+    as a plot can show, made without writing out the others.
     """
-    clean = df.select(F.greatest(clean_p(p), F.lit(1e-300)).alias("_p"), F.xxhash64(*df.columns).alias("_h"))
-    ranked = _ranked(clean, F.col("_p"), rows_per_block)
-    below = ranked.select("_p", (F.col("_upto") - F.col("_n")).alias("_below"))
-    placed = clean.withColumn("_blk", F.shiftright("_h", 54).cast("int"))
-    ties = running(placed, ["_p"], "_blk", ["_h"], {"_tie": ("sum", F.lit(1).cast("bigint"))})
-    m = ranked.agg(F.max("_upto")).scalar()
-    ranks = ties.join(below, "_p").select((F.col("_below") + F.col("_tie")).alias("rank"), "_p")
-    return ranks.select(
+    value = F.greatest(clean_p(p), F.lit(1e-300)).alias("_p")
+    counts = stage_table(df.select(value).groupBy("_p").agg(F.count(F.lit(1)).alias("_n")), "distinct_p")
+    ranked = range_sums(counts, [F.col("_p")], "_n", "_upto")
+    m = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("m")).first()["m"]
+    first, last = F.col("_upto") - F.col("_n") + 1, F.col("_upto")
+    if per_decade is None:
+        pieces = ranked.select("_p", last.alias("_upto"), F.explode(F.sequence(first, last, F.lit(RANKS_PER_ROW).cast("bigint"))).alias("_from"))
+        # a value with many ranks is spread over tasks before they are written out
+        pieces = pieces.repartition("_p", "_from") if m > RANKS_PER_ROW else pieces
+        rank = F.explode(F.sequence("_from", F.least("_upto", F.col("_from") + (RANKS_PER_ROW - 1))))
+        places = pieces.select("_p", rank.alias("rank"))
+    else:
+        step = lambda rank: F.floor(F.log10(rank.cast("double")) * per_decade).cast("bigint")
+        steps = F.transform(
+            F.sequence(step(first), step(last) + 1), lambda k: F.ceil(F.pow(F.lit(10.0), k / float(per_decade)) - 1e-9).cast("bigint"))
+        kept = F.array_union(F.filter(steps, lambda r: (r >= first) & (r <= last)), F.when(last == m, F.array(last)).otherwise(F.array().cast("array<bigint>")))
+        places = ranked.select("_p", F.explode(kept).alias("rank"))
+    return places.select(
         "rank",
         (-F.log10((F.col("rank") - 0.5) / m)).alias("expected"),
         (-F.log10("_p")).alias("observed"),

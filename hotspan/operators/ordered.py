@@ -10,10 +10,15 @@ whole sequence.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hotspan.session import stage_table
 
@@ -99,6 +104,33 @@ def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
         *[F.col(c) for c in df.columns], (F.col("_before") + row + 1).alias(name))
 
 
+def range_sums(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """Add the sum of the whole-numbered ``value`` over all rows up to each one.
+
+    The rows are dealt out by ranges of ``order``, which must tell rows apart
+    where their sums matter, and summed in place; the totals of the ranges
+    before are added afterwards. The table is written in between. One shuffle
+    of the rows, one of a row for each range.
+    """
+    names = df.columns
+    schema = T.StructType([*df.schema, T.StructField("_here", T.LongType()), T.StructField("_part", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, part = 0, TaskContext.get().partitionId()
+        for batch in batches:
+            here = before + np.cumsum(batch.column(names.index(value)).to_numpy(zero_copy_only=False), dtype=np.int64)
+            before = int(here[-1]) if len(here) else before
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(here), pa.array(np.full(len(here), part, np.int32))], [*names, "_here", "_part"])
+
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stage_table(dealt.mapInArrow(run, schema), "ranges")
+    sizes = placed.groupBy("_part").agg(F.max("_here").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.join(offsets, "_part").select(*names, (F.col("_before") + F.col("_here")).alias(name))
+
+
 def split_points(df: DataFrame, col: str, blocks: int) -> list[float]:
     """At most ``blocks`` rising values that cut ``col`` into like-sized parts.
 
@@ -124,6 +156,13 @@ def hash_unit(*cols: Column | str, seed: int = 0) -> Column:
     return F.pmod(h, F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53))
 
 
+def md5_unit(*cols: Column | str, seed: int = 0) -> Column:
+    """As ``hash_unit``, from the first 52 bits of the md5 of ``seed:col:col...``:
+    slower, but any SQL engine draws the same number."""
+    text = F.concat_ws(":", F.lit(seed).cast("string"), *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
+
+
 def join_per_key(df: DataFrame, per_key: DataFrame, keys: list[str], salt: Column, salts: int = 32) -> DataFrame:
     """Inner join with a table of one row per key, such as totals per sequence.
 

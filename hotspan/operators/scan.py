@@ -209,11 +209,13 @@ def scan_pairs(
 
 
 def scan_summary(candidates: DataFrame) -> DataFrame:
-    """Per sequence: intervals above the positive threshold, and the rest."""
-    return candidates.groupBy("chrom").agg(
-        F.count_if(F.col("LLR_raw") > POSITIVE).alias("n_pos"),
-        F.count_if(~(F.col("LLR_raw") > POSITIVE)).alias("n_zero"),
-    )
+    """Per sequence: intervals above the positive threshold, and the rest.
+
+    The rest is complete only for candidates made with ``keep_all``; a score
+    that is missing, for want of an excess, is not above.
+    """
+    above = F.coalesce(F.col("LLR_raw") > POSITIVE, F.lit(False))
+    return candidates.groupBy("chrom").agg(F.count_if(above).alias("n_pos"), F.count_if(~above).alias("n_zero"))
 
 
 def selection_summary(candidates: DataFrame, selected: DataFrame) -> DataFrame:

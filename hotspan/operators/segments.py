@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hotspan.functions.names import chrom_sort_key
-from hotspan.operators.ordered import hash_unit, join_per_key, row_index, running
+from hotspan.operators.ordered import join_per_key, md5_unit, row_index, running
+from hotspan.session import stage_table
 
 INDEX_BLOCK = 1 << 16
 
@@ -154,7 +153,7 @@ def split_train_val(
 
     ``order`` replaces the shuffled order by a number in [0, 1).
     """
-    key = hash_unit("seg_id", seed=seed) if order is None else order
+    key = md5_unit("seg_id", seed=seed) if order is None else order
     counts = segments.groupBy("chrom").agg(F.count(F.lit(1)).alias("_n"))
     ranked = _by_hash_order(segments, ["chrom"], key, ["seg_id"])
     return join_per_key(ranked, counts, ["chrom"], F.xxhash64("seg_id")).select(
@@ -166,7 +165,7 @@ def split_train_val(
 def split_by_bin(bins: DataFrame, frac: float = 0.9, block: int = 100, seed: int = 42) -> DataFrame:
     """Split whole runs of ``block`` bins, so that overlapping segments do not
     carry the same bin into both parts."""
-    unit = hash_unit("chrom", F.floor(F.col("w_idx") / block), seed=seed)
+    unit = md5_unit("chrom", F.floor(F.col("w_idx") / block), seed=seed)
     return bins.withColumn("split", F.when(unit < frac, "train").otherwise("val"))
 
 
@@ -201,43 +200,50 @@ def sampler_weights(
     )
 
 
+#: Chances are whole numbers of this many parts, so that their sums are exact in any order.
+PARTS = 1 << 52
+#: Segments and draws of one block, about.
+DRAWS_PER_BLOCK = 100_000
+
+
 def residual_sampler(
     segments: DataFrame,
     tau: float,
     alpha: float = 0.7,
     beta: float = 1.0,
     seed: int = 42,
-    blocks: int = 256,
     n_draws: int | None = None,
+    per_block: int = DRAWS_PER_BLOCK,
 ) -> DataFrame:
     """Draw segments with replacement by ``sampler_weights``; as many draws as
     segments. Adds ``n_drawn`` and keeps the segments drawn at least once.
 
-    The draws are first shared out over ``blocks`` hash blocks (a multinomial
-    over that many numbers), then drawn inside each block.
+    By inverse cumulative weight: segments in a shuffled order cover the line
+    from 0 to the total, each with a piece as long as its chance; draw i falls
+    on a place made from seed and i and takes the segment there. Pieces and
+    draws are merged in blocks of the line, so that neither side is held by
+    one task. Segments and ``seg_id`` one to one; a chance below 2^-52 is none.
     """
-    weighted = sampler_weights(segments, tau, alpha, beta).withColumn(
-        "_blk", F.pmod(F.xxhash64("seg_id"), F.lit(blocks)).cast("int")
-    )
-    shares = weighted.groupBy("_blk").agg(F.sum("p").alias("p"), F.count(F.lit(1)).alias("n")).collect()
-    shares = sorted(shares, key=lambda r: r["_blk"])
-    total = n_draws if n_draws is not None else sum(r["n"] for r in shares)
-    if not shares:
-        return segments.withColumn("n_drawn", F.lit(0).cast("bigint"))
-    chance = np.array([r["p"] for r in shares])
-    drawn = np.random.default_rng(seed).multinomial(total, chance / chance.sum())
-    quota = {int(r["_blk"]): int(k) for r, k in zip(shares, drawn)}
-    names = segments.columns
-
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        blk = int(pdf["_blk"].iloc[0])
-        pdf = pdf.sort_values("seg_id", ignore_index=True)
-        p = pdf["p"].to_numpy()
-        counts = np.random.default_rng([seed, blk]).multinomial(quota[blk], p / p.sum())
-        return pdf.assign(n_drawn=counts)[[*names, "n_drawn"]].loc[counts > 0]
-
-    schema = segments.limit(0).withColumn("n_drawn", F.lit(0).cast("bigint")).schema
-    return weighted.groupBy("_blk").applyInPandas(draw, schema)
+    weighted = sampler_weights(segments, tau, alpha, beta).select(
+        "seg_id", F.floor(F.col("p") * float(PARTS)).cast("bigint").alias("_w"), md5_unit("seg_id", seed=seed).alias("_u"))
+    weighted = stage_table(weighted.where(F.col("_w") > 0), "chances")
+    row = weighted.agg(F.coalesce(F.sum("_w"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("n")).first()
+    n = segments.count() if n_draws is None else n_draws
+    if not row["n"]:
+        return segments.withColumn("n_drawn", F.lit(0).cast("bigint")).limit(0)
+    blocks = max(1, -(-(row["n"] + n) // per_block))
+    shuffled = weighted.withColumn("_blk", F.floor(F.col("_u") * blocks).cast("int"))
+    placed = running(shuffled, [], "_blk", ["_u", "seg_id"], {"_upto": ("sum", F.col("_w"))})
+    pieces = placed.select((F.col("_upto") - F.col("_w")).alias("_at"), F.lit(0).alias("_kind"), "seg_id")
+    total = F.lit(float(row["total"]))
+    draws = weighted.sparkSession.range(n).select(
+        F.floor(md5_unit(F.lit("draw"), "id", seed=seed) * total).cast("bigint").alias("_at"), F.lit(1).alias("_kind"),
+        F.lit(None).cast(segments.schema["seg_id"].dataType).alias("seg_id"))
+    line = pieces.unionByName(draws).withColumn("_blk", F.floor(F.col("_at") / total * blocks).cast("int"))
+    start = F.when(F.col("_kind") == 0, F.struct(F.col("_at"), F.col("seg_id")))
+    found = running(line, [], "_blk", ["_at", "_kind"], {"_last": ("max", start)}).where(F.col("_kind") == 1)
+    counts = found.groupBy(F.col("_last.seg_id").alias("seg_id")).agg(F.count(F.lit(1)).alias("n_drawn"))
+    return segments.join(counts, "seg_id").select(*segments.columns, "n_drawn")
 
 
 def cutmix_pairs(
@@ -254,7 +260,7 @@ def cutmix_pairs(
     the shorter one, the same run in all ``arrays``. New rows are returned;
     the input is not changed.
     """
-    ranked = _by_hash_order(packed, [], hash_unit("seg_id", seed=seed), ["seg_id"])
+    ranked = _by_hash_order(packed, [], md5_unit("seg_id", seed=seed), ["seg_id"])
     batched = ranked.withColumns({
         "_batch": F.floor(F.col("_rn") / batch_size),
         "_place": F.col("_rn") % batch_size,
@@ -268,13 +274,13 @@ def cutmix_pairs(
     mixed = batched.withColumn("_other", other)
     shorter = F.least(lengths, F.size(F.col(f"_other.{arrays[0]}")))
     mixed = (
-        mixed.withColumn("_mix", F.col("_other").isNotNull() & (hash_unit("_batch", seed=seed + 1) < probability))
+        mixed.withColumn("_mix", F.col("_other").isNotNull() & (md5_unit("_batch", seed=seed + 1) < probability))
         .withColumn("_len", shorter)
         .withColumn(
             "_cut",
-            1 + F.floor(hash_unit("_batch", seed=seed + 2) * F.greatest(F.floor(F.col("_len") / 2), F.lit(1))),
+            1 + F.floor(md5_unit("_batch", seed=seed + 2) * F.greatest(F.floor(F.col("_len") / 2), F.lit(1))),
         )
-        .withColumn("_at", F.floor(hash_unit("_batch", seed=seed + 3) * (F.col("_len") - F.col("_cut") + 1)))
+        .withColumn("_at", F.floor(md5_unit("_batch", seed=seed + 3) * (F.col("_len") - F.col("_cut") + 1)))
     )
     at, size = F.col("_at").cast("int"), F.col("_cut").cast("int")
 

@@ -223,7 +223,11 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return sg.split_train_val(ids, order=_md5_unit(F.col("seg_id").cast("string")))
 
 
-@query("N14_split_by_bin")
+@query(
+    "N14_split_by_bin",
+    cte("grid") + f"""SELECT chrom, start, "end", start // 3600 AS w_idx,
+  CASE WHEN {md5_unit_sql("'42:' || chrom || ':' || (start // 86400)")} < CAST(0.9 AS DOUBLE) THEN 'train' ELSE 'val' END AS split FROM grid""",
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return sg.split_by_bin(indexed_grid(spark, sf), block=24)
 
@@ -244,16 +248,50 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return sg.sampler_weights(_residuals(spark, sf), tau=0.5).select("seg_id", F.round("p", 9).alias("p"))
 
 
-@query("N15_residual_sampler")
+_DRAWN_SQL = cte("seg") + f""", r AS (SELECT seg_id, avg(y - lam * kb) AS res, sum(kb) AS len_kb FROM seg GROUP BY 1),
+w AS (SELECT *, exp(-abs(res) / (CAST(0.5 AS DOUBLE) + 1e-8)) * pow(greatest(len_kb, 1e-8), CAST(0.7 AS DOUBLE)) AS w FROM r),
+p AS (SELECT seg_id, CAST(floor(w / (SELECT sum(w) FROM w) * 4503599627370496) AS BIGINT) AS w, {md5_unit_sql("'42:' || seg_id")} AS u FROM w),
+c AS (SELECT *, sum(w) OVER (ORDER BY u, seg_id ROWS UNBOUNDED PRECEDING) - w AS low FROM p WHERE w > 0),
+d AS (SELECT floor({md5_unit_sql("'42:draw:' || i")} * (SELECT CAST(sum(w) AS DOUBLE) FROM c)) AS at
+  FROM range(0, (SELECT count(*) FROM r)) t(i)),
+n AS (SELECT seg_id, count(*) AS n_drawn FROM c JOIN d ON d.at >= c.low AND d.at < c.low + c.w GROUP BY 1)
+"""
+
+
+@query("N15_residual_sampler", _DRAWN_SQL + "SELECT seg_id, round(res, 6) AS residual, round(len_kb, 6) AS len_kb, n_drawn FROM r JOIN n USING (seg_id)")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return sg.residual_sampler(_residuals(spark, sf), tau=0.5)
+    drawn = sg.residual_sampler(_residuals(spark, sf), tau=0.5, per_block=40)
+    return drawn.withColumns({c: F.round(c, 6) for c in ("residual", "len_kb")})
+
+
+_CUT = "CAST(floor({unit} * {n}) AS BIGINT)"
+_CUTMIX_SQL = _ALL + f""", cm_k AS (SELECT seg_id, chrom, count(*) AS n_bins, list(start ORDER BY off) AS s, list("end" ORDER BY off) AS e FROM segs GROUP BY 1, 2),
+cm_o AS (SELECT *, row_number() OVER (ORDER BY {md5_unit_sql("'42:' || seg_id")}, seg_id) - 1 AS rn FROM cm_k),
+cm_b AS (SELECT *, rn // 16 AS batch, rn % 16 AS place FROM cm_o),
+cm_w AS (SELECT *, CASE place WHEN 0 THEN lead(s) OVER v WHEN 1 THEN lag(s) OVER v END AS s2,
+  CASE place WHEN 0 THEN lead(e) OVER v WHEN 1 THEN lag(e) OVER v END AS e2 FROM cm_b WINDOW v AS (PARTITION BY batch ORDER BY place)),
+cm_l AS (SELECT *, s2 IS NOT NULL AND {md5_unit_sql("'43:' || batch")} < CAST(0.5 AS DOUBLE) AS mixed, least(len(s), len(s2)) AS short FROM cm_w),
+cm_c AS (SELECT *, 1 + {_CUT.format(unit=md5_unit_sql("'44:' || batch"), n="greatest(short // 2, 1)")} AS cut FROM cm_l),
+cm_a AS (SELECT *, {_CUT.format(unit=md5_unit_sql("'45:' || batch"), n="(short - cut + 1)")} AS lo FROM cm_c)
+"""
+
+
+def _swapped_sql(own: str, other: str) -> str:
+    cut = lambda of, low, high: f"list_slice({of}, {low}, {high})"
+    head, tail = cut(own, "1", "lo"), cut(own, "lo + cut + 1", f"len({own})")
+    run = f"list_concat(list_concat({head}, {cut(other, 'lo + 1', 'lo + cut')}), {tail})"
+    return f"array_to_string(CASE WHEN mixed THEN {run} ELSE {own} END, ',')"
 
 
-@query("N16_cutmix_pairs")
+@query(
+    "N16_cutmix_pairs",
+    _CUTMIX_SQL + f"""SELECT seg_id, chrom, CAST(n_bins AS INTEGER) AS n_bins, {_swapped_sql('s', 's2')} AS start, {_swapped_sql('e', 'e2')} AS "end", mixed FROM cm_a""",
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     packed = sg.pack_segments(_segments(spark, sf), {"start": zero, "end": zero})
-    return sg.cutmix_pairs(packed, ["start", "end"], probability=0.5)
+    mixed = sg.cutmix_pairs(packed, ["start", "end"], probability=0.5)
+    return mixed.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("start", "end")})
 
 
 @query(

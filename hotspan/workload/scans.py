@@ -103,10 +103,10 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     cte("psum") + """, p AS (SELECT a.chrom, b.co - a.co + a.obs AS y, b.cm - a.cm + a.lam * a.kb AS e
   FROM psum a JOIN psum b ON a.chrom = b.chrom AND a.start <= b.start AND b."end" - a.start <= 86400),
 l AS (SELECT chrom, CASE WHEN y > e THEN y * ln((y + 1) / (e + 1)) + (1 - (y + 1) / (e + 1)) * e END AS llr FROM p)
-SELECT chrom, count(*) FILTER (llr > 1e-6) AS n_pos FROM l GROUP BY 1""",
+SELECT chrom, count(*) FILTER (llr > 1e-6) AS n_pos, count(*) - count(*) FILTER (llr > 1e-6) AS n_zero FROM l GROUP BY 1""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return scan_summary(scan_pairs(bins(spark, sf), DAY)).select("chrom", "n_pos")
+    return scan_summary(scan_pairs(bins(spark, sf), DAY, keep_all=True)).select("chrom", "n_pos", "n_zero")
 
 
 @query(
@@ -342,3 +342,17 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return fd.qq_table(p_values(spark, sf)).select(
         "rank", F.round("expected", 6).alias("expected"), F.round("observed", 6).alias("observed")
     )
+
+
+@query(
+    "N17_qq_table_thinned",
+    _P_SQL + """, r AS (SELECT row_number() OVER (ORDER BY p) AS rank, count(*) OVER () AS m, p FROM pv),
+kept AS (SELECT DISTINCT CAST(ceil(pow(CAST(10 AS DOUBLE), i / CAST(20 AS DOUBLE)) - 1e-9) AS BIGINT) AS rank FROM range(0, 200) t(i))
+SELECT rank, round(-log10((rank - CAST(0.5 AS DOUBLE)) / m), 6) AS expected, round(-log10(greatest(p, 1e-300)), 6) AS observed
+FROM r WHERE rank = m OR rank IN (SELECT rank FROM kept)""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Twenty points a decade, as many as a plot can show."""
+    return fd.qq_table(p_values(spark, sf), per_decade=20).select(
+        "rank", F.round("expected", 6).alias("expected"), F.round("observed", 6).alias("observed")
+    )

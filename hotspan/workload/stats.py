@@ -37,6 +37,12 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return an.points_in_intervals(points(spark, sf), spans(spark, sf), tile_bp=86_401)
 
 
+@query("J6_points_in_intervals_asof", _PAIRS_SQL + " SELECT * FROM pt")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for intervals that do not overlap, by one ordered stream."""
+    return an.points_in_disjoint_intervals(points(spark, sf), spans(spark, sf))
+
+
 @query(
     "J7_bins_in_intervals",
     cte("grid", "iv") + 'SELECT g.chrom, g.start, g."end", start_bp, end_bp FROM grid g JOIN iv '
@@ -48,11 +54,19 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return an.bins_in_intervals(grid(spark, sf), spans(spark, sf), tile_bp=50_000)
 
 
-@query(
-    "A15_interval_obs_exp",
+_OBS_EXP_SQL = (
     cte("rated", "iv") + 'SELECT iv.chrom, start_bp, end_bp, sum(obs) AS obs_sum, round(sum(lam * kb), 6) AS exp_sum '
-    'FROM rated g JOIN iv ON iv.chrom = g.chrom AND g.start >= start_bp AND g."end" <= end_bp GROUP BY ALL',
+    'FROM rated g JOIN iv ON iv.chrom = g.chrom AND g.start >= start_bp AND g."end" <= end_bp GROUP BY ALL'
 )
+
+
+@query("A15_interval_sums", _OBS_EXP_SQL)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The same totals by differences of running sums."""
+    return an.interval_sums(rated(spark, sf), spans(spark, sf), 7 * 86_400).withColumn("exp_sum", F.round("exp_sum", 6))
+
+
+@query("A15_interval_obs_exp", _OBS_EXP_SQL)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return an.interval_obs_exp(rated(spark, sf), spans(spark, sf)).withColumn("exp_sum", F.round("exp_sum", 6))
 

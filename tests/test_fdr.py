@@ -104,10 +104,22 @@ def test_more_crowded_values_than_any_list(spark):
     assert got.q.to_numpy() == pytest.approx(plain_q(p))
 
 
-@pytest.mark.parametrize("rows", [20, 10**6])
-def test_qq(spark, rows):
+@pytest.mark.parametrize("rows", [7, 1 << 20])
+def test_qq(spark, rows, monkeypatch):
+    monkeypatch.setattr(fd, "RANKS_PER_ROW", rows)
     p = values(5)
-    got = fd.qq_table(frame(spark, p), rows_per_block=rows).toPandas().sort_values("rank")
+    got = fd.qq_table(frame(spark, p)).toPandas().sort_values("rank")
     assert list(got["rank"]) == list(range(1, len(p) + 1))
     assert got.observed.to_numpy() == pytest.approx(-np.log10(np.clip(np.sort(p), 1e-300, 1)))
     assert got.expected.iloc[0] == pytest.approx(-math.log10(0.5 / len(p)))
+    thin = fd.qq_table(frame(spark, p), per_decade=7).toPandas().sort_values("rank")
+    wanted = {math.ceil(10 ** (k / 7) - 1e-9) for k in range(80)} | {len(p)}
+    assert list(thin["rank"]) == [r for r in got["rank"] if r in wanted]
+    assert thin.merge(got, on=["rank", "expected", "observed"]).shape == thin.shape
+
+
+def test_qq_shuffles_and_empty_tables(spark):
+    plan = fd.qq_table(frame(spark, values(5)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 3
+    assert fd.qq_table(frame(spark, np.array([0.5])).limit(0)).count() == 0
+    assert fd.qq_table(frame(spark, np.array([0.5])).limit(0), per_decade=5).count() == 0

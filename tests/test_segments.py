@@ -68,11 +68,16 @@ def test_sampler(spark):
     assert weights.p.sum() == pytest.approx(1.0)
     raw = np.exp(-weights.residual / (1 + 1e-8))
     assert weights.p.to_numpy() == pytest.approx((raw / raw.sum()).to_numpy())
-    drawn = sg.residual_sampler(segs, tau=1.0, blocks=8, n_draws=20_000).toPandas()
+    drawn = sg.residual_sampler(segs, tau=1.0, n_draws=20_000, per_block=700).toPandas()
     assert drawn.n_drawn.sum() == 20_000
     share = drawn.groupby("residual").n_drawn.sum() / 20_000
     want = weights.groupby("residual").p.sum()
     assert share.to_numpy() == pytest.approx(want.to_numpy(), abs=0.02)
+    again = sg.residual_sampler(segs.repartition(7), tau=1.0, n_draws=20_000, per_block=10**6).toPandas()
+    assert dict(zip(again.seg_id, again.n_drawn)) == dict(zip(drawn.seg_id, drawn.n_drawn))
+    heavy = segs.withColumn("residual", F.when(F.col("seg_id") == 5, 0.0).otherwise(60.0))
+    assert [tuple(r) for r in sg.residual_sampler(heavy, tau=1.0).select("seg_id", "n_drawn").collect()] == [(5, 400)]
+    assert sg.residual_sampler(segs.limit(0), tau=1.0).count() == 0
     broken = segs.withColumn("residual", F.when(F.col("seg_id") == 3, float("nan")).otherwise(F.col("residual")))
     assert set(sg.sampler_weights(broken, 1.0).toPandas().p) == {1 / 400}
 

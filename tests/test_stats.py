@@ -180,3 +180,62 @@ def test_running_equals_one_window(spark, reverse, inclusive):
         shift = 0 if inclusive else 1
         for name, want in (("s", part.v.cumsum()), ("hi", part.v.cummax()), ("lo", part.v.cummin())):
             assert part[name].to_numpy() == pytest.approx(want.shift(shift).to_numpy(), nan_ok=True)
+
+
+def disjoint(rng, n, longest):
+    """Intervals of two sequences that do not overlap; some long, some of one position."""
+    rows = []
+    for chrom in ("a", "b"):
+        at = int(rng.integers(0, 50))
+        for _ in range(n):
+            end = at + int(rng.integers(0, longest)) * int(rng.integers(0, 2))
+            rows.append((chrom, at, end))
+            at = end + 1 + int(rng.integers(0, 30)) * int(rng.integers(0, 2))
+    return pd.DataFrame(rows, columns=["chrom", "start_bp", "end_bp"])
+
+
+@pytest.mark.parametrize("longest,parts", [(5, 3), (400, 40)])
+def test_asof_equals_the_containment_join(spark, longest, parts):
+    rng = np.random.default_rng(longest)
+    intervals = disjoint(rng, 60, longest)
+    top = int(intervals.end_bp.max()) + 60
+    points = pd.DataFrame({
+        "chrom": rng.choice(["a", "b", "c"], 800), "pos": rng.integers(-20, top, 800), "_row": rng.integers(0, 3, 800), "start_bp_x": 1.5})
+    points.loc[:300, ["chrom", "pos"]] = ["a", int(intervals.start_bp[30])]  # a crowded position
+    frame = spark.createDataFrame(points).union(spark.sql("SELECT null, 5L, 1L, 0.5 UNION ALL SELECT 'a', null, 1L, 0.5"))
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = an.points_in_disjoint_intervals(frame, spark.createDataFrame(intervals)).toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    both = points.merge(intervals, on="chrom")
+    want = both[(both.start_bp <= both.pos) & (both.pos <= both.end_bp)]
+    cols = list(want.columns)
+    assert sorted(map(tuple, got[cols].to_numpy().tolist())) == sorted(map(tuple, want.to_numpy().tolist())) and len(want) > 200
+
+
+def test_asof_without_rows(spark):
+    points = spark.createDataFrame([("a", 3)], "chrom string, pos bigint")
+    intervals = spark.createDataFrame([("a", 1, 5), ("a", 1, 5)], "chrom string, start_bp bigint, end_bp bigint")
+    assert [tuple(r) for r in an.points_in_disjoint_intervals(points, intervals).collect()] == [("a", 3, 1, 5)]
+    assert an.points_in_disjoint_intervals(points.limit(0), intervals).count() == 0
+    assert an.points_in_disjoint_intervals(points, intervals.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [7, 1000, 10**7])
+def test_sums_by_differences(spark, block):
+    rng = np.random.default_rng(block % 11)
+    starts = np.cumsum(rng.integers(10, 16, 200))
+    bins = pd.DataFrame({"chrom": np.repeat(["a", "b"], 100), "start": starts, "end": starts + 9,
+                         "obs": rng.integers(0, 5, 200).astype(float), "lam": rng.random(200), "kb": 0.01})
+    bins.loc[50, ["end"]] = bins.start[51] - 1
+    low = rng.integers(0, int(starts[-1]), 150)
+    intervals = pd.DataFrame({"chrom": rng.choice(["a", "b", "c"], 150), "start_bp": low, "end_bp": low + rng.integers(0, 900, 150)})
+    inner = [("a", int(bins.start[4]) + 2, int(bins.start[4]) + 5)]  # inside one bin: holds none
+    frame = spark.createDataFrame(pd.concat([intervals, intervals[:20], pd.DataFrame(inner, columns=intervals.columns)]))
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in an.interval_sums(spark.createDataFrame(bins), frame, block).collect()}
+    want = {tuple(r)[:3]: tuple(r)[3:] for r in an.interval_obs_exp(spark.createDataFrame(bins), frame, 50).collect()}
+    assert got.keys() == want.keys() and inner[0] not in got and len(got) > 50
+    assert all(got[k] == pytest.approx(want[k], abs=1e-7) for k in want)
