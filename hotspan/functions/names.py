@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 # The canonical sequences, in their id order.
 CANONICAL = [f"chr{n}" for n in range(1, 23)] + ["chrX", "chrY"]
 
-_SHORT_NAME = r"(?i)^(?:chr)?([0-9]+|x|y|mt?)$"
+# Fixed value: what counts as a short name.
+_SHORT_NAME = r"(?i)^(?:chr)?([0-9]+|x|y|m|mt)$"
 
 
 def _strip(col: Column) -> Column:

@@ -16,7 +16,7 @@ TYPE_NAMES = (
 )
 SAMPLE_NAMES = ("sample", "sample_id", "donor", "donor_id", "tumor", "tumour")
 GUESS_SAMPLE_NAMES = (*SAMPLE_NAMES, "tumor_id", "vcf", "file", "tumor_sample")
-SAMPLE_PATTERN = r"(?i)(purple|\.vcf|cpct|wide|obc)"
+SAMPLE_PATTERN = r"(?i)(purple|\.vcf|CPCT|WIDE|OBC)"
 MIN_HIT_RATE = 0.2
 
 
@@ -65,6 +65,11 @@ def _text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
+def _hit_rate(name: str) -> Column:
+    """Share of the rows with a sample-like value; a null is none."""
+    return F.avg(F.coalesce(quoted(name).rlike(SAMPLE_PATTERN), F.lit(False)).cast("double"))
+
+
 def profile_text_columns(df: DataFrame, approx: bool = False) -> DataFrame:
     """One row per text column: share of sample-like values, distinct values.
 
@@ -76,8 +81,7 @@ def profile_text_columns(df: DataFrame, approx: bool = False) -> DataFrame:
     wide = df.agg(*[
         F.struct(
             F.lit(c).alias("column"),
-            F.coalesce(F.avg(F.coalesce(quoted(c).rlike(SAMPLE_PATTERN), F.lit(False)).cast("double")),
-                       F.lit(0.0)).alias("hit_rate"),
+            F.coalesce(_hit_rate(c), F.lit(0.0)).alias("hit_rate"),
             distinct(quoted(c)).alias("n_distinct"),
         ).alias(f"c{i}")
         for i, c in enumerate(cols)
@@ -97,10 +101,7 @@ def guess_sample_column(df: DataFrame, approx: bool = True) -> str:
     cols = _text_columns(df)
     if not cols:
         raise KeyError("no sample-like column")
-    rates = df.agg(*[
-        F.avg(F.coalesce(quoted(c).rlike(SAMPLE_PATTERN), F.lit(False)).cast("double")).alias(f"c{i}")
-        for i, c in enumerate(cols)
-    ]).first()
+    rates = df.agg(*[_hit_rate(c).alias(f"c{i}") for i, c in enumerate(cols)]).first()
     hits = [(rates[f"c{i}"] or 0.0, c) for i, c in enumerate(cols)]
     hits = [pair for pair in hits if pair[0] > MIN_HIT_RATE]
     if hits:

@@ -43,7 +43,8 @@ def as_points(
     """Points (chrom, pos, sample, and event_type if typed) of a raw table.
 
     Without ``typed`` the sample column is guessed and only canonical
-    sequences stay, unless ``canonical`` says otherwise.
+    sequences stay, unless ``canonical`` says otherwise. Positions of all rows
+    are parsed, also of those that the filter drops: a malformed one fails.
     """
     if not typed and sample is None:
         sample = guess_sample_column(raw)
@@ -52,12 +53,12 @@ def as_points(
     def text(name: str) -> Column:
         return F.coalesce(F.col(name).cast("string"), F.lit("nan"))
 
+    pos = point_position(to_int_strict("start"), to_int_strict("end"), use_midpoint)
     if require_pass:
-        found = found.where(pass_filter("filter"))
-    cols = [
-        norm_chrom("chrom").alias("chrom"),
-        point_position(to_int_strict("start"), to_int_strict("end"), use_midpoint).alias("pos"),
-    ]
+        # the verdict needs the position, so that no row is dropped before it is parsed
+        parsed = F.least(to_int_strict("start"), to_int_strict("end")) >= -(1 << 63)
+        found = found.where(F.when(parsed, pass_filter("filter")))
+    cols = [norm_chrom("chrom").alias("chrom"), pos.alias("pos")]
     if typed:
         cols.append(norm_event_type(text("event_type"), aliases).alias("event_type"))
     out = found.select(*cols, text("sample").alias("sample"))

@@ -74,15 +74,33 @@ SELECT chrom, lab.start, lab."end", y, round(greatest(lam, 1e-9), 5) AS lam FROM
 @query("G4_fit_rate_hours", _HOURS_SQL)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """With one column an hour of the day and no penalty, the rate is that hour's mean."""
-    bins = _feature_bins(spark, sf)
-    hour = F.col("w_idx") % 24
-    hours = bins.withColumn("features", F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: (i == hour).cast("double")))
     # every pass of the fit reads it again
-    hours = stage_table(hours, "hours")
+    hours = stage_table(_hour_of_day(_feature_bins(spark, sf)), "hours")
     rated_hours = add_rate(fit_rate(hours, reg=0.0, solver="lbfgs"), hours)
     return rated_hours.select("chrom", "start", "end", "y", F.round("lam", 5).alias("lam"))
 
 
+def _hour_of_day(rows: DataFrame) -> DataFrame:
+    hour = F.floor(F.col("start") / HOUR) % 24
+    return rows.withColumn("features", F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: (i == hour).cast("double")))
+
+
+@query(
+    "G5_predict_rate_fitted",
+    cte("seg") + """, g AS (SELECT start // 3600 % 24 AS hour, sum(y) / sum(kb) AS fitted FROM seg GROUP BY 1),
+f AS (SELECT seg.*, greatest(fitted, 1e-9) AS fit FROM seg JOIN g ON g.hour = seg.start // 3600 % 24)
+SELECT seg_id, chrom, start, "end", round(sum(fit * kb) OVER w / sum(kb) OVER w, 5) AS lam_pred,
+  y AS obs_count, round(y * ln(fit) - fit * kb, 5) AS bin_loglike FROM f
+  WINDOW w AS (PARTITION BY seg_id ORDER BY off ROWS 1 PRECEDING)""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """A model fitted on the bins and applied to their segments, rolled over two bins."""
+    bins = stage_table(_hour_of_day(rated(spark, sf).withColumnRenamed("obs", "y")), "hours")
+    model = fit_rate(bins, reg=0.0, solver="lbfgs")
+    out = predict_rate(add_rate(model, _hour_of_day(segment_rows(spark, sf).drop("lam"))), roll_width=2)
+    return out.withColumns({c: F.round(c, 5) for c in ("lam_pred", "bin_loglike")})
+
+
 @query("G4_fit_rate")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     bins = _feature_bins(spark, sf)
@@ -280,3 +298,22 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         "--max-bp", str(DAY), "--sample-frac", "0.05",
     ])
     return spark.read.parquet(f"{base}/out/final_result")
+
+
+@query("E4_job_train")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The command line from bins, vectors and events to predictions, with its defaults; reads back what it wrote."""
+    from hotspan.plans.job import run
+
+    base = stage_path(spark, "job")
+    bins = _feature_bins(spark, sf)
+    cls = F.slice("features", 1, 4).cast("array<float>").alias("cls")
+    feat = F.slice("features", 5, F.size("features")).cast("array<float>").alias("feat")
+    write_stage(bins.select("chrom", "w_idx", "start", "end", cls, F.lit(0.0).alias("y")), f"{base}/bins")
+    write_stage(bins.select("chrom", "w_idx", feat), f"{base}/features")
+    typed_events(spark, sf).drop("event_id", "value").withColumnRenamed("pos", "start").write.csv(f"{base}/events", header=True)
+    run(spark, [
+        "train", "--bins", f"{base}/bins", "--features", f"{base}/features", "--events", f"{base}/events",
+        "--out", f"{base}/out", "--no-score",
+    ])
+    return spark.read.parquet(f"{base}/out/predictions")

@@ -88,3 +88,16 @@ def test_quality(spark):
     assert [r.i for r in first_nonfinite(df, "x", ["i"], 3).collect()] == [1, 2, 3]
     names = spark.createDataFrame([("chr1",), ("chrM",), (None,)], "chrom string")
     assert tuple(canonical_report(names).first()) == (1, 2)
+
+
+@pytest.mark.parametrize("midpoint", [True, False])
+def test_dropped_rows_are_parsed_too(spark, tmp_path, midpoint):
+    path = tmp_path / "events.csv"
+    path.write_text("chrom,start,end,sample,filter\n1,10,20,a,PASS\n1,oops,20,b,LowQ\n")
+    with pytest.raises(Exception, match="not a number"):
+        readers.read_points(spark, str(path), use_midpoint=midpoint).collect()
+    path.write_text("chrom,start,end,sample,filter\n1,10,20,a,PASS\n1,10,oops,b,LowQ\n")
+    with pytest.raises(Exception, match="not a number"):
+        readers.read_points(spark, str(path), use_midpoint=midpoint).collect()
+    path.write_text("chrom,start,end,sample,filter\n1,10,20,a,PASS\n1,1e3,20,b,LowQ\n")
+    assert [tuple(r) for r in readers.read_points(spark, str(path), use_midpoint=midpoint).collect()] == [("chr1", 15 if midpoint else 10, "a")]
