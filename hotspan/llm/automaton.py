@@ -28,12 +28,12 @@ class _Net:
 
 
 class _Rule:
-    """Reads one rule; ``build`` adds it to a net behind a given node."""
+    """Reads one rule; ``build`` adds it to a net behind a given node, read from its end if ``backward``."""
 
     TOKEN = re.compile(r"\\x([0-9A-Fa-f]{2})|\\(.)|\[((?:\\.|[^\]\\])+)\]|(\{\d+(?:,\d*)?\})|([()|?*+])|(.)", re.S)
 
-    def __init__(self, text: str, ignore_case: bool) -> None:
-        self.tokens = list(self.TOKEN.finditer(text))
+    def __init__(self, text: str, ignore_case: bool, backward: bool = False) -> None:
+        self.tokens, self.backward = list(self.TOKEN.finditer(text)), backward
         self.at, self.ignore_case = 0, ignore_case
         self.tree = self._choice()
 
@@ -95,7 +95,7 @@ class _Rule:
             net.moves[start].append((tree[1], end))
             return end
         if tree[0] == "then":
-            for part in tree[1]:
+            for part in reversed(tree[1]) if self.backward else tree[1]:
                 start = self.build(net, start, part)
             return start
         end = net.node()
@@ -146,6 +146,15 @@ class Automaton:
                 end = i + 1
         return end
 
+    def marks(self, data: bytes) -> list[int]:
+        """The masks of accepted rules after each byte, reading from the end; one step a byte."""
+        rows, accepts, state = self.rows, self.accepting, 0
+        out = [0] * len(data)
+        for i in range(len(data) - 1, -1, -1):
+            state = rows[state][data[i]]
+            out[i] = accepts[state]
+        return out
+
     @cached_property
     def rows(self) -> list[list[int]]:
         return self.table[:, self.group].tolist()
@@ -170,10 +179,12 @@ class Automaton:
         return steps
 
 
-def compile_rules(rules: list[tuple[str, bool]], anchored: bool = False) -> Automaton:
+def compile_rules(rules: list[tuple[str, bool]], anchored: bool = False, backward: bool = False) -> Automaton:
     """One minimal automaton for all ``(expression, ignore case)`` rules.
 
-    Without ``anchored`` it accepts wherever a match of a rule ends.
+    Without ``anchored`` it accepts wherever a match of a rule ends. A
+    ``backward`` one reads its input from the end, so it accepts wherever a
+    match begins.
     """
     net = _Net()
     start = net.node()
@@ -181,7 +192,7 @@ def compile_rules(rules: list[tuple[str, bool]], anchored: bool = False) -> Auto
     for bit, (text, ignore_case) in enumerate(rules):
         first = net.node()
         net.free[start].append(first)
-        accepting[_Rule(text, ignore_case).build(net, first)] = 1 << bit
+        accepting[_Rule(text, ignore_case, backward).build(net, first)] = 1 << bit
 
     signature = [tuple(b in s for moves in net.moves for s, _ in moves) for b in range(256)]
     kinds = {k: i for i, k in enumerate(dict.fromkeys(signature))}

@@ -1,10 +1,12 @@
 import random
 import re
+import time
 
+import pyarrow as pa
 import pytest
 
 from hotspan.llm.automaton import compile_rules
-from hotspan.llm.secrets import BASE, MORE, redact_secrets, scan_secrets
+from hotspan.llm.secrets import BASE, MORE, Scanner, redact_secrets, scan_secrets, spans_of
 
 RULES = {
     "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 8),
@@ -51,3 +53,25 @@ def test_redaction_keeps_rows_and_columns(spark, docs, none):
     assert rows[1]["text"] == "é [secret]\" end" and rows[1]["n_chars"] == len(rows[1]["text"])
     assert rows[2]["text"] is None and rows[2]["n_chars"] == 5
     assert redact_secrets(docs).count() == docs.count() and redact_secrets(none).count() == 0
+
+
+@pytest.mark.parametrize("unit", ["eyJ", "eyJa.", "AKIA", "password", "password=", "token: ", "token:", "-----BEGIN A ", "ghp_", "0123456789abcdef", "xoxb-"])
+def test_a_megabyte_of_one_thing_takes_seconds(unit):
+    text = (unit * (1 + 10**6 // len(unit)))[:10**6]
+    scanner = Scanner(BASE + MORE)
+    began = time.time()
+    (spans,) = spans_of(scanner, pa.array([text]))
+    assert time.time() - began < 5
+    base = {k: r.kind for k, r in enumerate(BASE)}
+    want = brute(text) if unit != "eyJ" else []
+    assert [(base[k], a, b) for k, a, b in spans if k in base] == want
+
+
+@pytest.mark.parametrize(("rule", "case"), [(r.match, r.ignore_case) for r in BASE + MORE])
+def test_beginnings_read_from_the_end(rule, case):
+    rnd = random.Random(7)
+    backward, forward = compile_rules([(rule, case)], backward=True), compile_rules([(rule, case)], anchored=True)
+    pieces = [p.encode() for p in PARTS] + [b"eyJa.b.c", b"-----BEGIN RSA PRIVATE KEY-----", b"xoxb-1234567890"]
+    for _ in range(200):
+        data = b"".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 8)))
+        assert [bool(m) for m in backward.marks(data)] == [forward.longest(data, i) >= 0 for i in range(len(data))]
