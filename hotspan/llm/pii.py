@@ -1,18 +1,24 @@
 """Personal data: patterns, made consistent by a skip-chain random field.
 
-Patterns find e-mail addresses, IP addresses, card and phone numbers. They
-and the other words with a digit or an ``@`` are the nodes of one field per
-document. Neighbours in the text are joined by chain potentials; nodes with
-the same content (digits without their separators, or letters without case)
-share a skip potential, however far apart. Loopy max-product message passing
-then gives a node that no pattern accepts, such as a phone number written
-without its plus sign, the label that its other mentions have.
-
-Both potentials are counted on all documents; patterns' own spans stay.
+Patterns find e-mail addresses, IP addresses, card and phone numbers. They,
+the other numbers, words with an ``@`` and addresses written in words are the
+nodes of one field per document. Neighbours in the text are joined by chain
+potentials. Nodes are joined by skip potentials, however far apart, where they
+have the same content (digits without their separators, or letters without
+case), the same last digits, or the same name before the ``@``. Of a longer
+run of numbers the part that ends in the digits of a known number is a node.
+Loopy max-product message passing then gives a node that no pattern accepts,
+such as a phone number written without its plus sign, the label that its other
+mentions have.
+
+All potentials are counted on all documents: a kind of skip edge weighs the
+logarithm of how much more often it joins patterns' spans of one kind than of
+two. Patterns' own spans stay. Nodes are found in time linear in the text.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,9 +38,20 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_WORD = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
-_NUMBER = re.compile(r"[0-9(][0-9().\x20-]*[0-9]")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_RUN = re.compile(r"[0-9().\x20-]+")
+_DIGITS = re.compile(r"[0-9]+")
+_AT = re.compile(r"(?i)(?<=[\x20\x09-\x0D])(?:at|\(at\)|\[at\])(?=[\x20\x09-\x0D])")
+_DOTS = frozenset({"dot", "(dot)", "[dot]"})
 _ANY = re.compile(r"[0-9@]")
+#: Kinds of skip edges.
+SAME, TAIL, NAME = range(3)
+#: Last digits that two mentions of one number share.
+TAIL_DIGITS = 7
+#: Digits that a mention may have before those of a known number: an international prefix.
+PREFIX_DIGITS = 4
+#: Words that an address written in words may have on each side.
+ADDRESS_WORDS = 9
 
 
 def luhn(digits: str) -> bool:
@@ -81,43 +98,123 @@ def content(text: str) -> str:
     return text.lower() if "@" in text or len(digits) < 9 else digits
 
 
+def tail(text: str) -> str:
+    """The last digits of a number that is long enough to be told by them, else nothing."""
+    digits = re.sub("[^0-9]", "", text)
+    return digits[-TAIL_DIGITS:] if "@" not in text and len(digits) >= TAIL_DIGITS else ""
+
+
+def numbers(text: str, low: int, high: int) -> Iterator[tuple[int, int]]:
+    """Runs of digits and the signs between them, from a digit or bracket to a digit."""
+    for m in _RUN.finditer(text, low, high):
+        run = m[0]
+        first = min((i for i in (run.find("("), next((d.start() for d in _DIGITS.finditer(run)), -1)) if i >= 0), default=-1)
+        last = len(run.rstrip("(). -"))
+        if 0 <= first < last - 1:
+            yield m.start() + first, m.start() + last
+
+
+def known_parts(text: str, start: int, end: int, ends: frozenset[str]) -> list[tuple[int, int]]:
+    """The parts of a run of numbers that end in the last digits of known numbers.
+
+    A part consists of whole groups of digits: the groups that hold the known
+    digits, and one before them if it is short, an international prefix.
+    """
+    groups = [(m.start(), m.end()) for m in _DIGITS.finditer(text, start, end)]
+    out, free, size, first = [], 0, 0, 0
+    held: list[str] = []
+    for i, (a, b) in enumerate(groups):
+        held.append(text[a:b])
+        size += b - a
+        while size - (groups[first][1] - groups[first][0]) >= TAIL_DIGITS:
+            size -= groups[first][1] - groups[first][0]
+            first += 1
+        if size >= TAIL_DIGITS and first >= free and "".join(held[first:])[-TAIL_DIGITS:] in ends:
+            low, digits = first, size
+            while low > free and digits + groups[low - 1][1] - groups[low - 1][0] <= 10 + PREFIX_DIGITS and groups[low][0] - groups[low - 1][1] <= 2:
+                low -= 1
+                digits += groups[low][1] - groups[low][0]
+            out.append((low, i))
+            free = i + 1
+    return [(groups[a][0], groups[b][1]) for a, b in out]
+
+
+def spelled_addresses(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, address) of addresses written in words, as in ``anna at example dot org``."""
+    for m in _AT.finditer(text):
+        left = list(_WORD.finditer(text, max(0, m.start() - 200), m.start()))[-ADDRESS_WORDS:]
+        right = list(itertools.islice(_WORD.finditer(text, m.end(), m.end() + 200), ADDRESS_WORDS))
+        if not left or not right:
+            continue
+        low, high = len(left) - 1, 0
+        while low >= 2 and left[low - 1][0].lower() in _DOTS:
+            low -= 2
+        while high + 2 < len(right) and right[high + 1][0].lower() in _DOTS:
+            high += 2
+        last = right[high][0].rstrip(".,;:!?)]}\"'")
+        name = ".".join(w[0] for w in left[low::2])
+        host = ".".join([w[0] for w in right[:high:2]] + [last])
+        yield left[low].start(), right[high].start() + len(last), f"{name}@{host}".lower()
+
+
 def nodes(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int, int, str]]:
     """(start, end, label of a pattern or 0, content) in the order of the text."""
     out = [(a, b, LABELS.index(k), content(text[a:b])) for k, a, b in base]
-    taken = sorted((a, b) for _, a, b in base)
-    reach, i = -1, 0
-    for m in sorted([*((m.start(), m.end()) for m in _NUMBER.finditer(text)), *((m.start(), m.end()) for m in _WORD.finditer(text) if "@" in m[0])]):
-        a, b = m
-        while a < b and text[b - 1] in ".,;:!?)]}\"'":
-            b -= 1
+    known = frozenset(key for _, _, _, key in out)
+    ends = frozenset(t for k, a, b in base if k != "email" and (t := tail(text[a:b])))
+    free, at = [], 0
+    for a, b in sorted((a, b) for _, a, b in base):
+        if a > at:
+            free.append((at, a))
+        at = max(at, b)
+    free.append((at, len(text)))
+    more: list[tuple[int, int, str]] = []
+    if any("@" in key for key in known):
+        more += [x for x in spelled_addresses(text) if x[2] in known]
+    for low, high in free:
+        for a, b in numbers(text, low, high):
+            parts = known_parts(text, a, b, ends) if ends else []
+            more += [(x, y, content(text[x:y])) for x, y in parts or [(a, b)]]
+        if text.find("@", low, high) >= 0:
+            for m in _WORD.finditer(text, low, high):
+                word = m[0].rstrip(".,;:!?)]}\"'")
+                if "@" in word:
+                    more.append((m.start(), m.start() + len(word), content(word)))
+    taken, i, reach = sorted((a, b) for _, a, b in base), 0, -1
+    for a, b, key in sorted(more):
         while i < len(taken) and taken[i][0] < b:
             reach, i = max(reach, taken[i][1]), i + 1
-        if a >= reach and b > a:
-            out.append((a, b, 0, content(text[a:b])))
+        if a >= reach:
+            out.append((a, b, 0, key))
             reach = max(reach, b)
     return sorted(out)
 
 
-def skip_edges(found: list[tuple[int, int, int, str]]) -> list[tuple[int, int]]:
-    """Each mention of a content is joined to the one before it and to the first."""
-    last: dict[str, tuple[int, int]] = {}
-    out = []
+def skip_edges(found: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int]]:
+    """(earlier, later, kind): each mention is joined to the one before it and to the first of its content, tail or name.
+
+    Two nodes have one edge at most, that of the closest kind.
+    """
+    last: dict[tuple[int, str], tuple[int, int]] = {}
+    edges: dict[tuple[int, int], int] = {}
     for i, (_, _, _, key) in enumerate(found):
-        if key in last:
-            first, before = last[key]
-            out.extend({(first, i), (before, i)})
-            last[key] = first, i
-        else:
-            last[key] = i, i
-    return sorted(out)
+        name = key.partition("@")[0] if "@" in key else ""
+        for kind, mark in ((SAME, key), (TAIL, tail(key)), (NAME, name)):
+            if not mark:
+                continue
+            first, before = last.get((kind, mark), (i, i))
+            for j in {first, before} - {i}:
+                edges.setdefault((j, i), kind)
+            last[kind, mark] = first, i
+    return sorted((a, b, kind) for (a, b), kind in edges.items())
 
 
 @dataclass(frozen=True)
 class Field:
-    """Log potentials: by pattern, between neighbours, and for equal labels of equal contents."""
+    """Log potentials: by pattern, between neighbours, and for equal labels across each kind of skip edge."""
 
     chain: tuple[tuple[float, ...], ...]
-    skip: float
+    skip: tuple[float, float, float]
     pattern: float = 9.0
     plain: float = 3.0
 
@@ -129,10 +226,11 @@ def messages(field: Field, found: list[tuple[int, int, int, str]], rounds: int =
     for i, (_, _, label, _) in enumerate(found):
         unary[i, label] = field.pattern if label else field.plain
     chain, skips = np.array(field.chain), skip_edges(found)
-    tails = np.array([*range(n - 1), *range(1, n), *(a for a, _ in skips), *(b for _, b in skips)], int)
-    heads = np.array([*range(1, n), *range(n - 1), *(b for _, b in skips), *(a for a, _ in skips)], int)
+    tails = np.array([*range(n - 1), *range(1, n), *(a for a, _, _ in skips), *(b for _, b, _ in skips)], int)
+    heads = np.array([*range(1, n), *range(n - 1), *(b for _, b, _ in skips), *(a for a, _, _ in skips)], int)
     back = np.concatenate([np.arange(n - 1) + n - 1, np.arange(n - 1), 2 * (n - 1) + len(skips) + np.arange(len(skips)), 2 * (n - 1) + np.arange(len(skips))]).astype(int)
-    pair = np.concatenate([np.repeat(chain[None], n - 1, 0), np.repeat(chain.T[None], n - 1, 0), np.repeat(field.skip * np.eye(k)[None], 2 * len(skips), 0)])
+    weights = np.array([field.skip[kind] for _, _, kind in skips] * 2, float)
+    pair = np.concatenate([np.repeat(chain[None], n - 1, 0), np.repeat(chain.T[None], n - 1, 0), weights[:, None, None] * np.eye(k)[None]])
     sent = np.zeros((len(tails), k))
     for _ in range(rounds):
         belief = unary.copy()
@@ -151,16 +249,22 @@ def messages(field: Field, found: list[tuple[int, int, int, str]], rounds: int =
 def count_potentials(docs: DataFrame) -> Field:
     """Chain and skip potentials from the label pairs of all documents.
 
-    The driver receives one row per pair of labels, at most 50.
+    A chain potential is the lift of two labels as neighbours, so weak that
+    neighbours alone never outweigh what a plain word has for "none". A skip
+    potential compares edges between two patterns' spans: one kind for both,
+    or two. An edge to a node that no pattern accepts says nothing of labels
+    and is not counted. Without counts a skip potential is 0, so a corpus that
+    never repeats a mention adds no spans. The driver receives one row for
+    each kind and pair of labels, at most 100.
     """
     def make():
         def rows(batch):
-            counts: dict[tuple[str, int, int], int] = {}
+            counts: dict[tuple[int, int, int], int] = {}
             for text in batch["text"]:
                 if not text or not _ANY.search(text):
                     continue
                 found = nodes(text, base_spans(text))
-                pairs = [("chain", i, i + 1) for i in range(len(found) - 1)] + [("skip", a, b) for a, b in skip_edges(found)]
+                pairs = [(-1, i, i + 1) for i in range(len(found) - 1)] + [(kind, a, b) for a, b, kind in skip_edges(found)]
                 for kind, i, j in pairs:
                     key = kind, found[i][2], found[j][2]
                     counts[key] = counts.get(key, 0) + 1
@@ -168,20 +272,17 @@ def count_potentials(docs: DataFrame) -> Field:
 
         return rows
 
-    rows = map_rows(texts(docs), "kind string, a int, b int, n bigint", make).groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect()
-    chain, agree, differ = np.ones((len(LABELS), len(LABELS))), 1, 1
+    rows = map_rows(texts(docs), "kind int, a int, b int, n bigint", make).groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect()
+    chain, agree, differ = np.ones((len(LABELS), len(LABELS))), [1, 1, 1], [1, 1, 1]
     for r in rows:
-        if r["kind"] == "chain":
+        if r["kind"] < 0:
             chain[r["a"], r["b"]] += r["n"]
-        elif r["a"] == r["b"]:
-            agree += r["n"]
-        else:
-            differ += r["n"]
+        elif r["a"] and r["b"]:
+            (agree if r["a"] == r["b"] else differ)[r["kind"]] += r["n"]
     share = chain / chain.sum()
     lift = np.log(share / (share.sum(1, keepdims=True) * share.sum(0, keepdims=True)))
-    # Neighbours only tip the scale: both together stay below what a plain word has for "none".
     weights = np.clip(lift / 4, -0.5, 0.5)
-    return Field(tuple(map(tuple, weights.tolist())), float(np.clip(np.log(agree / differ), 4.5, 6.0)))
+    return Field(tuple(map(tuple, weights.tolist())), tuple(float(np.log(a / d)) for a, d in zip(agree, differ, strict=True)))
 
 
 def label_spans(text: str, field: Field) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -190,7 +291,7 @@ def label_spans(text: str, field: Field) -> tuple[list[tuple[str, int, int]], li
         return [], []
     base = base_spans(text)
     found = nodes(text, base) if base else []
-    if not any(bool(found[a][2]) != bool(found[b][2]) for a, b in skip_edges(found)):
+    if not any(bool(found[a][2]) != bool(found[b][2]) for a, b, _ in skip_edges(found)):
         return base, []  # nothing can tip a plain word: chain potentials alone are below its own
     labels = messages(field, found)
     added = [(LABELS[k], a, b) for (a, b, own, _), k in zip(found, labels.tolist(), strict=True) if k and not own]
