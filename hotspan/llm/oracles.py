@@ -75,10 +75,10 @@ n AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, u
   WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY 1),
 m AS (SELECT h.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
   ({count('[#*$%&|<>]')})::BIGINT AS n_symbols, coalesce(n.n, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
-  CASE WHEN length(t) >= {config.min_chars} THEN coalesce(a.js, 0) ELSE 0 END AS cd,
-  CASE WHEN len(w) >= {config.min_compared_words} THEN coalesce(b.js, 0) ELSE 0 END AS wd
+  CASE WHEN length(t) >= {config.min_chars} THEN sqrt(greatest(coalesce(a.js, 0), 0)) ELSE 0 END AS cd,
+  CASE WHEN len(w) >= {config.min_compared_words} THEN sqrt(greatest(coalesce(b.js, 0), 0)) ELSE 0 END AS wd
   FROM h LEFT JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN chars_j a USING (doc_id) LEFT JOIN common_j b USING (doc_id)),
 o AS (SELECT *, n_words < {config.min_words} OR 100 * n_repeat_words > {config.max_repeat_percent} * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND cd <= {config.max_char_divergence} AND wd <= {config.max_word_divergence} AS kept,
-  round(cd, 6) AS char_divergence, round(wd, 6) AS word_divergence FROM o"""
+  NOT base_failed AND cd <= {config.max_char_distance} AND wd <= {config.max_word_distance} AS kept,
+  round(cd, 6) AS char_distance, round(wd, 6) AS word_distance FROM o"""

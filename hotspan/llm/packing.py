@@ -9,8 +9,9 @@ conflict. If none has, a new bin is opened. So there is no cap on bins, and no
 document is left out.
 
 A document longer than a bin is cut into full bins and a rest, and only the
-rest is packed. Documents are dealt to shards of a bounded number of rows by a
-hash; a shard is packed alone, so the work spreads whatever the sources are.
+rest is packed. Pieces are dealt to shards of a bounded number of rows by a hash of
+their row number; a shard is packed alone, so the work spreads whatever the
+sources, the ids and the texts are.
 """
 
 from __future__ import annotations
@@ -41,10 +42,14 @@ class Bins:
 
     def __init__(self, capacity: int) -> None:
         self.capacity, self.order, self.marks, self.count = capacity, [], {}, 0
+        #: The last item, and the bin behind which a search for an equal one begins.
+        self.last, self.behind = None, None
 
     def place(self, size: int, source: int, cluster: int) -> int:
         """The bin of the tightest fit without conflict; a new one if there is none."""
-        at = bisect.bisect_left(self.order, (size, -1))
+        # An equal item has found all bins before the last one's in conflict, and the last one is by now.
+        same = self.last == (size, source, cluster)
+        at = bisect.bisect_right(self.order, self.behind) if same else bisect.bisect_left(self.order, (size, -1))
         while at < len(self.order):
             left, number = self.order[at]
             sources, clusters = self.marks[number]
@@ -55,6 +60,7 @@ class Bins:
         else:
             left, number, sources, clusters = self.capacity, self.count, 0, 0
             self.count += 1
+        self.last, self.behind = (size, source, cluster), (left, number)
         if left > size:
             bisect.insort(self.order, (left - size, number))
             self.marks[number] = sources | source, clusters | cluster
@@ -79,25 +85,32 @@ def pack_shard(rows: pd.DataFrame, capacity: int) -> list[tuple[int, int]]:
     return out
 
 
-def pack(docs: DataFrame, config: PackingConfig | None = None) -> DataFrame:
+def pack(docs: DataFrame, config: PackingConfig | None = None, cluster: str | None = None) -> DataFrame:
     """One row for each piece of a document: its bin (``shard, bin``), its slot there and its tokens.
 
-    Tokens are words. A document's cluster is the hash of its words in lower
-    case. Null and empty texts are pieces of no tokens; a null source is a
-    source of its own kind; repeated rows are packed each, in different bins.
-    A null doc_id stays null. Other columns are ignored.
+    Tokens are words. ``cluster`` names a column of whole numbers, such as the
+    component of similar documents; rows of one cluster never share a bin.
+    Without it a document's cluster is the hash of its words in lower case, so
+    that exact copies are kept apart and near copies are not; a null cluster
+    counts as such a hash, too. Null and empty texts are pieces of no tokens;
+    a null source is a source of its own kind; repeated rows are packed each,
+    in different bins. A null doc_id stays null. A very long text is cut into
+    full bins. Other columns are ignored.
     """
     config = config or PackingConfig()
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.filter(F.split(text, BLANKS), lambda w: w != "")
+    own = F.xxhash64(F.lower(F.array_join(words, " ")))
     items = docs.select(
         F.col("doc_id").cast("long"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
-        F.size(words).cast("long").alias("total"), F.xxhash64(F.lower(F.array_join(words, " "))).alias("cluster"))
+        F.size(words).cast("long").alias("total"), (F.coalesce(F.col(cluster).cast("long"), own) if cluster else own).alias("cluster"))
     pieces = items.withColumn("piece", F.explode(F.sequence(
         F.lit(0), F.greatest(F.ceil(F.col("total") / config.capacity).cast("int") - 1, F.lit(0)))))
     pieces = stage_table(pieces.withColumns({
         "first_token": F.col("piece") * F.lit(config.capacity).cast("long"),
         "n_tokens": F.least(F.lit(config.capacity).cast("long"), F.col("total") - F.col("piece") * config.capacity),
+        # Written with the pieces: equal rows have numbers of their own, and keep them.
+        "row": F.monotonically_increasing_id(),
     }).drop("total"), "pieces")
     shards = max(1, -(-pieces.count() // config.shard_rows))
 
@@ -106,5 +119,5 @@ def pack(docs: DataFrame, config: PackingConfig | None = None) -> DataFrame:
         placed = pack_shard(rows, config.capacity)
         return rows.assign(bin=[b for b, _ in placed], slot=[s for _, s in placed])
 
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster", F.lit(config.seed)), F.lit(shards)).cast("int"))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("row", F.lit(config.seed)), F.lit(shards)).cast("int")).drop("row")
     return dealt.groupBy("shard").applyInPandas(run, PACKED)

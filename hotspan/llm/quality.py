@@ -1,7 +1,8 @@
 """Quality rules: how far a document's distributions are from its language.
 
 Two histograms of a document are compared with those of its language by the
-Jensen-Shannon divergence (base 2, between 0 and 1): the classes of its
+Jensen-Shannon distance (the root of the divergence to base 2, between 0 and
+1): the classes of its
 characters, and its share of common words. A language's reference is the sum
 over all documents of that language. Both comparisons have a minimum length,
 below which they say nothing. DataFrame functions only, no shuffle of texts.
@@ -41,11 +42,11 @@ CLASSES = {
 class QualityConfig:
     min_words: int = 50
     max_repeat_percent: int = 50
-    #: The least characters and words for which a divergence is judged.
+    #: The least characters and words for which a distance is judged.
     min_chars: int = 200
     min_compared_words: int = 50
-    max_char_divergence: float = 0.06
-    max_word_divergence: float = 0.095
+    max_char_distance: float = 0.245
+    max_word_distance: float = 0.308
     common_words: dict[str, list[str]] = field(default_factory=lambda: COMMON_WORDS)
 
 
@@ -118,8 +119,8 @@ def word_histogram(all_words: Column, lang: Column, config: QualityConfig) -> Co
     return _let(F.coalesce(lists[lang], F.array().cast("array<string>")), of)
 
 
-def divergence(a: Column, b: Column) -> Column:
-    """Jensen-Shannon divergence in bits of two histograms of equal length; 0 if one is empty."""
+def distance(a: Column, b: Column) -> Column:
+    """Jensen-Shannon distance of two histograms of equal length; 0 if one is empty."""
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
 
     def term(x: Column, m: Column) -> Column:
@@ -128,7 +129,8 @@ def divergence(a: Column, b: Column) -> Column:
     def of(both: Column) -> Column:
         p, q, sp, sq = both["p"], both["q"], both["sp"], both["sq"]
         cells = F.zip_with(p, q, lambda x, y: term(x / sp, (x / sp + y / sq) / 2) + term(y / sq, (x / sp + y / sq) / 2))
-        return F.when((sp > 0) & (sq > 0), total(cells) / 2).otherwise(0.0)
+        # rounding can leave equal histograms a little below 0
+        return F.when((sp > 0) & (sq > 0), F.sqrt(F.greatest(total(cells) / 2, F.lit(0.0)))).otherwise(0.0)
 
     return _let(F.struct(a.alias("p"), b.alias("q"), total(a).alias("sp"), total(b).alias("sq")), of)
 
@@ -172,7 +174,7 @@ def language_references(docs: DataFrame, config: QualityConfig | None = None) ->
 
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-VERDICT = ["char_divergence", "word_divergence", "base_failed", "kept"]
+VERDICT = ["char_distance", "word_distance", "base_failed", "kept"]
 
 
 def _judged(measured: DataFrame, found: dict, config: QualityConfig, keep: list[str]) -> DataFrame:
@@ -186,16 +188,16 @@ def _judged(measured: DataFrame, found: dict, config: QualityConfig, keep: list[
         return F.coalesce(F.create_map(*pairs)[lang], none)
 
     out = measured.withColumns({
-        "char_divergence": F.when(F.col("_length") >= config.min_chars, divergence(F.col("_chars"), reference(0))).otherwise(0.0),
-        "word_divergence": F.when(F.col("n_words") >= config.min_compared_words, divergence(F.col("_common"), reference(1))).otherwise(0.0),
+        "char_distance": F.when(F.col("_length") >= config.min_chars, distance(F.col("_chars"), reference(0))).otherwise(0.0),
+        "word_distance": F.when(F.col("n_words") >= config.min_compared_words, distance(F.col("_common"), reference(1))).otherwise(0.0),
     }).withColumn(
         "base_failed",
         (F.col("n_words") < config.min_words) | (100 * F.col("n_repeat_words") > config.max_repeat_percent * F.col("n_words")),
     ).withColumn(
         "kept",
         settled(~F.col("base_failed")
-                & (F.col("char_divergence") <= config.max_char_divergence)
-                & (F.col("word_divergence") <= config.max_word_divergence)),
+                & (F.col("char_distance") <= config.max_char_distance)
+                & (F.col("word_distance") <= config.max_word_distance)),
     )
     return out.select(*keep, *MEASURES, *VERDICT)
 
@@ -207,12 +209,17 @@ def quality_columns(docs: DataFrame, config: QualityConfig | None = None) -> Dat
     histograms are too far from its language's. A null text is an empty one
     and fails; a document in a null language, or one without a reference, is
     judged by the base rules alone. Rows stay rows, repeated ones too. Columns
-    of the added names (``MEASURES`` and ``VERDICT``) are replaced. Texts are
-    read twice, once for the references, and never shuffled.
+    of the added names (``MEASURES`` and ``VERDICT``) are replaced, any other
+    name is the caller's. A very long text takes memory in proportion to its
+    length. Texts are read twice, once for the references, and never shuffled.
     """
     config = config or QualityConfig()
     keep = [n for n in docs.columns if n not in MEASURES + VERDICT]
-    return _judged(_measured(docs.select(*keep), config), language_references(docs, config), config, keep)
+    # the caller's row is one column, so that no name of it can clash
+    row = F.struct(*[F.col(f"`{n}`") for n in keep]).alias("row")
+    inner = _measured(docs.select(row, "text", "lang"), config).drop("text")
+    judged = _judged(inner, language_references(docs, config), config, ["row"])
+    return judged.select(*[F.col("row").getField(n).alias(n) for n in keep], *MEASURES, *VERDICT)
 
 
 def quality_report(docs: DataFrame, config: QualityConfig | None = None) -> DataFrame:

@@ -57,7 +57,7 @@ def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_report(read(spark, sf, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        F.round("char_divergence", 6).alias("char_divergence"), F.round("word_divergence", 6).alias("word_divergence"))
+        F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
 
 
 @query

@@ -38,3 +38,12 @@ def test_junk_differs_from_its_language(spark):
     loud = " ".join(f"WORD{chr(65 + i % 26)}{chr(65 + i // 26)}!!" for i in range(120))
     rows = quality_report(spark.createDataFrame([(i, t, "en") for i, t in enumerate([*clean, junk, loud])], "doc_id bigint, text string, lang string")).collect()
     assert {r["doc_id"] for r in rows if not r["kept"]} == {40, 41}
+
+
+def test_any_other_column_stays(spark):
+    rows = [(1, "a b " * 60, "en", "x", 7, 8.5, [1]), (None, None, None, None, None, None, None), (2, "", "xx", "", 0, 0.0, [])]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, _words string, _length int, row double, _chars array<int>")
+    out = quality_columns(frame)
+    assert out.columns == [*frame.columns, *MEASURES, "char_distance", "word_distance", "base_failed", "kept"]
+    assert sorted(map(tuple, out.select(frame.columns).collect()), key=str) == sorted(rows, key=str)
+    assert [r["n_words"] for r in out.orderBy(out.n_words.desc()).collect()] == [120, 0, 0]
