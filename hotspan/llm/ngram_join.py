@@ -301,13 +301,17 @@ def _clustered_links(open_keys: DataFrame, sets: DataFrame, config: JoinConfig)
     cluster = components(star).select("node.e1", "node.e2", F.xxhash64("label").alias("cluster"))
     large = stage_table(cluster.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") > config.cluster_rows), "large")
     once = cluster.join(open_keys.select("e1", "e2", "own").distinct(), ["e1", "e2"])
-    whole = once.join(large, "cluster", "left_anti").select(F.col("cluster").alias("g"), "e1", "e2", "own")
-    wide = open_keys.join(cluster.join(large, "cluster", "left_semi"), ["e1", "e2"]).select("key", "e1", "e2", "own")
-    members = wide.groupBy("key").agg(
-        F.count("*").alias("n"), F.sum(F.xxhash64("e1", "e2").cast("decimal(38,0)")).alias("x"),
-        F.sum(F.xxhash64("e2", "e1", F.lit(1)).cast("decimal(38,0)")).alias("y"))
-    by_key = wide.join(members.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key").select(F.col("key").alias("g"), "e1", "e2", "own")
-    rows = stage_table(whole.unionByName(by_key), "clusters")
+    if large.isEmpty():
+        rows = once.select(F.col("cluster").alias("g"), "e1", "e2", "own")
+    else:
+        whole = once.join(large, "cluster", "left_anti").select(F.col("cluster").alias("g"), "e1", "e2", "own")
+        wide = open_keys.join(cluster.join(large, "cluster", "left_semi"), ["e1", "e2"]).select("key", "e1", "e2", "own")
+        members = wide.groupBy("key").agg(
+            F.count("*").alias("n"), F.sum(F.xxhash64("e1", "e2").cast("decimal(38,0)")).alias("x"),
+            F.sum(F.xxhash64("e2", "e1", F.lit(1)).cast("decimal(38,0)")).alias("y"))
+        by_key = wide.join(members.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key")
+        rows = whole.unionByName(by_key.select(F.col("key").alias("g"), "e1", "e2", "own"))
+    rows = stage_table(rows, "clusters")
     size = F.col("e2").bitwiseAND(SIZE)
     blocks = F.greatest(F.ceil(F.count("*") / config.group_rows), F.ceil(F.sum(size) / config.group_tokens)).cast("int")
     of = rows.groupBy("g").agg(blocks.alias("blocks"))
@@ -410,12 +414,10 @@ def similarity_components(docs: DataFrame, config: JoinConfig | None = None) ->
     entities = first.where("block is null").select("doc", "th", "n", "e1", "e2")
     levels = bucket_levels(first.where("block is not null").select("block", "counts"))
     survivors = stage_table(_survivors(_prefixes(docs, levels, config), config), "survivors")
-    keys = stage_table(_keys(survivors, config), "entries")
-    several = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    keys = stage_table(keys.join(several, "key"), "keys")
+    keys = stage_table(_keys(survivors, config), "keys")
 
     one = entities.where("n > 0").groupBy("e1", "e2").agg(F.min(F.struct("doc", "th")).alias("least")).select("e1", "e2", "least.*")
-    sets = stage_table(_sets(docs, one.join(keys.select("e1", "e2").distinct(), ["e1", "e2"]), config), "sets")
+    sets = stage_table(_sets(docs, one.join(survivors.select("e1", "e2"), ["e1", "e2"]), config), "sets")
 
     pairs = stage_table(_leader_pairs(keys, config), "pairs")
     links = stage_table(_verified(pairs, sets, config), "links")
