@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -45,12 +46,28 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="hotspan-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(path)
+    return spark.sparkContext.getCheckpointDir()
+
+
+_run_folders: set[str] = set()
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this application inside the shared one; deleted when its driver ends."""
+    path = f"{shared_dir(spark)}/hotspan-{spark.sparkContext.applicationId}"
+    if path not in _run_folders:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(hadoop)
+        files.deleteOnExit(hadoop)
+        _run_folders.add(path)
     return path
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(shared_dir(spark), f"hotspan-{uuid.uuid4().hex}", name)
+    return f"{run_folder(spark)}/{uuid.uuid4().hex}/{name}"
 
 
 def stage_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
