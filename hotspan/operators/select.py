@@ -1,11 +1,15 @@
 """Choosing the heaviest set of intervals that do not overlap.
 
 The textbook solution walks over all intervals of a sequence in order of
-their end. Here a sequence is cut into blocks at least as wide as the longest
-interval, so that an interval reaches into the next block at most:
+their end. Here a sequence is cut into blocks, and an interval belongs to the
+block it starts in:
 
 1. each block turns into a table ``gain[i, j]``: the best weight between
-   entering free at its i-th start and leaving free at its j-th exit;
+   entering free at its i-th place and leaving free at its j-th exit. Places
+   are the block's starts and its border; exits are the border and the ends
+   beyond it. The end of an interval that passes over whole blocks is a place
+   and an exit of each of them, so no block has to be as wide as the longest
+   interval;
 2. tables of neighbours combine (max-plus product) in groups of ``FAN``,
    level by level, and the values on entry run back down the same levels;
 3. each block then knows, for every place where its successor may begin, where
@@ -41,6 +45,8 @@ BIG = 1 << 62
 STRIP_CELLS = 1_000_000
 COLUMNS = 256
 BLOCKS_PER_TASK = 5_000
+#: An interval of this weight or more is never left out for others.
+MOST_WEIGHT = float(1 << 32)
 
 
 # --- one block -------------------------------------------------------------
@@ -65,19 +71,20 @@ def _undominated(s: np.ndarray, e: np.ndarray, w: np.ndarray) -> np.ndarray:
     return keep
 
 
-def _gain(s: np.ndarray, u: np.ndarray, w: np.ndarray, border: int):
+def _gain(s: np.ndarray, u: np.ndarray, w: np.ndarray, border: int, passing: np.ndarray):
     """Entries, exits and the best weight between them. ``u`` is the first
-    position free after an interval; rows are in order of (u, s)."""
-    ins, first = np.unique(s, return_inverse=True)
+    position free after an interval; rows are in order of (u, s). ``passing``
+    holds such positions beyond the border of intervals from earlier blocks."""
+    starts, first = np.unique(s, return_inverse=True)
+    late = np.r_[border, passing]
     nodes, begin = np.unique(u, return_index=True)
     stop = np.append(begin[1:], len(u))
     before = np.searchsorted(nodes, s, side="right")
-    inner = int(np.searchsorted(nodes, border, side="right"))
-    rows = np.r_[inner, np.arange(inner + 1, len(nodes) + 1)]
-    outs = np.r_[border, nodes[inner:]]
+    outs = np.union1d(late, nodes[nodes > border])
+    rows = np.searchsorted(nodes, outs, side="right")
     parts = []
-    for lo in range(0, len(ins) + 1, COLUMNS):
-        entry = np.arange(lo, min(lo + COLUMNS, len(ins) + 1))
+    for lo in range(0, len(starts), COLUMNS):
+        entry = np.arange(lo, min(lo + COLUMNS, len(starts)))
         best = np.zeros((len(nodes) + 1, len(entry)))
         for k in range(len(nodes)):
             rng = slice(begin[k], stop[k])
@@ -85,7 +92,8 @@ def _gain(s: np.ndarray, u: np.ndarray, w: np.ndarray, border: int):
             total[entry[None, :] > first[rng, None]] = -np.inf
             np.maximum(best[k], total.max(axis=0), out=best[k + 1])
         parts.append(best[rows].T)
-    return ins, outs, np.concatenate(parts)
+    parts.append(np.where(outs[None, :] >= late[:, None], 0.0, -np.inf))  # entered after all starts
+    return np.r_[starts, late], outs, np.concatenate(parts)
 
 
 class _Walk:
@@ -128,12 +136,12 @@ class _Walk:
 
 def _table(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ins, outs = np.asarray(row.ins), np.asarray(row.outs)
-    return ins, outs, np.asarray(row.gain).reshape(len(ins) + 1, len(outs))
+    return ins, outs, np.asarray(row.gain).reshape(len(ins), len(outs))
 
 
 def _at_entries(ins: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Which exit of the block before is the last one free at each entry."""
-    return np.r_[np.searchsorted(at, ins, side="right") - 1, len(at) - 1]
+    return np.searchsorted(at, ins, side="right") - 1
 
 
 def _join_gains(a, b):
@@ -232,6 +240,47 @@ def _sweep(
 
 # --- the operator ----------------------------------------------------------
 
+def _block_width(intervals: DataFrame, gap_bp: int) -> int:
+    """Twice the mean span, or the longest span if that is less: intervals pass
+    over half as many whole blocks as there are intervals at most, whatever the
+    longest one is."""
+    span = F.greatest(F.col("end_bp") - F.col("start_bp"), F.lit(0))
+    row = intervals.agg(F.max(span).alias("most"), F.avg(span).alias("mean")).first()
+    return int(min(row["most"] or 0, 2 * math.ceil(row["mean"] or 0))) + gap_bp
+
+
+def _passing(blocked: DataFrame, width: int, gap_bp: int) -> DataFrame:
+    """(chrom, blk, free): the first free places after intervals that reach over
+    the whole next block, in their own block and in all that they pass over.
+
+    An interval is left out when the heaviest intervals that lie within the
+    blocks it passes over are heavier together: they can always take its
+    place. Their total is one difference of running totals.
+    """
+    w, free = F.col("w"), F.col("end_bp") + (gap_bp + 1)
+    units = F.greatest(F.floor(F.least(w, F.lit(MOST_WEIGHT)) * GRAIN + 0.5), F.lit(1))
+    used = blocked.where((w > 0) & ~F.isnan(w)).select(
+        "chrom", "blk", free.alias("free"), (F.ceil(free / width) - 2).alias("last"),
+        units.cast("decimal(38,0)").alias("units"), (w >= MOST_WEIGHT).alias("sure"))
+    far = stage_table(
+        used.where(F.col("last") > F.col("blk")).groupBy("chrom", "blk", "free", "last")
+        .agg(F.max("units").alias("units"), F.max("sure").alias("sure")), "far")
+    # free at the border of its block: one of each block go together
+    tops = used.where(F.col("free") <= (F.col("blk") + 1) * width).groupBy("chrom", "blk").agg(F.max("units").alias("top"))
+    stream = tops.select("chrom", F.col("blk").alias("at"), F.lit(0).alias("turn"), "top")
+    for turn, at in ((1, "blk"), (2, "last")):
+        asked = far.select("chrom", F.col(at).alias("at"), F.lit(turn).alias("turn"), "blk", "free", "last", "units", "sure")
+        stream = stream.unionByName(asked, allowMissingColumns=True)
+    stream = stream.withColumn("part", F.floor(F.col("at") / BLOCKS_PER_TASK))
+    here = F.coalesce("top", F.lit(0).cast("decimal(38,0)"))
+    summed = running(stream, ["chrom"], "part", ["at", "turn"], {"upto": ("sum", here)}).where("turn > 0")
+    inner = F.sum(F.when(F.col("turn") == 2, F.col("upto")).otherwise(-F.col("upto")))
+    kept = summed.groupBy("chrom", "blk", "free", "last").agg(
+        F.max("units").alias("units"), F.max("sure").alias("sure"), inner.alias("inner")
+    ).where(F.col("sure") | (F.col("inner") <= F.col("units")))
+    return kept.select("chrom", F.explode(F.sequence("blk", "last")).alias("blk"), "free").distinct()
+
+
 def select_intervals(
     intervals: DataFrame,
     weight: str = "LLR_weighted",
@@ -245,28 +294,34 @@ def select_intervals(
     """The set of intervals per sequence with the largest total weight in which
     each ends more than ``gap_bp`` before the next starts.
 
-    ``max_span`` bounds end_bp - start_bp; it is read from the data if not
-    given. ``bucket`` = (column, width) names an existing cut of start_bp to
-    reuse when it is wide enough, which saves a shuffle of the intervals.
-    Numeric columns in ``carry`` come along. Rows without a positive weight
-    are never chosen.
+    ``max_span`` bounds end_bp - start_bp if that is known, which makes blocks
+    as wide as that; otherwise blocks are ``block_bp`` wide, or follow the mean
+    span, and may be narrower than an interval. ``bucket`` = (column, width)
+    names an existing cut of start_bp to reuse when it is wide enough, which
+    saves a shuffle of the intervals. Numeric columns in ``carry`` come along.
+    Rows without a positive weight are never chosen.
     """
     carry = carry or []
-    if max_span is None:
-        max_span = intervals.agg(F.max(F.col("end_bp") - F.col("start_bp"))).first()[0] or 0
     if gap_bp < 0:
         raise ValueError("the gap cannot be negative")
-    need = max_span + gap_bp
-    if bucket and bucket[1] >= need and block_bp is None:
+    need = None if max_span is None else max_span + gap_bp
+    if bucket and need is not None and bucket[1] >= need and block_bp is None:
         column, width = bucket
         blocked = intervals.withColumnRenamed(column, "blk")
     else:
-        width = max(need, block_bp or 1, 1)
+        if need is None and block_bp is None:
+            width = max(_block_width(intervals, gap_bp), 1)
+        else:
+            width = max(need or 0, block_bp or 1, 1)
         blocked = intervals.withColumn("blk", F.floor(F.col("start_bp") / width))
     blocked = blocked.select(
         "chrom", "blk", "start_bp", "end_bp", F.col(weight).cast("double").alias("w"),
         *[F.col(c).cast("double") for c in carry],
     )
+    if need is None:
+        # one more row for each place that an interval passes, without a weight
+        blocked = blocked.withColumn("free", F.lit(None).cast("bigint")).unionByName(
+            _passing(blocked, width, gap_bp), allowMissingColumns=True)
 
     longs, doubles = pa.list_(pa.int64()), pa.list_(pa.float64())
     packed_schema = pa.schema([
@@ -281,12 +336,19 @@ def select_intervals(
         use = np.flatnonzero(w > 0)
         if not len(use):
             return packed_schema.empty_table()
+        blk, passing = rows.column("blk")[0].as_py(), np.zeros(0, np.int64)
+        if need is None:
+            passing = np.unique(rows.column("free").drop_null().to_numpy())
+            s, e = (np.where(w > 0, x, 0).astype(np.int64) for x in (s, e))
+            free = e[use] + gap_bp + 1
+            use = use[(free <= (blk + 2) * width) | np.isin(free, passing)]
+            if not len(use):
+                return packed_schema.empty_table()
         w = np.maximum(np.floor(w * GRAIN + 0.5), 1.0) / GRAIN
         use = use[_undominated(s[use], e[use], w[use])]
         use = use[np.lexsort((s[use], e[use]))]
         s, e, w = s[use], e[use], w[use]
-        blk = rows.column("blk")[0].as_py()
-        ins, outs, gain = _gain(s, e + gap_bp + 1, w, (blk + 1) * width)
+        ins, outs, gain = _gain(s, e + gap_bp + 1, w, (blk + 1) * width, passing)
         extra = [rows.column(c).to_numpy()[use] for c in carry]
         return pa.Table.from_arrays(
             [pa.array([rows.column("chrom")[0].as_py()]), pa.array([blk], pa.int64()),
@@ -330,7 +392,8 @@ def select_intervals(
             for row in pdf.itertuples():
                 best = walk(row)
                 picks = [best.chosen(int(x)) for x in row.outs]
-                rows.append([int(best.s[p[-1]]) if p else BIG for p in picks])
+                # without a choice the block before has to be free at the same exit
+                rows.append([int(best.s[p[-1]]) if p else int(x) for p, x in zip(picks, row.outs)])
             yield pd.DataFrame({"chrom": pdf["chrom"], "blk": pdf["blk"], "outs": pdf["outs"], "begins": rows})
 
     fields = "outs array<bigint>, begins array<bigint>"

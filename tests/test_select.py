@@ -52,7 +52,7 @@ def frame(spark, sequences):
     return spark.createDataFrame(pd.DataFrame(rows, columns=["chrom", "start_bp", "end_bp", "LLR_weighted"]))
 
 
-@pytest.mark.parametrize("gap,block,fan", [(0, None, 64), (2, 50, 3), (0, None, 2), (5, 5000, 64)])
+@pytest.mark.parametrize("gap,block,fan", [(0, None, 64), (2, 50, 3), (0, None, 2), (5, 5000, 64), (1, 7, 8)])
 def test_equals_plain_walk(spark, gap, block, fan):
     sequences = random_sequences(1, 24)
     got = select_intervals(frame(spark, sequences), gap_bp=gap, block_bp=block, fan=fan).toPandas()
@@ -81,6 +81,49 @@ def test_equals_all_subsets(spark):
         assert all(e + 1 < s for e, s in zip(mine.end_bp, mine.start_bp[1:]))
 
 
+def with_long_rows(seed, n):
+    """Sequences of short intervals and a few that reach over many of them or over all."""
+    rng = random.Random(seed)
+    out = {}
+    for c in range(n):
+        intervals = {(s := rng.randint(0, 400), s + rng.randint(0, 6)): float(rng.randint(1, 4)) for _ in range(80)}
+        for _ in range(rng.randint(1, 12)):
+            s, e = sorted(rng.sample(range(420), 2))
+            # light, heavy and equal to what lies inside
+            inside = plain_walk([(a, b, w) for (a, b), w in intervals.items() if s <= a and b <= e], 0)[1]
+            intervals[(s, e)] = max(1.0, inside + rng.choice([-20.0, -1.0, 0.0, 0.0, 1.0, 3.0, 30.0]))
+        intervals[(0, 430)] = float(rng.choice([1, 60, 400]))
+        out[f"chr{c}"] = [(s, e, w) for (s, e), w in intervals.items()]
+    return out
+
+
+@pytest.mark.parametrize("gap,block,fan", [(0, None, 64), (2, 8, 6)])
+def test_intervals_longer_than_blocks(spark, gap, block, fan):
+    sequences = with_long_rows(11, 20)
+    got = select_intervals(frame(spark, sequences), gap_bp=gap, block_bp=block, fan=fan).toPandas()
+    for c, ivs in sequences.items():
+        want, total = plain_walk(ivs, gap)
+        mine = got[got.chrom == c]
+        assert mine.weight.sum() == pytest.approx(total)
+        assert sorted(zip(mine.start_bp, mine.end_bp)) == want
+
+
+def test_one_long_interval_leaves_the_blocks_small(spark):
+    from hotspan.operators import select
+
+    rows = [("a", 10 * i, 10 * i + 8, 1.0) for i in range(5000)]
+    whole = ("a", 0, 60_000, 40.0)
+    names = "chrom string, start_bp bigint, end_bp bigint, LLR_weighted double"
+    df = spark.createDataFrame([*rows, whole], names)
+    width = select._block_width(df, 0)
+    assert width < 100
+    assert select_intervals(df).count() == 5000
+    blocked = df.selectExpr("chrom", f"floor(start_bp / {width}) AS blk", "start_bp", "end_bp", "LLR_weighted AS w")
+    assert select._passing(blocked, width, 0).count() == 0  # lighter than what it covers
+    heavy = spark.createDataFrame([*rows, (*whole[:3], 5000.5)], names)
+    assert [tuple(r) for r in select_intervals(heavy).collect()] == [("a", 0, 60_000, 5000.5)]
+
+
 def test_known_case_and_carried_columns(spark):
     df = spark.createDataFrame(
         [("a", 1, 10, 5.0, 7.0), ("a", 5, 15, 6.0, 8.0), ("a", 16, 20, 3.0, 9.0), ("a", 30, 40, 0.0, 1.0)],
