@@ -310,9 +310,48 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("N11_pi0_bootstrap")
+# The resamples of N11: a cell's draws are a binomial share of those left, from
+# the last cell down, by inverse distribution from md5 numbers.
+_DRAWN_SQL = recursive(_GRID_SQL) + """, gi AS (SELECT CAST(row_number() OVER (ORDER BY lam) AS INTEGER) AS i, lam, pi0 FROM z),
+hist AS (SELECT (SELECT count(*) FROM gi WHERE lam < c.p) AS i, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1),
+cells AS (SELECT t.i, coalesce(hist.n, 0) AS n, CAST(sum(coalesce(hist.n, 0)) OVER (ORDER BY t.i) AS BIGINT) AS upto
+  FROM range(92) t(i) LEFT JOIN hist ON hist.i = t.i),
+chain AS (
+  SELECT b, CAST(92 AS BIGINT) AS i, (SELECT max(upto) FROM cells) AS rest FROM range(200) t(b)
+  UNION ALL
+  SELECT b, i, CAST(rest - (any_value(low) + count(*) FILTER (cum < u * total)) AS BIGINT) AS rest FROM (
+    SELECT *, sum(term) OVER (PARTITION BY b ORDER BY k) AS cum, sum(term) OVER (PARTITION BY b) AS total FROM (
+      SELECT *, CASE WHEN low = high THEN 1 ELSE exp(lgamma(rest + 1) - lgamma(k + 1) - lgamma(rest - k + 1)
+        + k * ln(share) + (rest - k) * ln(1 - share)) END AS term FROM (
+        SELECT *, unnest(range(low, high + 1)) AS k FROM (
+          SELECT *, CASE WHEN rest = 0 OR share <= 0 THEN 0 WHEN share >= 1 THEN rest
+              ELSE CAST(greatest(0, floor(rest * share - reach)) AS BIGINT) END AS low,
+            CASE WHEN rest = 0 OR share <= 0 THEN 0 WHEN share >= 1 THEN rest
+              ELSE CAST(least(rest, ceil(rest * share + reach)) AS BIGINT) END AS high FROM (
+            SELECT *, CAST(10 AS DOUBLE) * sqrt(rest * share * (1 - share)) + 30 AS reach FROM (
+              SELECT chain.b, cells.i, chain.rest,
+                CASE WHEN cells.upto = 0 THEN CAST(0 AS DOUBLE) ELSE cells.n / CAST(cells.upto AS DOUBLE) END AS share,
+                CAST('0x' || substr(md5('7:' || chain.b || ':' || cells.i), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u
+              FROM chain JOIN cells ON cells.i = chain.i - 1 WHERE chain.i > 1))))))
+  GROUP BY b, i, rest),
+err AS (SELECT gi.lam, gi.pi0, avg(pow(least(greatest((m - rest) / CAST(m AS DOUBLE) / greatest(1 - lam, 1e-12), CAST(0.01 AS DOUBLE)), 1)
+    - (SELECT min(pi0) FROM z), 2)) AS mse
+  FROM chain JOIN gi USING (i), (SELECT max(upto) AS m FROM cells) GROUP BY 1, 2),
+best AS (SELECT lam, pi0 FROM err ORDER BY round(mse, 14), lam LIMIT 1)
+"""
+
+
+@query("N11_pi0_bootstrap", _DRAWN_SQL + 'SELECT round(lam, 6) AS "lambda", round(pi0, 9) AS pi0 FROM best')
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return fd.pi0_bootstrap(p_values(spark, sf), replicates=200, seed=7)
+    return fd.pi0_bootstrap(p_values(spark, sf), replicates=200, seed=7).select(
+        F.round("lambda", 6).alias("lambda"), F.round("pi0", 9).alias("pi0"))
+
+
+@query("N11_pi0_resampled", _DRAWN_SQL + 'SELECT round(lam, 6) AS "lambda", round(pi0, 9) AS pi0, round(mse, 9) AS mse FROM err')
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The error of every grid point over the resamples."""
+    return fd.pi0_mse(p_values(spark, sf), replicates=200, seed=7).select(
+        F.round("lambda", 6).alias("lambda"), F.round("pi0", 9).alias("pi0"), F.round("mse", 9).alias("mse"))
 
 
 @query(
@@ -328,9 +367,14 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("N12_fdr_bootstrap")
+@query(
+    "N12_fdr_bootstrap",
+    _DRAWN_SQL + "SELECT l_orderkey, l_linenumber, round(pv.p, 9) AS p, "
+    "round(least(q * (SELECT pi0 FROM best), 1), 7) AS fdr FROM pv JOIN q ON q.p = pv.p",
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return fd.fdr(p_values(spark, sf), "storey", replicates=200, seed=7)
+    return fd.fdr(p_values(spark, sf), "storey", replicates=200, seed=7).select(
+        "l_orderkey", "l_linenumber", F.round(fd.clean_p("p"), 9).alias("p"), F.round("fdr", 7).alias("fdr"))
 
 
 @query(

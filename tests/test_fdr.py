@@ -3,8 +3,10 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from hotspan.operators import fdr as fd
+from hotspan.operators.ordered import md5_unit
 
 
 def frame(spark, p):
@@ -76,6 +78,31 @@ def test_bootstrap_follows_expectation(spark):
     assert best["lambda"] == exact.loc[exact.mse.idxmin(), "lambda"]
 
 
+@pytest.mark.parametrize("n,share", [(0, 0.5), (7, 0.0), (7, 1.0), (1, 0.3), (12, 0.25), (40, 0.97), (900, 0.004)])
+def test_binomial_by_inverse_distribution(n, share):
+    chance = [math.comb(n, k) * share**k * (1 - share) ** (n - k) for k in range(n + 1)]
+    upto = np.cumsum(chance)
+    for unit in np.linspace(0.0005, 0.9995, 400):
+        assert fd._binomial(n, share, float(unit)) == int(np.searchsorted(upto, unit - 1e-13))
+
+
+def test_binomial_of_many():
+    for n, share in ((10**9, 0.3), (10**12, 1e-11), (10**7, 1 - 1e-6)):
+        got = [fd._binomial(n, share, u) for u in (0.02275013, 0.5, 0.97724987)]
+        mean, dev = n * share, math.sqrt(n * share * (1 - share))
+        assert np.abs((np.array(got) - mean) / dev - [-2, 0, 2]).max() < (0.3 if dev < 10 else 0.01)
+
+
+def test_resampled_tails_add_up(spark):
+    cells = [5, 0, 3, 0, 0, 9, 0]
+    tails = [fd._drawn_tails(cells, 3, b) for b in range(3000)]
+    assert all(a >= b >= 0 for row in tails for a, b in zip([sum(cells), *row], row))
+    assert np.mean(tails, axis=0) == pytest.approx(np.cumsum(cells[::-1])[::-1][1:], abs=0.15)
+    assert {row[-1] for row in tails} == {0}
+    unit = spark.range(1).select(md5_unit(F.lit(4), F.lit(91), seed=7)).first()[0]
+    assert unit == fd._unit(7, 4, 91)
+
+
 def test_fdr_methods(spark):
     p = values(4)
     bh = fd.fdr(frame(spark, p), "bh").toPandas().sort_values("id").fdr.to_numpy()
