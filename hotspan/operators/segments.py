@@ -246,6 +246,44 @@ def residual_sampler(
     return segments.join(counts, "seg_id").select(*segments.columns, "n_drawn")
 
 
+def _batches(segments: DataFrame, batch_size: int, seed: int) -> DataFrame:
+    """Add ``_batch`` and ``_place``: segments in a shuffled order, ``batch_size`` together."""
+    ranked = _by_hash_order(segments, [], md5_unit("seg_id", seed=seed), ["seg_id"])
+    return ranked.withColumns({
+        "_batch": F.floor(F.col("_rn") / batch_size),
+        "_place": F.col("_rn") % batch_size,
+    }).drop("_rn")
+
+
+def _with_run(paired: DataFrame, probability: float, seed: int) -> DataFrame:
+    """Add ``_mix``, ``_cut`` and ``_at``: whether the batch is mixed, and the
+    length and place of the run, at most half of the shorter one (``_len``)."""
+    return (
+        paired.withColumn("_mix", F.col("_other").isNotNull() & (md5_unit("_batch", seed=seed + 1) < probability))
+        .withColumn(
+            "_cut",
+            1 + F.floor(md5_unit("_batch", seed=seed + 2) * F.greatest(F.floor(F.col("_len") / 2), F.lit(1))),
+        )
+        .withColumn("_at", F.floor(md5_unit("_batch", seed=seed + 3) * (F.col("_len") - F.col("_cut") + 1)))
+    )
+
+
+def swapped_runs(sizes: DataFrame, probability: float = 0.2, batch_size: int = 16, seed: int = 42) -> DataFrame:
+    """(seg_id, other, at, cut): the runs that ``cutmix_pairs`` exchanges, one
+    row for each segment that gives one away, without the segments themselves.
+
+    ``sizes`` has seg_id and n_bins, one row per segment. Row ``off`` of
+    segment seg_id with at <= off < at + cut goes to segment ``other``.
+    """
+    w = Window.partitionBy("_batch").orderBy("_place")
+    here = F.struct("seg_id", "n_bins")
+    other = F.when(F.col("_place") == 0, F.lead(here).over(w)).when(F.col("_place") == 1, F.lag(here).over(w))
+    paired = _batches(sizes.select("seg_id", "n_bins"), batch_size, seed).withColumn("_other", other)
+    placed = _with_run(paired.withColumn("_len", F.least("n_bins", "_other.n_bins")), probability, seed)
+    return placed.where("_mix").select(
+        "seg_id", F.col("_other.seg_id").alias("other"), F.col("_at").alias("at"), F.col("_cut").alias("cut"))
+
+
 def cutmix_pairs(
     packed: DataFrame,
     arrays: list[str],
@@ -260,11 +298,7 @@ def cutmix_pairs(
     the shorter one, the same run in all ``arrays``. New rows are returned;
     the input is not changed.
     """
-    ranked = _by_hash_order(packed, [], md5_unit("seg_id", seed=seed), ["seg_id"])
-    batched = ranked.withColumns({
-        "_batch": F.floor(F.col("_rn") / batch_size),
-        "_place": F.col("_rn") % batch_size,
-    }).drop("_rn")
+    batched = _batches(packed, batch_size, seed)
     lengths = F.size(F.col(arrays[0]))
     # a batch has batch_size rows, so the window stays small
     w = Window.partitionBy("_batch").orderBy("_place")
@@ -273,15 +307,7 @@ def cutmix_pairs(
     ).when(F.col("_place") == 1, F.lag(F.struct(*arrays)).over(w))
     mixed = batched.withColumn("_other", other)
     shorter = F.least(lengths, F.size(F.col(f"_other.{arrays[0]}")))
-    mixed = (
-        mixed.withColumn("_mix", F.col("_other").isNotNull() & (md5_unit("_batch", seed=seed + 1) < probability))
-        .withColumn("_len", shorter)
-        .withColumn(
-            "_cut",
-            1 + F.floor(md5_unit("_batch", seed=seed + 2) * F.greatest(F.floor(F.col("_len") / 2), F.lit(1))),
-        )
-        .withColumn("_at", F.floor(md5_unit("_batch", seed=seed + 3) * (F.col("_len") - F.col("_cut") + 1)))
-    )
+    mixed = _with_run(mixed.withColumn("_len", shorter), probability, seed)
     at, size = F.col("_at").cast("int"), F.col("_cut").cast("int")
 
     def swapped(name: str) -> Column:

@@ -45,6 +45,11 @@ def _parser() -> argparse.ArgumentParser:
     train.add_argument("--use-mad", action="store_true")
     train.add_argument("--label-roll-width", type=int, default=1)
     train.add_argument("--rounds", type=int, default=2)
+    train.add_argument("--resample-from", type=int, default=3, help="first round with drawn segments, 0 for none")
+    train.add_argument("--len-alpha", type=float, default=0.7)
+    train.add_argument("--res-beta", type=float, default=1.0)
+    train.add_argument("--cutmix-p", type=float, default=0.2)
+    train.add_argument("--batch-size", type=int, default=16)
     train.add_argument("--fuse", action="store_true", help="layer-normalise and add cls and feat")
     train.add_argument("--no-score", action="store_true", help="stop after the predictions")
 
@@ -105,6 +110,8 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
         unit=args.unit, segment_lengths=tuple(args.segment_lengths), overlap=args.overlap,
         discard_leftover=args.discard_leftover, huber_factor=args.huber_factor, use_mad=args.use_mad,
         roll_width=args.label_roll_width, rounds=args.rounds, seed=args.seed,
+        resample_from=args.resample_from, len_alpha=args.len_alpha, res_beta=args.res_beta,
+        cutmix_p=args.cutmix_p, batch_size=args.batch_size,
     )
     trained = fit_and_predict(ready, cfg)
     path = f"{args.out}/predictions"

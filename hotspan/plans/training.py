@@ -19,7 +19,7 @@ from hotspan.operators.robust import (
     robust_objective,
     segment_residual,
 )
-from hotspan.operators.segments import make_segments, split_train_val
+from hotspan.operators.segments import make_segments, residual_sampler, split_train_val, swapped_runs
 from hotspan.operators.smooth import rolling_rate
 from hotspan.session import stage_table
 
@@ -38,12 +38,36 @@ class TrainingConfig:
     reg: float = 1e-3
     max_iter: int = 25
     seed: int = 42
-
-
-def _bin_weights(placed: DataFrame, weights: DataFrame | None) -> DataFrame:
+    #: From this round on segments are drawn by their residuals; 0 for never.
+    resample_from: int = 3
+    len_alpha: float = 0.7
+    res_beta: float = 1.0
+    tau: float = 1.0
+    tau_decay: float = 0.999
+    #: Share of the batches in which two segments exchange a run; 0 for none.
+    cutmix_p: float = 0.0
+    batch_size: int = 16
+
+
+def _bin_weights(
+    placed: DataFrame, weights: DataFrame | None, drawn: DataFrame | None = None, runs: DataFrame | None = None
+) -> DataFrame:
     """Weight of each bin in the loss: every training segment that holds it
-    adds its robust weight over its total exposure."""
+    adds its robust weight over its total exposure.
+
+    ``drawn`` (seg_id, n_drawn) counts a segment as often as it was drawn, and
+    segments it does not name not at all. ``runs`` (see ``swapped_runs``) puts
+    the bins of a run into the other segment. Both change weights only: no
+    bin, and no vector, is copied.
+    """
+    placed = placed.select("seg_id", "chrom", "w_idx", "off", "kb")
+    if runs is not None:
+        inside = (F.col("off") >= F.col("at")) & (F.col("off") < F.col("at") + F.col("cut"))
+        placed = placed.join(runs, "seg_id", "left").withColumn(
+            "seg_id", F.when(inside, F.col("other")).otherwise(F.col("seg_id"))).drop("other", "at", "cut")
     totals = lookup_weights(placed.groupBy("seg_id").agg(F.sum("kb").alias("_kb")), weights)
+    if drawn is not None:
+        totals = totals.join(drawn.select("seg_id", "n_drawn"), "seg_id").withColumn("w", F.col("w") * F.col("n_drawn"))
     share = totals.select("seg_id", (F.col("w") / F.greatest("_kb", F.lit(1e-12))).alias("_share"))
     return (
         placed.select("seg_id", "chrom", "w_idx").join(share, "seg_id")
@@ -51,6 +75,23 @@ def _bin_weights(placed: DataFrame, weights: DataFrame | None) -> DataFrame:
     )
 
 
+def _round_weights(
+    train: DataFrame, sizes: DataFrame, weights: DataFrame | None, number: int, cfg: TrainingConfig
+) -> DataFrame:
+    """The bin weights of one round: draws follow the residuals of the round
+    before and get more even as tau decays; every round has its own seed."""
+    drawn = runs = None
+    if cfg.resample_from and number >= cfg.resample_from and weights is not None:
+        tau = cfg.tau * cfg.tau_decay ** (number - cfg.resample_from)
+        known = sizes.join(weights.select("seg_id", "residual"), "seg_id")
+        drawn = stage_table(
+            residual_sampler(known, tau, cfg.len_alpha, cfg.res_beta, cfg.seed + number).select("seg_id", "n_drawn"), "drawn")
+    if cfg.cutmix_p > 0:
+        taking_part = sizes if drawn is None else sizes.join(drawn, "seg_id")
+        runs = swapped_runs(taking_part, cfg.cutmix_p, cfg.batch_size, cfg.seed + number)
+    return _bin_weights(train, weights, drawn, runs)
+
+
 class Training(NamedTuple):
     """``history`` has the robust objective of each (round, split)."""
 
@@ -68,7 +109,9 @@ def fit_and_predict(bins: DataFrame, cfg: TrainingConfig | None = None) -> Train
     the sum over the training segments that hold it. Fit and robust weights
     alternate ``rounds`` times; the model of the round with the least objective
     on the validation segments (on the training ones if there are no others)
-    is kept, and its scale is calibrated on all segments.
+    is kept, and its scale is calibrated on all segments. From round
+    ``resample_from`` on the training segments are drawn anew each round, and
+    with ``cutmix_p`` some exchange runs of bins.
     """
     cfg = cfg or TrainingConfig()
     source = stage_table(
@@ -81,9 +124,13 @@ def fit_and_predict(bins: DataFrame, cfg: TrainingConfig | None = None) -> Train
     placed = stage_table(segments.join(split, "seg_id"), "segments")
     train = placed.where(F.col("split") == "train")
 
+    sizes = stage_table(
+        train.groupBy("seg_id").agg(
+            F.count(F.lit(1)).alias("n_bins"), length_kb(interval_length(F.min("start"), F.max("end")), cfg.unit).alias("len_kb")),
+        "sizes")
     weights, models, seen = None, [], []
     for number in range(1, max(1, cfg.rounds) + 1):
-        weighted = source.join(_bin_weights(train, weights), ["chrom", "w_idx"])
+        weighted = source.join(_round_weights(train, sizes, weights, number, cfg), ["chrom", "w_idx"])
         # every step of the fit reads its input again; written, it is not joined again
         design = stage_table(weighted.select("features", "kb", "y", "weight"), "design")
         model = fit_rate(design, "weight", cfg.reg, cfg.max_iter)

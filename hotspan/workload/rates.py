@@ -285,6 +285,13 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return fit_and_predict(_feature_bins(spark, sf).drop("kb"), cfg).history
 
 
+@query("E3_training_history_resampled")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Four rounds; from the second on segments are drawn and exchange runs."""
+    cfg = TrainingConfig(segment_lengths=(12, 24), overlap=0.5, rounds=4, resample_from=2, cutmix_p=0.2)
+    return fit_and_predict(_feature_bins(spark, sf).drop("kb"), cfg).history
+
+
 @query("E4_job")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """The command line on written predictions; reads back what it wrote."""

@@ -7,7 +7,7 @@ import __spark_entry__ as contract
 from hotspan.functions.tail import Mixture
 from hotspan.plans.hotspots import HotspotConfig, presmooth_width, run_hotspots
 from hotspan.plans.job import run
-from hotspan.plans.training import TrainingConfig, fit_and_predict
+from hotspan.plans.training import TrainingConfig, _bin_weights, fit_and_predict
 from hotspan.workload import rates
 from hotspan.workload.tables import DAY, typed_events
 
@@ -54,6 +54,37 @@ def test_training_predicts_every_bin(spark):
     assert parts.count() == whole.count()
 
 
+def test_bin_weights_of_drawn_segments_and_runs(spark):
+    rows = [(s, "a", w, w - lo, 0.5 + w % 3) for s, lo, hi in ((0, 0, 6), (1, 3, 9), (2, 8, 12), (3, 0, 4)) for w in range(lo, hi)]
+    placed = spark.createDataFrame(rows, "seg_id bigint, chrom string, w_idx bigint, off bigint, kb double")
+    robust = {0: 1.0, 1: 0.5, 2: 0.25}
+    drawn = {0: 2, 1: 1, 2: 3}
+    runs = {0: (1, 2, 2), 1: (0, 2, 2)}
+    where = [(runs[s][0] if s in runs and runs[s][1] <= off < sum(runs[s][1:]) else s, w, kb) for s, _, w, off, kb in rows]
+    total = {s: sum(kb for t, _, kb in where if t == s) for s in range(4)}
+    want = {}
+    for s, w, _ in where:
+        if s in drawn:
+            want[w] = want.get(w, 0.0) + drawn[s] * robust[s] / total[s]
+    got = _bin_weights(
+        placed, spark.createDataFrame(list(robust.items()), "seg_id bigint, w double"),
+        spark.createDataFrame(list(drawn.items()), "seg_id bigint, n_drawn bigint"),
+        spark.createDataFrame([(s, *r) for s, r in runs.items()], "seg_id bigint, other bigint, at bigint, cut bigint"))
+    assert {r.w_idx: r.weight for r in got.collect()} == pytest.approx(want)
+
+
+def test_training_with_drawn_segments_and_runs(spark):
+    bins = rates._feature_bins(spark, SF).drop("kb")
+    cfg = TrainingConfig(segment_lengths=(24,), overlap=0.5, rounds=2, resample_from=2, cutmix_p=1.0)
+    plain = TrainingConfig(segment_lengths=(24,), overlap=0.5, rounds=2)
+    mine, other = (
+        {(r["round"], r["split"]): r["objective"] for r in fit_and_predict(bins, c).history.collect()} for c in (cfg, plain))
+    assert set(mine) == set(other) and None not in mine.values()
+    # equal weights in the first round, where nearly all segments are of one size; draws in the second
+    assert mine[(2, "train")] != other[(2, "train")]
+    assert mine[(2, "val")] == pytest.approx(other[(2, "val")], rel=0.2)
+
+
 def test_job_modes(spark, tmp_path):
     bins = rates._feature_bins(spark, SF).select("chrom", "w_idx", "start", "end", "y", "features")
     bins.withColumnRenamed("features", "cls").write.parquet(str(tmp_path / "bins"))

@@ -163,3 +163,17 @@ def test_ragged_vectors_are_refused(spark):
     ragged = spark.createDataFrame([("chr1", 0, [1.0, 2.0]), ("chr1", 1, [1.0])], "chrom string, w_idx int, feat array<float>")
     with pytest.raises(ValueError, match="from 1 to 2"):
         sg.join_features(bins, ragged)
+
+
+def test_swapped_runs_are_those_of_the_pairs(spark):
+    rows = [(i, [100 * i + j for j in range(3 + i % 7)]) for i in range(60)]
+    packed = spark.createDataFrame(rows, "seg_id bigint, y array<bigint>")
+    mixed = {r.seg_id: r.y for r in sg.cutmix_pairs(packed, ["y"], 0.6, 4, seed=5).collect()}
+    want = dict(rows)
+    sizes = packed.selectExpr("seg_id", "size(y) AS n_bins")
+    runs = sg.swapped_runs(sizes, 0.6, 4, seed=5).collect()
+    assert len(runs) > 4 and {(r.seg_id, r.other) for r in runs} == {(r.other, r.seg_id) for r in runs}
+    before = dict(rows)
+    for r in runs:
+        want[r.other] = want[r.other][:r["at"]] + before[r.seg_id][r["at"]:r["at"] + r.cut] + want[r.other][r["at"] + r.cut:]
+    assert mixed == want
