@@ -76,6 +76,16 @@ def running(
     )
 
 
+#: Rows that one task sorts or groups, about.
+ROWS_PER_TASK = 500_000
+
+
+def tasks_for(rows: int, per_task: int = ROWS_PER_TASK) -> int:
+    """How many tasks ``rows`` rows are dealt to, so that the memory of one task does not
+    grow with the table; shuffles of a fixed number of partitions would let it."""
+    return max(1, -(-rows // per_task))
+
+
 def row_index(
     df: DataFrame, keys: list[str], block: str, order: list[str], name: str = "idx"
 ) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hotspan.operators.ordered import running
+from hotspan.operators.ordered import running, tasks_for
 from hotspan.session import stage_table
 
 FAN = 64
@@ -452,19 +452,24 @@ def predecessor(intervals: DataFrame, gap_bp: int = 0, block_bp: int = 1_000_000
     the last in order of (end, start); null if there is none.
 
     Ends and starts are merged into one ordered stream per sequence, and the
-    latest end is carried along it block by block.
+    latest end is carried along it block by block. The intervals are counted
+    first: the number of tasks follows them.
     """
-    ends = intervals.groupBy("chrom", "end_bp").agg(F.max("start_bp").alias("s")).select(
+    tasks = tasks_for(2 * intervals.count())
+    ends = intervals.select("chrom", "end_bp", "start_bp").repartition(tasks, "chrom", "end_bp").groupBy(
+        "chrom", "end_bp").agg(F.max("start_bp").alias("s")).select(
         "chrom", (F.col("end_bp") + gap_bp + 1).alias("at"), F.lit(0).alias("kind"),
         F.struct(F.col("end_bp").alias("e"), F.col("s")).alias("last"),
     )
-    asks = intervals.select("chrom", F.col("start_bp").alias("at")).distinct().select(
+    asks = intervals.select("chrom", F.col("start_bp").alias("at")).repartition(tasks, "chrom", "at").distinct().select(
         "chrom", "at", F.lit(1).alias("kind"), F.lit(None).cast(T.StructType([
             T.StructField("e", T.LongType()), T.StructField("s", T.LongType())])).alias("last"),
     )
     stream = ends.unionByName(asks).withColumn("_blk", F.floor(F.col("at") / block_bp))
-    carried = running(stream, ["chrom"], "_blk", ["at", "kind"], {"found": ("max", F.col("last"))})
+    dealt = stream.repartition(tasks, "chrom", "_blk")
+    carried = running(dealt, ["chrom"], "_blk", ["at", "kind"], {"found": ("max", F.col("last"))})
     answers = carried.where(F.col("kind") == 1).select(
         "chrom", F.col("at").alias("start_bp"), F.col("found.s").alias("pred_start"), F.col("found.e").alias("pred_end")
     )
-    return intervals.join(answers, ["chrom", "start_bp"])
+    keys = ["chrom", "start_bp"]
+    return intervals.repartition(tasks, *keys).join(answers.repartition(tasks, *keys), keys)

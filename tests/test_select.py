@@ -1,11 +1,15 @@
 import bisect
+import contextlib
+import io
 import itertools
 import random
+import re
 
 import numpy as np
 import pandas as pd
 import pytest
 
+from hotspan.operators import select as sl
 from hotspan.operators.select import GRAIN, islands, predecessor, select_intervals
 
 
@@ -180,3 +184,14 @@ def test_pruning_is_the_same_in_strips(monkeypatch):
     assert select._undominated(s, e, w).tolist() == want
     monkeypatch.setattr(select, "STRIP_CELLS", 150)
     assert select._undominated(s, e, w).tolist() == want
+
+
+def test_tasks_of_predecessor_follow_the_intervals(spark, monkeypatch):
+    monkeypatch.setattr(sl, "tasks_for", lambda rows: -(-rows // 10))
+    rows = [("a", 5 * i, 5 * i + 3) for i in range(100)]
+    found = predecessor(spark.createDataFrame(rows, "chrom string, start_bp long, end_bp long"))
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        found.explain()
+    widths = re.findall(r"hashpartitioning\(.*?, (\d+)\), REPARTITION_BY_NUM", out.getvalue())
+    assert widths and set(widths) == {"20"}
+    assert {r["start_bp"]: r["pred_end"] for r in found.collect()} == {5 * i: 5 * i - 2 if i else None for i in range(100)}
