@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hotspan.functions.names import chrom_sort_key
-from hotspan.operators.ordered import join_per_key, md5_unit, row_index, running
+from hotspan.operators.ordered import join_per_key, md5_unit, row_index, running, tasks_for
 from hotspan.session import stage_table
 
 INDEX_BLOCK = 1 << 16
@@ -40,15 +40,18 @@ def make_segments(
     cut into runs of each length that start every ``length * (1 - overlap)``.
 
     Adds seg_len, seg_start (index of the first bin), off (place in the
-    segment) and seg_id, which numbers the segments densely over (length,
     sequence, start). Short runs at the end stay unless discarded.
+
+    The bins of each sequence are counted first and written, one row each;
+    the number of tasks follows the copies that this count promises.
     """
-    numbered = row_index(
-        bins.withColumn("_blk", F.floor(F.col("w_idx") / INDEX_BLOCK)), ["chrom"], "_blk", ["w_idx"], "_rn"
-    ).drop("_blk")
     # the count comes from the bins, not from the numbered rows: no second shuffle of them
-    counts = bins.groupBy("chrom").agg(F.count(F.lit(1)).alias("_n"))
+    counts = stage_table(bins.groupBy("chrom").agg(F.count(F.lit(1)).alias("_n")), "counts")
     plan = [(length, max(1, int(length * (1.0 - overlap)))) for length in lengths]
+    copies = sum(max(1, -(-length // step)) for length, step in plan)
+    tasks = tasks_for(copies * (counts.agg(F.sum("_n")).first()[0] or 0))
+    blocked = bins.withColumn("_blk", F.floor(F.col("w_idx") / INDEX_BLOCK)).repartition(tasks, "chrom", "_blk")
+    numbered = row_index(blocked, ["chrom"], "_blk", ["w_idx"], "_rn").drop("_blk")
 
     shape = F.explode(F.array(*[
         F.struct(F.lit(i).alias("i"), F.lit(ln).alias("len"), F.lit(st).alias("step"))
@@ -106,10 +109,16 @@ def pack_segments(
     has a bounded number of rows, so the lists are bounded too. With ``pad``
     the arrays take the length of the longest segment and ``mask`` and
     ``length_kb`` (0 on padding) are added; start and end must be present.
+    Runs one aggregate: the number of rows, which sets that of the tasks, and
+    the longest segment.
     """
     names = list(arrays)
+    per_segment = rows.groupBy("seg_id").agg(F.count(F.lit(1)).alias("n"))
+    size = per_segment.agg(F.sum("n").alias("rows"), F.max("n").alias("longest")).first()
+    # collected lists are as large as their rows, so they are not made before the shuffle
     packed = (
-        rows.groupBy("seg_id", "chrom")
+        rows.select("seg_id", "chrom", "off", *names).repartition(tasks_for(size["rows"] or 0), "seg_id", "chrom")
+        .groupBy("seg_id", "chrom")
         .agg(F.array_sort(F.collect_list(F.struct("off", *names))).alias("_rows"))
         .select(
             "seg_id",
@@ -120,12 +129,11 @@ def pack_segments(
     )
     if not pad:
         return packed
-    longest = rows.groupBy("seg_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).scalar()
     kb = F.zip_with(
         "start", "end", lambda s, e: F.greatest(e - s + 1, F.lit(0)) / F.lit(float(unit))
     )
     return (
-        packed.withColumn("_w", longest)
+        packed.withColumn("_w", F.lit(size["longest"]).cast("bigint"))
         .withColumn("length_kb", _padded(kb, F.col("_w"), F.lit(0.0)))
         .withColumn(
             "mask",

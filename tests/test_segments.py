@@ -1,3 +1,7 @@
+import contextlib
+import io
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -177,3 +181,22 @@ def test_swapped_runs_are_those_of_the_pairs(spark):
     for r in runs:
         want[r.other] = want[r.other][:r["at"]] + before[r.seg_id][r["at"]:r["at"] + r.cut] + want[r.other][r["at"] + r.cut:]
     assert mixed == want
+
+
+def _widths(df):
+    """Partitions of the shuffles in the plan that were asked for by number."""
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        df.explain()
+    return [int(n) for n in re.findall(r"hashpartitioning\(.*?, (\d+)\), REPARTITION_BY_NUM", out.getvalue())]
+
+
+def test_tasks_follow_the_rows(spark, monkeypatch):
+    rows = spark.range(300).select(
+        F.lit("chr1").alias("chrom"), F.col("id").alias("w_idx"), (F.col("id") * 10).alias("start"), (F.col("id") * 10 + 9).alias("end"))
+    zero = F.lit(0).cast("bigint")
+    monkeypatch.setattr(sg, "tasks_for", lambda rows: -(-rows // 20))
+    rows = sg.make_segments(rows, [10], 0.5)
+    assert 30 in _widths(rows)  # 300 bins, two segments each
+    packed = sg.pack_segments(rows, {"start": zero, "end": zero}, pad=True)
+    assert 30 in _widths(packed)  # 595 rows
+    assert packed.count() == 60 and packed.where(F.size("start") != 10).count() == 0
