@@ -128,26 +128,26 @@ def fit_and_predict(bins: DataFrame, cfg: TrainingConfig | None = None) -> Train
         train.groupBy("seg_id").agg(
             F.count(F.lit(1)).alias("n_bins"), length_kb(interval_length(F.min("start"), F.max("end")), cfg.unit).alias("len_kb")),
         "sizes")
-    weights, models, seen = None, [], []
+    weights, models, rated, seen = None, [], [], []
     for number in range(1, max(1, cfg.rounds) + 1):
         weighted = source.join(_round_weights(train, sizes, weights, number, cfg), ["chrom", "w_idx"])
         # every step of the fit reads its input again; written, it is not joined again
         design = stage_table(weighted.select("features", "kb", "y", "weight"), "design")
         model = fit_rate(design, "weight", cfg.reg, cfg.max_iter)
+        # objectives and weights read the rated rows five times; the vectors are read once
         rates = add_rate(model, source).select("chrom", "w_idx", "lam")
+        rated.append(stage_table(placed.join(rates, ["chrom", "w_idx"]), "rates"))
         models.append(model)
-        rows = rolling_rate(train.join(rates, ["chrom", "w_idx"]), cfg.roll_width)
+        rows = rolling_rate(rated[-1].where(F.col("split") == "train"), cfg.roll_width)
         for name in ("train", "val"):
-            part = rows if name == "train" else rolling_rate(
-                placed.where(F.col("split") == name).join(rates, ["chrom", "w_idx"]), cfg.roll_width)
+            part = rows if name == "train" else rolling_rate(rated[-1].where(F.col("split") == name), cfg.roll_width)
             objective = robust_objective(part, cfg.huber_factor, cfg.use_mad).first()["objective"]
             seen.append((number, name, objective))
         weights = stage_table(huber_weights(segment_residual(rows), cfg.huber_factor, cfg.use_mad), "weights")
 
     known = [s for s in seen if s[1] == "val" and s[2] is not None] or [s for s in seen if s[1] == "train"]
-    model = models[min(known, key=lambda s: math.inf if s[2] is None else s[2])[0] - 1]
-    rates = add_rate(model, source).select("chrom", "w_idx", "lam")
-    everything = stage_table(placed.join(rates, ["chrom", "w_idx"]), "rates")
+    best = min(known, key=lambda s: math.inf if s[2] is None else s[2])[0] - 1
+    model, everything = models[best], rated[best]
     rolled = rolling_rate(everything, cfg.roll_width)
     scale = calibrate_scale(rolled, 1.0, cfg.huber_factor, cfg.use_mad).first()["c_new"]
     model = replace(model, scale=scale)
