@@ -29,16 +29,15 @@ def _prepare(sample: DataFrame, resolution: float) -> DataFrame:
     grid values does not grow with the rows.
     """
     z = F.log1p("score")
-    good = F.col("score").isNotNull() & ~F.isnan("score") & (F.col("score") >= 0) & (
-        F.col("score") != float("inf")
-    )
     counts = (
-        sample.where(good)
+        sample.where(F.col("score") >= 0)
         .groupBy((F.round(z / resolution) * resolution).alias("z"))
         .agg(F.count(F.lit(1)).cast("double").alias("n"))
     )
-    # every step of the fit reads it again
-    return stage_table(counts, "scores")
+    # every step of the fit reads it again. Infinities and NaN, which compares greater still, go
+    # only now: the planner writes the score out at each use in the scan, and with a third one
+    # the generated code is too long to be compiled
+    return stage_table(counts, "scores").where(F.col("z") < float("inf"))
 
 
 def drop_spikes(mixture: Mixture) -> Mixture:

@@ -1,10 +1,16 @@
+import contextlib
+import io
 import math
+import re
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from hotspan.operators import mixture as mx
+from hotspan.operators.scan import sample_scores, scan_pairs
+from hotspan.session import stage_table
 from hotspan.functions.tail import Mixture
 from hotspan.operators.mixture import (
     EMPTY_MIXTURE,
@@ -100,3 +106,28 @@ def test_mixture_queries_use_the_defaults_and_return_components(spark, monkeypat
         out = QUERIES[name](spark, "")
     assert asked == [{"keep_spikes": True}, {"auto": True, "keep_spikes": True}] * 2
     assert [tuple(r) for r in out.orderBy("component").collect()] == [(2, 0, 0.25, 0.5, 0.1), (2, 1, 0.75, 2.0, 0.3)]
+
+
+def test_prepared_scores_are_finite(spark):
+    scores = [0.5, 0.5, 0.0, -0.2, -3.0, math.inf, -math.inf, math.nan, None]
+    found = mx._prepare(spark.createDataFrame([(s,) for s in scores], "score double"), 1e-4).collect()
+    assert sorted((round(r["z"], 4), r["n"]) for r in found) == [(0.0, 1.0), (0.4055, 2.0)]
+
+
+def test_code_of_the_sampled_scan_is_short_enough_to_be_compiled(spark, monkeypatch):
+    rows = [("a", i * 10, i * 10 + 9, 1.0, 0.5, 0.01) for i in range(50)]
+    bins = stage_table(spark.createDataFrame(rows, "chrom string, start long, end long, obs double, lam double, kb double"), "bins")
+    plans = []
+    monkeypatch.setattr(mx, "stage_table", lambda df, name: plans.append(df) or df)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        mx._prepare(sample_scores(scan_pairs(bins, 100, partitions=4), 0.05), 1e-4)
+        with contextlib.redirect_stdout(io.StringIO()) as out:
+            plans[0].explain("codegen")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", out.getvalue())]
+    assert sizes and max(sizes) < 8000  # the JVM interprets longer methods
