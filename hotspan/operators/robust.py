@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from hotspan.functions.numeric import sanitize
 from hotspan.functions.scores import huber_weight
 from hotspan.operators.ordered import cut, running, split_points
-from hotspan.session import stage_table
+from hotspan.session import merged, stage_table
 
 RATE_MIN = 1e-9
 RATE_MAX = 1e6
@@ -55,7 +55,7 @@ def lookup_weights(segments: DataFrame, weights: DataFrame | None) -> DataFrame:
     if weights is None:
         return segments.withColumn("w", F.lit(1.0))
     found = weights.select("seg_id", F.col("w").alias("_w"))
-    return segments.join(found, "seg_id", "left").withColumn(
+    return segments.join(merged(found), "seg_id", "left").withColumn(
         "w", sanitize(F.coalesce("_w", F.lit(1.0)), nan=1.0, pos_inf=1.0, neg_inf=1.0)
     ).drop("_w")
 

@@ -21,7 +21,7 @@ from hotspan.operators.robust import (
 )
 from hotspan.operators.segments import make_segments, residual_sampler, split_train_val, swapped_runs
 from hotspan.operators.smooth import rolling_rate
-from hotspan.session import stage_table
+from hotspan.session import merged, stage_table
 
 
 @dataclass(frozen=True)
@@ -63,14 +63,14 @@ def _bin_weights(
     placed = placed.select("seg_id", "chrom", "w_idx", "off", "kb")
     if runs is not None:
         inside = (F.col("off") >= F.col("at")) & (F.col("off") < F.col("at") + F.col("cut"))
-        placed = placed.join(runs, "seg_id", "left").withColumn(
+        placed = placed.join(merged(runs), "seg_id", "left").withColumn(
             "seg_id", F.when(inside, F.col("other")).otherwise(F.col("seg_id"))).drop("other", "at", "cut")
     totals = lookup_weights(placed.groupBy("seg_id").agg(F.sum("kb").alias("_kb")), weights)
     if drawn is not None:
-        totals = totals.join(drawn.select("seg_id", "n_drawn"), "seg_id").withColumn("w", F.col("w") * F.col("n_drawn"))
+        totals = totals.join(merged(drawn.select("seg_id", "n_drawn")), "seg_id").withColumn("w", F.col("w") * F.col("n_drawn"))
     share = totals.select("seg_id", (F.col("w") / F.greatest("_kb", F.lit(1e-12))).alias("_share"))
     return (
-        placed.select("seg_id", "chrom", "w_idx").join(share, "seg_id")
+        placed.select("seg_id", "chrom", "w_idx").join(merged(share), "seg_id")
         .groupBy("chrom", "w_idx").agg(F.sum("_share").alias("weight"))
     )
 
@@ -83,11 +83,11 @@ def _round_weights(
     drawn = runs = None
     if cfg.resample_from and number >= cfg.resample_from and weights is not None:
         tau = cfg.tau * cfg.tau_decay ** (number - cfg.resample_from)
-        known = sizes.join(weights.select("seg_id", "residual"), "seg_id")
+        known = sizes.join(merged(weights.select("seg_id", "residual")), "seg_id")
         drawn = stage_table(
             residual_sampler(known, tau, cfg.len_alpha, cfg.res_beta, cfg.seed + number).select("seg_id", "n_drawn"), "drawn")
     if cfg.cutmix_p > 0:
-        taking_part = sizes if drawn is None else sizes.join(drawn, "seg_id")
+        taking_part = sizes if drawn is None else sizes.join(merged(drawn), "seg_id")
         runs = swapped_runs(taking_part, cfg.cutmix_p, cfg.batch_size, cfg.seed + number)
     return _bin_weights(train, weights, drawn, runs)
 
@@ -121,7 +121,7 @@ def fit_and_predict(bins: DataFrame, cfg: TrainingConfig | None = None) -> Train
     segments = make_segments(narrow, list(cfg.segment_lengths), cfg.overlap, cfg.discard_leftover)
     ids = segments.where(F.col("off") == 0).select("seg_id", "chrom")
     split = split_train_val(ids, cfg.train_frac, cfg.seed).select("seg_id", "split")
-    placed = stage_table(segments.join(split, "seg_id"), "segments")
+    placed = stage_table(segments.join(merged(split), "seg_id"), "segments")
     train = placed.where(F.col("split") == "train")
 
     sizes = stage_table(
@@ -130,13 +130,13 @@ def fit_and_predict(bins: DataFrame, cfg: TrainingConfig | None = None) -> Train
         "sizes")
     weights, models, rated, seen = None, [], [], []
     for number in range(1, max(1, cfg.rounds) + 1):
-        weighted = source.join(_round_weights(train, sizes, weights, number, cfg), ["chrom", "w_idx"])
+        weighted = source.join(merged(_round_weights(train, sizes, weights, number, cfg)), ["chrom", "w_idx"])
         # every step of the fit reads its input again; written, it is not joined again
         design = stage_table(weighted.select("features", "kb", "y", "weight"), "design")
         model = fit_rate(design, "weight", cfg.reg, cfg.max_iter)
         # objectives and weights read the rated rows five times; the vectors are read once
         rates = add_rate(model, source).select("chrom", "w_idx", "lam")
-        rated.append(stage_table(placed.join(rates, ["chrom", "w_idx"]), "rates"))
+        rated.append(stage_table(placed.join(merged(rates), ["chrom", "w_idx"]), "rates"))
         models.append(model)
         rows = rolling_rate(rated[-1].where(F.col("split") == "train"), cfg.roll_width)
         for name in ("train", "val"):

@@ -82,3 +82,13 @@ def stage_table(df: DataFrame, name: str, partition_by: list[str] | None = None)
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def merged(df: DataFrame) -> DataFrame:
+    """``df`` as one side of a sort-merge join, for joins whose two sides both grow with the input.
+
+    The planner knows the size of a written table by its files. A million
+    rows of few distinct values are a few megabytes there and hundreds in a
+    broadcast, which the driver has to hold.
+    """
+    return df.hint("merge")

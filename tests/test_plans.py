@@ -5,9 +5,11 @@ import pytest
 
 import __spark_entry__ as contract
 from hotspan.functions.tail import Mixture
+from hotspan.plans import training
 from hotspan.plans.hotspots import HotspotConfig, presmooth_width, run_hotspots
 from hotspan.plans.job import run
 from hotspan.plans.training import TrainingConfig, _bin_weights, fit_and_predict
+from hotspan.session import stage_table
 from hotspan.workload import rates
 from hotspan.workload.tables import DAY, typed_events
 
@@ -54,6 +56,27 @@ def test_training_predicts_every_bin(spark):
     assert parts.count() == whole.count()
 
 
+def test_training_broadcasts_no_bins_or_segments(spark, monkeypatch):
+    """Written, a table of few distinct values is far smaller than in the driver's memory."""
+    plans = {}
+
+    def staged(df, name):
+        if name in ("design", "rates"):
+            plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return stage_table(df, name)
+
+    monkeypatch.setattr(training, "stage_table", staged)
+    rows = [("a", w, w * 10, w * 10 + 9, float(w % 2), [0.0, 1.0]) for w in range(60)]
+    bins = spark.createDataFrame(rows, "chrom string, w_idx long, start long, end long, y double, features array<double>")
+    fit_and_predict(bins, TrainingConfig(segment_lengths=(6,), rounds=1))
+    placed = stage_table(spark.createDataFrame([(0, "a", 0, 0, 1.0)], "seg_id long, chrom string, w_idx long, off long, kb double"), "placed")
+    weights = stage_table(spark.createDataFrame([(0, 1.0)], "seg_id long, w double"), "weights")
+    plans["weights"] = _bin_weights(placed, weights)._jdf.queryExecution().executedPlan().toString()
+    assert len(plans) == 3
+    for plan in plans.values():
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_bin_weights_of_drawn_segments_and_runs(spark):
     rows = [(s, "a", w, w - lo, 0.5 + w % 3) for s, lo, hi in ((0, 0, 6), (1, 3, 9), (2, 8, 12), (3, 0, 4)) for w in range(lo, hi)]
     placed = spark.createDataFrame(rows, "seg_id bigint, chrom string, w_idx bigint, off bigint, kb double")
