@@ -20,16 +20,18 @@ Jaccard similarity of at least t share at least k tokens within their first
    cluster with what they share it with. A cluster ships the whole set of each
    member once, however many keys its members share, and compares those of
    different components by exact counts; it emits the links that join
-   components, fewer than its members, and no pairs.
+   components, fewer than its members, and no pairs. Where sets have to be
+   shipped many times, they are compared in rounds, one after the other.
 6. Similarities are those of the whole sets, all 64 bits of each token.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -59,6 +61,8 @@ class JoinConfig:
     group_tokens: int = 1_000_000
     #: Sets of the largest cluster that is compared as one; in larger ones each key is a cluster.
     cluster_rows: int = 50_000
+    #: Times the tokens of all sets that one round of comparisons shuffles at most, about.
+    shipped: int = 2
     #: Digests that a task remembers, so as not to emit equal sets again.
     remembered: int = 200_000
 
@@ -248,6 +252,22 @@ def _leader_pairs(keys: DataFrame, config: JoinConfig) -> DataFrame:
     return _ordered(met.where(_sizes_fit(config)).select(*PAIR))
 
 
+def _in_rounds(
+    rows: DataFrame, unit: list[str], shipped: int | None, held: int, links: Callable[[DataFrame], DataFrame], name: str, config: JoinConfig
+) -> DataFrame:
+    """``links`` of all ``rows``, whole units of them at a time.
+
+    A set is shuffled once for each comparison it takes part in, which can be
+    many times the sets on disk. ``shipped`` tokens are dealt out to rounds of
+    at most ``config.shipped`` times the ``held`` ones, about; what a round
+    shuffles goes when its links are written.
+    """
+    rounds = max(1, -(-(shipped or 0) // (config.shipped * max(1, held))))
+    turn = F.pmod(F.xxhash64(*unit, F.lit(rounds)), F.lit(rounds))
+    parts = [stage_table(links(rows.where(turn == i) if rounds > 1 else rows), name) for i in range(rounds)]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def joining_links(sets: list[np.ndarray], own: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links (i, j) that join components: i of ``left`` and j of ``right`` are similar.
 
@@ -288,13 +308,14 @@ def joining_links(sets: list[np.ndarray], own: np.ndarray, left: np.ndarray, rig
     return links
 
 
-def _clustered_links(open_keys: DataFrame, sets: DataFrame, config: JoinConfig) -> DataFrame:
+def _clustered_links(open_keys: DataFrame, sets: DataFrame, held: int, config: JoinConfig) -> DataFrame:
     """Links between components that share a key, found by exact comparison in clusters.
 
     Entities that share keys, directly or over others, are one cluster. A
     cluster too large for that (its keys reach over many unlike sets) is cut
     into the groups of its keys, those with the same members once. A cluster
     is dealt out in blocks, and every two blocks meet in a task of their own.
+    ``held`` are the tokens of all ``sets``.
     """
     first = open_keys.groupBy("key").agg(F.min(F.struct("e1", "e2")).alias("b"))
     star = open_keys.join(first, "key").select(F.struct("e1", "e2").alias("a"), "b").distinct()
@@ -314,13 +335,14 @@ def _clustered_links(open_keys: DataFrame, sets: DataFrame, config: JoinConfig)
     rows = stage_table(rows, "clusters")
     size = F.col("e2").bitwiseAND(SIZE)
     blocks = F.greatest(F.ceil(F.count("*") / config.group_rows), F.ceil(F.sum(size) / config.group_tokens)).cast("int")
-    of = rows.groupBy("g").agg(blocks.alias("blocks"))
+    of = stage_table(rows.groupBy("g").agg(blocks.alias("blocks"), F.sum(size).alias("tokens")), "blocks")
+    # Every set meets each block of its cluster once.
+    shipped = of.agg(F.sum(F.col("blocks") * F.col("tokens"))).first()[0]
     dealt = (
-        rows.join(of, "g").withColumn("block", F.pmod(F.xxhash64("e1", "e2", F.lit(5)), "blocks").cast("int"))
+        rows.join(of.drop("tokens"), "g").withColumn("block", F.pmod(F.xxhash64("e1", "e2", F.lit(5)), "blocks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-        .join(sets, ["e1", "e2"])
-        .select("g", "low", "high", "block", "e1", "e2", F.xxhash64("own").alias("own"), "doc", "tokens")
+        .select("g", "low", "high", "block", "e1", "e2", F.xxhash64("own").alias("own"))
     )
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
@@ -335,7 +357,13 @@ def _clustered_links(open_keys: DataFrame, sets: DataFrame, config: JoinConfig)
         e, doc = group[["e1", "e2"]].to_numpy(), group["doc"].to_numpy()
         return pd.DataFrame(np.concatenate([e[i], e[j], doc[i, None], doc[j, None]], axis=1), columns=[*PAIR, "a", "b"])
 
-    return dealt.groupBy("g", "low", "high").applyInPandas(meet, LINK)
+    unit = ["g", "low", "high"]
+
+    def met(part: DataFrame) -> DataFrame:
+        full = part.join(sets, ["e1", "e2"]).select(*unit, "block", "e1", "e2", "own", "doc", "tokens")
+        return full.groupBy(*unit).applyInPandas(meet, LINK)
+
+    return _in_rounds(dealt, unit, shipped, held, met, "more_links", config)
 
 
 def _unpack(data: bytes) -> np.ndarray:
@@ -419,9 +447,12 @@ def similarity_components(docs: DataFrame, config: JoinConfig | None = None) ->
     one = entities.where("n > 0").groupBy("e1", "e2").agg(F.min(F.struct("doc", "th")).alias("least")).select("e1", "e2", "least.*")
     sets = stage_table(_sets(docs, one.join(survivors.select("e1", "e2"), ["e1", "e2"]), config), "sets")
 
+    size = lambda c: F.col(c).bitwiseAND(SIZE)
+    held = sets.agg(F.sum(size("e2"))).first()[0] or 0
     pairs = stage_table(_leader_pairs(keys, config), "pairs")
-    links = stage_table(_verified(pairs, sets, config), "links")
-    links = links.unionByName(stage_table(_clustered_links(_open(keys, _labels(links)), sets, config), "more_links"))
+    shipped = pairs.agg(F.sum(size("a2") + size("b2"))).first()[0]
+    links = _in_rounds(pairs, PAIR, shipped, held, lambda part: _verified(part, sets, config), "links", config)
+    links = links.unionByName(_clustered_links(_open(keys, _labels(links)), sets, held, config))
     named = one.join(_labels(links), ["e1", "e2"], "left").select("e1", "e2", F.coalesce("label.doc", "doc").alias("low"))
     with_id = lambda c: F.when(F.col(c) < NO_DOC, F.col(c))
     return entities.join(named, ["e1", "e2"], "left").select(

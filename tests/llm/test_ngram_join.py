@@ -1,6 +1,9 @@
+import random
 import re
 
+from hotspan.llm import ngram_join
 from hotspan.llm.ngram_join import JoinConfig, index_keys, one_of_each, similarity_components
+from hotspan.session import stage_table
 
 
 def shingles(text):
@@ -130,3 +133,24 @@ def test_columns_with_clashing_names(spark):
     kept = one_of_each(frame)
     assert kept.columns == frame.columns
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[2]], key=str)
+
+
+def test_comparisons_in_rounds_ship_a_part_of_the_sets_each_and_find_the_same(spark, monkeypatch):
+    """Sets that share keys but are not similar: each block of a cluster meets every other one."""
+    rnd = random.Random(12)
+    core = [f"c{i}" for i in range(16)]
+    rows = [(i, " ".join(core + [f"x{rnd.randint(0, 9)}" for _ in range(rnd.randint(1, 9))])) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    names = []
+
+    def staged(df, name):
+        names.append(name)
+        return stage_table(df, name)
+
+    monkeypatch.setattr(ngram_join, "stage_table", staged)
+    got = {}
+    for shipped in (1, 10**6):
+        names.clear()
+        got[shipped] = sorted(map(tuple, similarity_components(docs, JoinConfig(group_rows=4, shipped=shipped)).collect()))
+        assert (names.count("more_links") > 2) == (shipped == 1)
+    assert got[1] == got[10**6] == sorted(brute(rows))
